@@ -81,6 +81,8 @@ def run_load(
     if report_folder is not None:
         failed = gate.failed_tables(decided).join(wanted.select("sheet_name", "sheet_order"), "sheet_name")
         bad = checks.load_errors(records, constraints, mapping).join(failed.select("sheet_name"), "sheet_name", "left_semi")
+        sinks.write_new(bad, f"{report_folder}/run_id={run_id}/errors")
+        bad = spark.read.schema(bad.schema).parquet(f"{report_folder}/run_id={run_id}/errors")
         errors = reports.with_tableless_errors(bad, failed.withColumnRenamed("table_error", "error"))
         sinks.write_new(reports.error_summary(errors), f"{report_folder}/run_id={run_id}/summary")
         sinks.write_new(reports.summary_footer(errors), f"{report_folder}/run_id={run_id}/footer")

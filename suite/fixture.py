@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowgate.functions.schema import CELLS
+from rowgate.functions.schema import ADDRESS, CELLS
 from rowgate.functions.text import FULLWIDTH_FROM, FULLWIDTH_TO, WHITESPACE
 from rowgate.operators.positions import number_rows
+from rowgate.session import staged
 
 # Cell expressions that both engines understand; {d} is the order date as yyyy-MM-dd.
 _CELL_SQL = """
@@ -47,14 +48,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_rows(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Sheet rows; row numbers start at 2 and follow the order key. `keep` names further columns of the
-    join (ok, d, ...) to be left in."""
+def derive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheet rows with their order key (ok) and date (d); row numbers start at 2, by order key."""
     orders = number_rows(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderkey", "_n")
     base = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).selectExpr(
         *_split_columns(_BASE_SQL), "_n + 1 AS row_num", "date_format(o_orderdate, 'yyyy-MM-dd') AS d"
     )
-    return base.selectExpr("sheet_name", "sheet_order", "row_num", *_split_columns(_CELL_SQL), *keep)
+    return base.selectExpr("sheet_name", "sheet_order", "row_num", *_split_columns(_CELL_SQL), "ok", "d")
+
+
+_STAGED: dict[tuple[str, str], DataFrame] = {}
+
+
+def raw_rows(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The sheet rows as a row table, the form in which the library gets its input. It is derived from the
+    driver's tables once per application. `keep` leaves further columns in."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STAGED:
+        _STAGED[key] = staged(derive_rows(spark, sf_dir), "sheet-rows")
+    return _STAGED[key].select(*ADDRESS, *CELLS, *keep)
 
 
 def _split_columns(sql: str) -> list[str]:
