@@ -549,20 +549,20 @@ def missing_tables(spark, sf_dir):
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run per day: the table of a sheet failed on the days on which one of its rows is bad."""
-    raw = raw_rows(spark, sf_dir, keep=("d",)).select("sheet_name", "sheet_order", "row_num", "d")
-    verdicts = _verdicts(spark, sf_dir).select("sheet_name", "row_num", "kind").join(raw, ["sheet_name", "row_num"])
+    """A run per month of the order date: a sheet failed in the months in which one of its rows is bad."""
+    months = raw_rows(spark, sf_dir, keep=("d",)).select("sheet_name", "sheet_order", "row_num", F.substring("d", 1, 7).alias("d"))
+    verdicts = _verdicts(spark, sf_dir).select("sheet_name", "row_num", "kind").join(months, ["sheet_name", "row_num"])
     return verdicts.groupBy("d", "sheet_name", "sheet_order").agg(F.count("kind").alias("bad")).select(
         F.col("d").alias("run_id"),
         F.concat(F.lit("t_00"), F.col("sheet_order").cast("string")).alias("table_name"),
         "sheet_name",
         F.when(F.col("bad") > 0, "failed").otherwise("success").alias("status"),
-        F.concat("d", F.lit(" 12:00:00")).alias("finished_at"),
+        F.concat("d", F.lit("-28 12:00:00")).alias("finished_at"),
     )
 
 
 LEDGER = f"""{VERDICT}, {SHEETS_SQL},
-ledger AS (SELECT d AS run_id, 't_00' || sheet_order AS table_name, CASE WHEN count(kind) > 0 THEN 'failed' ELSE 'success' END AS status, d || ' 12:00:00' AS finished_at FROM verdict GROUP BY d, sheet_order),
+ledger AS (SELECT d[1:7] AS run_id, 't_00' || sheet_order AS table_name, CASE WHEN count(kind) > 0 THEN 'failed' ELSE 'success' END AS status, d[1:7] || '-28 12:00:00' AS finished_at FROM verdict GROUP BY d[1:7], sheet_order),
 state AS (SELECT table_name, arg_max(status, finished_at) AS last_status, max(finished_at) FILTER (status = 'success') AS last_success_at FROM ledger GROUP BY table_name)"""
 
 
