@@ -24,12 +24,13 @@ from rowgate.functions.text import WHITESPACE, WHITESPACE_CLASS
 _DATE_CHARS = set("0123456789-/.:")
 
 
-def _pattern(digit: str, blank: str) -> str:
-    """Whole-value pattern; group 1 is the date part. `digit` is the class of any digit.
+def _pattern(digit: str, zero: str, blank: str) -> str:
+    """Whole-value pattern; group 1 is the date part. `digit` is the class of any digit, `zero` that
+    of any zero (there is no year 0).
 
     A one-digit day may be set off by blanks ('2024/1/ 5'); then a time can only follow after '-'."""
     b = f"{blank}*"
-    month = rf"(?!0000){digit}{{4}}[-/.](?:1[0-2]|0[1-9]|[1-9])[-/.]"
+    month = rf"(?!{zero}{{4}}){digit}{{4}}[-/.](?:1[0-2]|0[1-9]|[1-9])[-/.]"
     day = f"3[01]|[12]{digit}|0[1-9]|[1-9]"
     attached = rf"[-/.](?:2[0-3]|[01]{digit}|{digit}):(?:[0-5]{digit}|{digit})(?::(?:[0-5]{digit}|{digit}))?"
     hour = f"2{b}[0-3]|[01]{b}{digit}|{digit}"
@@ -41,33 +42,26 @@ def _pattern(digit: str, blank: str) -> str:
 
 
 @functools.cache
-def _folding() -> tuple[str, str, list[tuple[str, str]]]:
-    """(from, to) for one-character folds and (char, text) pairs for longer ones, by rule:
-    white space becomes a blank, and a character whose compatibility form consists of
-    date characters only becomes that form."""
-    single_from, single_to, longer = [], [], []
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Folding by rule: white space becomes a blank, and a character whose compatibility form
+    consists of date characters becomes that form. Returns (from, to) of the one-character folds
+    and the longer ones, numbers such as circled 12, as a dict. Forms of full stops alone cannot
+    be part of a date and stay."""
+    single, longer = {}, {}
     for code in range(0x80, 0x20000):
         ch = chr(code)
-        if ch in WHITESPACE:
-            single_from.append(ch)
-            single_to.append(" ")
-            continue
-        if not unicodedata.decomposition(ch):
-            continue
-        form = unicodedata.normalize("NFKC", ch)
-        if set(form) <= _DATE_CHARS:
-            if len(form) == 1:
-                single_from.append(ch)
-                single_to.append(form)
-            else:
-                longer.append((ch, form))
-    return "".join(single_from), "".join(single_to), longer
+        form = " " if ch in WHITESPACE else unicodedata.normalize("NFKC", ch) if unicodedata.decomposition(ch) else ""
+        if len(form) == 1 and form in _DATE_CHARS | {" "}:
+            single[ch] = form
+        elif form.rstrip(".").isdigit() and form.isascii():
+            longer[ch] = form
+    return "".join(single), "".join(single.values()), longer
 
 
 @functools.cache
-def _other_digits() -> tuple[str, str, str]:
+def _other_digits() -> tuple[str, str, str, str]:
     """Decimal digits outside ASCII that have no compatibility form: they are accepted where any
-    digit is. Returns (digits, their ASCII values, character class)."""
+    digit is. Returns (digits, their ASCII values, class of all digits, class of all zeros)."""
     digits = [
         chr(c)
         for c in range(0x80, min(sys.maxunicode, 0x1FFFF) + 1)
@@ -76,15 +70,17 @@ def _other_digits() -> tuple[str, str, str]:
     values = "".join(str(unicodedata.decimal(d)) for d in digits)
     zeros = [d for d in digits if unicodedata.decimal(d) == 0]
     ranges = "".join(rf"\x{{{ord(z):x}}}-\x{{{ord(z) + 9:x}}}" for z in zeros)
-    return "".join(digits), values, f"[0-9{ranges}]"
+    return "".join(digits), values, f"[0-9{ranges}]", f"[0{''.join(zeros)}]"
 
 
 def _fold(c: Column) -> Column:
+    """One pattern replaces the numbers: the list of signs and numbers is put behind the text, each
+    sign looks ahead for its number there, and the list itself is replaced by nothing."""
     single_from, single_to, longer = _folding()
-    # One literal that the optimizer splits once: each entry is a character and what it becomes.
-    entries = F.split(F.lit(" ".join(ch + form for ch, form in longer)), " ")
-    text = F.translate(c, single_from, single_to)
-    return F.aggregate(entries, text, lambda acc, e: F.replace(acc, F.substring(e, 1, 1), F.substring(e, 2, 9)))
+    listed = "\0" + "".join(f"{ch}={form}," for ch, form in longer.items())
+    pattern = rf"(?s)([{''.join(longer)}])(?=.*\x{{0}}.*\1=([0-9.]+),)|\Q{listed}\E\z"
+    numbers = F.regexp_replace(F.concat(c, F.lit(listed)), pattern, "$2")
+    return F.translate(numbers, single_from, single_to)
 
 
 def _as_date(date_part: Column) -> Column:
@@ -100,14 +96,13 @@ def _plain_date(c: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """Date of a text cell, or NULL."""
-    digits, values, any_digit = _other_digits()
-    ascii_date = F.regexp_extract(c, _pattern("[0-9]", WHITESPACE_CLASS), 1)
-    folded = F.regexp_extract(_fold(c), _pattern(any_digit, WHITESPACE_CLASS), 1)
-    folded = F.translate(folded, digits, values)
+    digits, values, any_digit, any_zero = _other_digits()
+    ascii_date = F.regexp_extract(c, _pattern("[0-9]", "0", WHITESPACE_CLASS), 1)
+    folded = F.regexp_extract(_fold(c), _pattern(any_digit, any_zero, WHITESPACE_CLASS), 1)
     return F.coalesce(
         _plain_date(c),
         _as_date(ascii_date),
-        F.when(c.rlike(r"[^\x{00}-\x{7f}]") & ~folded.startswith("0000"), _as_date(folded)),
+        F.when(c.rlike(r"[^\x{00}-\x{7f}]"), _as_date(F.translate(folded, digits, values))),
     )
 
 

@@ -90,10 +90,10 @@ def load_errors(
     message = (
         F.when(
             F.col("kind") == "null",
-            _not_null_message(F.array_join(hits([(cond, F.lit(name)) for name, cond in blank]), ", ")),
+            _not_null_message(F.concat_ws(", ", *[F.when(cond, F.lit(name)) for name, cond in blank])),
         )
         .when(F.col("kind") == "date", date_message)
-        .otherwise(F.array_join(hits([(cond, _length_message(k)) for k, cond in long]), JOINER))
+        .otherwise(F.concat_ws(JOINER, *[F.when(cond, _length_message(k)) for k, cond in long]))
     )
     fields = (
         F.when(F.col("kind") == "null", hits([(cond, field(name, F.col(name))) for name, cond in blank]))

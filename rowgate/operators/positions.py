@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 1 << 18
+BUCKET_ROWS = 1 << 16
 LINE_ITEMS = 1000
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowgate.functions.dates import parse_date
-from rowgate.functions.schema import ADDRESS, CELLS, DATE_FIELD, DEFAULT_MAPPING, FieldMapping
+from rowgate.functions.schema import ADDRESS, CELLS, DATE_FIELD, DEFAULT_KEY_INDEX, DEFAULT_MAPPING, FieldMapping
 from rowgate.functions.text import is_blank
 
 RAW_DATE = "collected_at_raw"
@@ -22,9 +20,11 @@ def prune_cells(rows: DataFrame) -> DataFrame:
 
 
 def nonblank_rows(rows: DataFrame) -> DataFrame:
-    """Rows with something in at least one of the eleven cells. Row numbers stay as they are."""
-    filled = reduce(lambda a, b: a | b, [~is_blank(F.col(c)) for c in CELLS])
-    return prune_cells(rows).where(filled)
+    """Rows with something in at least one of the eleven cells. Row numbers stay as they are.
+
+    Nearly every row is settled by the cell that holds the name; the others are looked at together."""
+    usual, others = CELLS[DEFAULT_KEY_INDEX - 1], F.concat_ws("", *CELLS)
+    return prune_cells(rows).where(~is_blank(F.col(usual)) | ~is_blank(others))
 
 
 def select_sheets(rows: DataFrame, sheet_names: list[str] | None) -> DataFrame:
