@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKET_ROWS = 1 << 16
-LINE_ITEMS = 1000
+LINE_ROWS = 1 << 20
 
 
 def _bucket(position: Column, bucket_rows: int) -> Column:
@@ -98,15 +98,15 @@ def text_lines(
     text: str,
     separator: str,
     out: str,
-    line_items: int = LINE_ITEMS,
-    bucket_rows: int = BUCKET_ROWS,
+    line_rows: int = LINE_ROWS,
 ) -> DataFrame:
-    """Items of a group joined in order. Every line holds `line_items` items at most, so a group of
-    any size is written whole: line_no 1, 2, 3, ..."""
-    ordinal = number_rows(items, groups, position, "_ordinal", bucket_rows)
-    pieces = F.sort_array(F.collect_list(F.struct("_ordinal", text)))
+    """Texts of a group joined in order of their position, one line for every `line_rows` positions.
+
+    A workbook sheet has LINE_ROWS rows at most, so its text is one line, line_no 1. The text of a
+    larger group goes on in the next lines, and none of it is left out."""
+    pieces = F.sort_array(F.collect_list(F.struct(position, text)))
     return (
-        ordinal.withColumn("line_no", F.floor((F.col("_ordinal") - 1) / F.lit(line_items)).cast("bigint") + 1)
+        items.withColumn("line_no", _bucket(F.col(position), line_rows) + 1)
         .groupBy(*groups, "line_no")
         .agg(F.array_join(F.transform(pieces, lambda p: p[text]), separator).alias(out))
     )

@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 from rowgate.functions.messages import JOINER, PROBLEM_JOINER, RANGE_JOINER, UNKNOWN_ERROR, problem_text, reason_label
 from rowgate.functions.text import NO_OWNER, NO_VALUE, first_line, text_or
-from rowgate.operators.positions import BUCKET_ROWS, LINE_ITEMS, range_label, row_ranges, text_lines
+from rowgate.operators.positions import BUCKET_ROWS, LINE_ROWS, range_label, row_ranges, text_lines
 
 SHOWN_LINES = 12
 
 
-def error_groups(errors: DataFrame, line_items: int = LINE_ITEMS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def error_groups(errors: DataFrame, line_rows: int = LINE_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Errors of a sheet grouped by message: count, first row, and the row ranges as text.
 
-    Line 1, 2, ... of a group hold up to `line_items` ranges each; first_row orders the groups."""
+    A line of a group holds the ranges that start in one block of `line_rows` rows; first_row orders
+    the groups."""
     groups = ["sheet_name", "sheet_order", "message"]
     ranges = row_ranges(errors, groups, bucket_rows=bucket_rows).withColumn(
         "_text", F.concat(F.lit("第 "), range_label(), F.lit(" 行"))
     )
-    lines = text_lines(ranges, groups, "range_start", "_text", RANGE_JOINER, "ranges", line_items, bucket_rows)
+    lines = text_lines(ranges, groups, "range_start", "_text", RANGE_JOINER, "ranges", line_rows)
     counts = errors.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_errors"), F.min("row_num").alias("first_row"))
     return counts.join(lines, groups, "left").select(
         *groups,
@@ -171,16 +172,15 @@ def summary_counts(errors: DataFrame) -> DataFrame:
     )
 
 
-def error_summary(errors: DataFrame, line_items: int = LINE_ITEMS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def error_summary(errors: DataFrame, line_rows: int = LINE_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Per owner and sheet: count, row ranges and the distinct problems in the order they first occur.
-    Long texts go on in line 2, 3, ..."""
+    Texts of groups beyond `line_rows` rows go on in further lines."""
     group = ["owner", "sheet_name", "sheet_order"]
     owned = _owned(errors)
     ranges = row_ranges(owned, group, bucket_rows=bucket_rows).withColumn("_text", range_label())
-    range_lines = text_lines(ranges, group, "range_start", "_text", JOINER, "ranges", line_items, bucket_rows)
-    # A row has one problem per kind; the kind breaks ties, so positions are unique in a group.
+    range_lines = text_lines(ranges, group, "range_start", "_text", JOINER, "ranges", line_rows)
     problems = owned.groupBy(*group, "problem").agg(F.coalesce(F.min("row_num"), F.lit(0)).alias("_first"))
-    problem_lines = _distinct_text_lines(problems, group, line_items, bucket_rows)
+    problem_lines = text_lines(problems, group, "_first", "problem", PROBLEM_JOINER, "problems", line_rows)
     lines = range_lines.join(problem_lines, [*group, "line_no"], "full_outer")
     return lines.join(summary_counts(errors), group).select(
         *group,
@@ -192,14 +192,6 @@ def error_summary(errors: DataFrame, line_items: int = LINE_ITEMS, bucket_rows:
     )
 
 
-def _distinct_text_lines(problems: DataFrame, group: list[str], line_items: int, bucket_rows: int) -> DataFrame:
-    """Problems in order of first row. Those that share a first row are joined to one item first (a row
-    has at most one load error and one writer error, so that is a handful)."""
-    pieces = F.sort_array(F.collect_list("problem"))
-    items = problems.groupBy(*group, "_first").agg(F.array_join(pieces, PROBLEM_JOINER).alias("_text"))
-    return text_lines(items, group, "_first", "_text", PROBLEM_JOINER, "problems", line_items, bucket_rows)
-
-
 def summary_footer(errors: DataFrame) -> DataFrame:
     """Distinct sheets and the sum of the counts of the summary."""
     return summary_counts(errors).agg(

@@ -79,15 +79,17 @@ def run_load(
 
     sinks.append_ledger(gate.ledger_rows(decided, run_id, finished_at), ledger)
     if report_folder is not None:
+        folder = f"{report_folder}/run_id={run_id}"
         failed = gate.failed_tables(decided).join(wanted.select("sheet_name", "sheet_order"), "sheet_name")
         bad = checks.load_errors(records, constraints, mapping).join(failed.select("sheet_name"), "sheet_name", "left_semi")
-        sinks.write_new(bad, f"{report_folder}/run_id={run_id}/errors")
-        bad = spark.read.schema(bad.schema).parquet(f"{report_folder}/run_id={run_id}/errors")
+        bad = sinks.write_and_read(bad, f"{folder}/row_errors")
         errors = reports.with_tableless_errors(bad, failed.withColumnRenamed("table_error", "error"))
-        sinks.write_new(reports.error_summary(errors), f"{report_folder}/run_id={run_id}/summary")
-        sinks.write_new(reports.summary_footer(errors), f"{report_folder}/run_id={run_id}/footer")
-        sinks.write_new(reports.error_detail(errors), f"{report_folder}/run_id={run_id}/detail")
-        sinks.write_new(reports.error_groups(bad), f"{report_folder}/run_id={run_id}/groups")
+        errors = sinks.write_and_read(errors, f"{folder}/errors")
+        sinks.write_new(reports.error_summary(errors), f"{folder}/summary")
+        sinks.write_new(reports.summary_footer(errors), f"{folder}/footer")
+        sinks.write_new(reports.error_detail(errors), f"{folder}/detail")
+        groups = sinks.write_and_read(reports.error_groups(bad), f"{folder}/groups")
+        sinks.write_new(reports.report_lines(failed, groups, "load"), f"{folder}/report")
     stored = spark.read.parquet(target)
     return LoadResult(decided, gate.reconcile(decided, stored))
 

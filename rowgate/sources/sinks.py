@@ -67,5 +67,11 @@ def write_new(df: DataFrame, path: str, file_format: str = "parquet") -> None:
     (writer.option("header", True).csv(path) if file_format == "csv" else writer.format(file_format).save(path))
 
 
+def write_and_read(df: DataFrame, path: str) -> DataFrame:
+    """Writes a result that several later results are made from, and returns the written rows."""
+    write_new(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_ledger(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("append").parquet(path)

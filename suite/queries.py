@@ -26,7 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-RANGES_PER_LINE = 25  # small, so that the fixture has groups of several lines
+ROWS_PER_LINE = 500  # small, so that the fixture has texts of several lines
 DAY = "yyyy-MM-dd"
 
 
@@ -342,8 +342,8 @@ _RANGE = "CASE WHEN a = b THEN CAST(a AS STRING) ELSE a || '-' || b END"
 
 
 def _lines_sql(source: str, groups: str, item: str, separator: str, order: str, name: str) -> str:
-    return f"""(SELECT {groups}, line_no, string_agg({item}, '{separator}' ORDER BY {order}) AS {name} FROM (
-      SELECT *, 1 + (row_number() OVER (PARTITION BY {groups} ORDER BY {order}) - 1) // {RANGES_PER_LINE} AS line_no FROM {source}) GROUP BY {groups}, line_no)"""
+    return f"""(SELECT {groups}, {order} // {ROWS_PER_LINE} + 1 AS line_no, string_agg({item}, '{separator}' ORDER BY {order}) AS {name}
+      FROM {source} GROUP BY ALL)"""
 
 
 _G = "sheet_name, sheet_order, message"
@@ -362,7 +362,7 @@ def error_ranges(spark, sf_dir):
 
 @query(f"WITH {ERRORS}, {_groups_sql('err')} SELECT * FROM grp")
 def error_groups(spark, sf_dir):
-    return reports.error_groups(_load_errors(spark, sf_dir), RANGES_PER_LINE)
+    return reports.error_groups(_load_errors(spark, sf_dir), ROWS_PER_LINE)
 
 
 def _report_sql(counts: str, head: str, title: str, indent: str) -> str:
@@ -384,7 +384,7 @@ def load_report(spark, sf_dir):
     counts = _verdicts(spark, sf_dir).groupBy("sheet_name", "sheet_order").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("kind").alias("n_errors")
     )
-    return reports.report_lines(counts, reports.error_groups(_load_errors(spark, sf_dir), RANGES_PER_LINE), "load")
+    return reports.report_lines(counts, reports.error_groups(_load_errors(spark, sf_dir), ROWS_PER_LINE), "load")
 
 
 @query(
@@ -399,7 +399,7 @@ def load_report(spark, sf_dir):
 def validation_report(spark, sf_dir):
     errors = _validation(spark, sf_dir)
     by_sheet = checks.validation_by_sheet(_records(spark, sf_dir), errors)
-    return reports.report_lines(by_sheet, reports.error_groups(errors, RANGES_PER_LINE), "validation")
+    return reports.report_lines(by_sheet, reports.error_groups(errors, ROWS_PER_LINE), "validation")
 
 
 def _islands_query(reason: str) -> str:
@@ -442,7 +442,7 @@ def _all_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     writer = checks.writer_errors(refused.withColumn("message", F.expr(_writer_message("row_num"))))
     failed = _sheets(spark, sf_dir).withColumn("error", F.when(F.col("sheet_name") == "5-LOW", F.lit(" \n table is locked\nsecond")))
     errors = staged(checks.load_errors(records).unionByName(writer), "load-errors")
-    return reports.with_tableless_errors(errors, failed)
+    return staged(reports.with_tableless_errors(errors, failed), "all-errors")
 
 
 _LABELS = {"team": "B列 负责人 / 小组", "source": "C列 来源", "company_name": "D列 企业名称", "link": "E列 官网", "industry": "F列 一级分类",
@@ -488,7 +488,7 @@ _COUNTS_SQL = f"(SELECT {_O}, count(DISTINCT row_num) + count(*) FILTER (row_num
     FROM rl FULL JOIN pl USING ({_O}, line_no) JOIN {_COUNTS_SQL} USING ({_O})"""
 )
 def error_summary(spark, sf_dir):
-    return reports.error_summary(_all_errors(spark, sf_dir), RANGES_PER_LINE)
+    return reports.error_summary(_all_errors(spark, sf_dir), ROWS_PER_LINE)
 
 
 @query(f"WITH {ALL_ERRORS} SELECT count(DISTINCT sheet_name) AS n_sheets, CAST(sum(n_error_rows) AS BIGINT) AS n_error_rows FROM {_COUNTS_SQL}")
