@@ -90,7 +90,7 @@ def run_load(
         sinks.write_new(reports.error_detail(errors), f"{folder}/detail")
         groups = sinks.write_and_read(reports.error_groups(bad), f"{folder}/groups")
         sinks.write_new(reports.report_lines(failed, groups, "load"), f"{folder}/report")
-    stored = spark.read.parquet(target)
+    stored = sinks.read_tables(spark, target, mapping)
     return LoadResult(decided, gate.reconcile(decided, stored))
 
 

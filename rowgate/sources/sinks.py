@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowgate.functions.schema import DEFAULT_MAPPING, FieldMapping
+from rowgate.functions.schema import DATE_FIELD, DEFAULT_MAPPING, FieldMapping
 from rowgate.operators.dedup import LIST_ORDER
 
 TABLE_COLUMN = "table_name"
@@ -19,6 +19,13 @@ LIST_COLUMNS = ["处理", "Sheet名称", "Excel行号", "判重列原始值", "
 LIST_ACTIONS = {"keep": "保留", "delete": "删除"}
 
 
+def read_tables(spark: SparkSession, target: str, mapping: list[FieldMapping] = DEFAULT_MAPPING) -> DataFrame:
+    """All loaded tables; a filter on table_name prunes to its partition. The schema is stated, so that
+    table names that look like numbers stay text and a target without any rows can be read."""
+    fields = [f"`{m.field}` {'date' if m.field == DATE_FIELD else 'string'}" for m in sorted(mapping, key=lambda m: m.col_order)]
+    return spark.read.schema(f"row_num bigint, {', '.join(fields)}, {TABLE_COLUMN} string").parquet(target)
+
+
 def overwrite_tables(rows: DataFrame, target: str, mapping: list[FieldMapping] = DEFAULT_MAPPING) -> None:
     """Replaces the partition of every table that occurs in `rows`; all other tables stay.
 

@@ -323,7 +323,7 @@ def load_twice(spark, sf_dir):
     second = raw.where("sheet_name <> '5-LOW'")
     for run, given in (("run-1", first), ("run-2", second)):
         jobs.run_load(given, sheets, f"{folder}/target", f"{folder}/ledger", run, run, inventory=_sheets(spark, sf_dir))
-    stored = gate.table_row_counts(spark.read.parquet(f"{folder}/target"))
+    stored = gate.table_row_counts(sinks.read_tables(spark, f"{folder}/target"))
     return sheets.select("table_name").join(stored, "table_name", "left").select(
         "table_name", F.coalesce("n_stored", F.lit(0).cast("bigint")).alias("n_stored")
     )
