@@ -16,7 +16,7 @@ LINE_ROWS = 1 << 20
 
 
 def _bucket(position: Column, bucket_rows: int) -> Column:
-    return F.floor(position / F.lit(bucket_rows)).cast("bigint")
+    return F.call_function("div", position, F.lit(bucket_rows))
 
 
 def number_rows(

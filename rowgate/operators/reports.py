@@ -13,7 +13,7 @@ SHOWN_LINES = 12
 
 
 def error_groups(errors: DataFrame, line_rows: int = LINE_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Errors of a sheet grouped by message: count, first row, and the row ranges as text.
+    """Errors that have a row, grouped by sheet and message: count, first row, and the row ranges as text.
 
     A line of a group holds the ranges that start in one block of `line_rows` rows; first_row orders
     the groups."""
@@ -22,14 +22,13 @@ def error_groups(errors: DataFrame, line_rows: int = LINE_ROWS, bucket_rows: int
         "_text", F.concat(F.lit("第 "), range_label(), F.lit(" 行"))
     )
     lines = text_lines(ranges, groups, "range_start", "_text", RANGE_JOINER, "ranges", line_rows)
-    counts = errors.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_errors"), F.min("row_num").alias("first_row"))
-    return counts.join(lines, groups, "left").select(
-        *groups,
-        "n_errors",
-        "first_row",
-        F.coalesce("line_no", F.lit(1).cast("bigint")).alias("line_no"),
-        F.coalesce("ranges", F.lit("")).alias("ranges"),
+    counts = (
+        errors.where(F.col("row_num").isNotNull())
+        .groupBy(*groups)
+        .agg(F.count(F.lit(1)).alias("n_errors"), F.min("row_num").alias("first_row"))
     )
+    # An inner join, so that a message with very many lines can be split at run time.
+    return lines.join(counts, groups).select(*groups, "n_errors", "first_row", "line_no", "ranges")
 
 
 def report_lines(by_sheet: DataFrame, groups: DataFrame, style: str) -> DataFrame:
