@@ -64,12 +64,12 @@ def kept_rows(
 ) -> DataFrame:
     """Rows that stay, with all their columns: keepers, ineligible rows and unselected sheets.
 
-    Ineligible rows are their own group (their address is part of the partition), so one pass over
-    the input and one shuffle serve both kinds."""
-    keyed = with_key(rows, key_index, sheets)
-    alone = [F.when(~F.col("eligible"), F.col(c)) for c in ("sheet_order", "row_num")]
-    scope = [F.when(F.col("eligible"), F.col(c)) for c in _scope(mode)]
-    earliest = W.partitionBy(*scope, *alone).orderBy("dedup_date", "sheet_order", "row_num")
+    Ineligible rows are their own group (their position is part of the partition), so one pass over the
+    input and one shuffle serve both kinds. The hash comes first because rows are sorted by the
+    partition columns: names share long beginnings, hashes do not."""
+    keyed = with_key(rows, key_index, sheets).withColumn("_pos", _position())
+    group = [F.when(F.col("eligible"), F.col(c)) for c in _scope(mode)] + [F.when(~F.col("eligible"), F.col("_pos"))]
+    earliest = W.partitionBy(F.xxhash64(*group), *group).orderBy("dedup_date", "_pos")
     return keyed.withColumn("_rank", F.row_number().over(earliest)).where("_rank = 1").select(*rows.columns)
 
 
