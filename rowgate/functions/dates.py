@@ -89,9 +89,10 @@ def _as_date(date_part: Column) -> Column:
 
 
 def _plain_date(c: Column) -> Column:
-    """Date of the usual spelling, yyyy-MM-dd: ten characters that come back unchanged from a cast."""
+    """Date of the usual spelling, yyyy-MM-dd: text that comes back unchanged from a cast. Years
+    outside 1 to 9999 are written with a sign and sort below '0001'."""
     date = c.try_cast("date")
-    return F.when((F.length(c) == 10) & (c >= "0001") & (date.cast("string") == c), date)
+    return F.when((c >= "0001") & (date.cast("string") == c), date)
 
 
 def parse_date(c: Column) -> Column:
@@ -99,11 +100,9 @@ def parse_date(c: Column) -> Column:
     digits, values, any_digit, any_zero = _other_digits()
     ascii_date = F.regexp_extract(c, _pattern("[0-9]", "0", WHITESPACE_CLASS), 1)
     folded = F.regexp_extract(_fold(c), _pattern(any_digit, any_zero, WHITESPACE_CLASS), 1)
-    return F.coalesce(
-        _plain_date(c),
-        _as_date(ascii_date),
-        F.when(c.rlike(r"[^\x{00}-\x{7f}]"), _as_date(F.translate(folded, digits, values))),
-    )
+    other_date = F.when(c.rlike(r"[^\x{00}-\x{7f}]"), F.translate(folded, digits, values))
+    # No match is '', which sorts below a match; when both patterns match, it is the same date.
+    return F.coalesce(_plain_date(c), _as_date(F.greatest(ascii_date, other_date)))
 
 
 def normalize_date_text(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rowgate.functions.messages import JOINER, NUMERIC_DATE_HINT
 from rowgate.functions.schema import ADDRESS, DEFAULT_CONSTRAINTS, DEFAULT_MAPPING, Constraint, FieldMapping, column_labels
-from rowgate.functions.text import display_value, is_blank, short_value
+from rowgate.functions.text import display_value, is_blank, is_blank_if_rare, short_value
 from rowgate.operators.rows import RAW_DATE
 
 FIELD_TYPE = "array<struct<label:string,value:string>>"
@@ -31,7 +31,7 @@ def _too_long(constraints: list[Constraint]) -> list[tuple[Constraint, Column]]:
 
 
 def _bad_text_date() -> Column:
-    return F.col("collected_at").isNull() & ~F.col("date_is_numeric") & ~is_blank(F.col(RAW_DATE))
+    return F.col("collected_at").isNull() & ~F.col("date_is_numeric") & ~is_blank_if_rare(F.col(RAW_DATE))
 
 
 def _bad_load_date() -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowgate.functions.dates import parse_date
 from rowgate.functions.schema import ADDRESS, CELLS, DATE_FIELD, DEFAULT_KEY_INDEX, DEFAULT_MAPPING, FieldMapping
-from rowgate.functions.text import is_blank
+from rowgate.functions.text import is_blank_if_rare, starts_visible
 
 RAW_DATE = "collected_at_raw"
 NUMERIC_DATE = "c0_is_numeric"
@@ -22,9 +22,9 @@ def prune_cells(rows: DataFrame) -> DataFrame:
 def nonblank_rows(rows: DataFrame) -> DataFrame:
     """Rows with something in at least one of the eleven cells. Row numbers stay as they are.
 
-    Nearly every row is settled by the cell that holds the name; the others are looked at together."""
-    usual, others = CELLS[DEFAULT_KEY_INDEX - 1], F.concat_ws("", *CELLS)
-    return prune_cells(rows).where(~is_blank(F.col(usual)) | ~is_blank(others))
+    Nearly every row is settled by the first character of its name; only the others are looked at whole."""
+    usual, whole = F.col(CELLS[DEFAULT_KEY_INDEX - 1]), F.concat_ws("", *CELLS)
+    return prune_cells(rows).where(starts_visible(usual) | ~is_blank_if_rare(whole))
 
 
 def select_sheets(rows: DataFrame, sheet_names: list[str] | None) -> DataFrame:
