@@ -88,7 +88,7 @@ def _as_date(date_part: Column) -> Column:
     return F.translate(date_part, "/." + WHITESPACE, "--").try_cast("date")
 
 
-def _plain_date(c: Column) -> Column:
+def usual_date(c: Column) -> Column:
     """Date of the usual spelling, yyyy-MM-dd: text that comes back unchanged from a cast. Years
     outside 1 to 9999 are written with a sign and sort below '0001'."""
     date = c.try_cast("date")
@@ -102,7 +102,7 @@ def parse_date(c: Column) -> Column:
     folded = F.regexp_extract(_fold(c), _pattern(any_digit, any_zero, WHITESPACE_CLASS), 1)
     other_date = F.when(c.rlike(r"[^\x{00}-\x{7f}]"), F.translate(folded, digits, values))
     # No match is '', which sorts below a match; when both patterns match, it is the same date.
-    return F.coalesce(_plain_date(c), _as_date(F.greatest(ascii_date, other_date)))
+    return F.coalesce(usual_date(c), _as_date(F.greatest(ascii_date, other_date)))
 
 
 def normalize_date_text(c: Column) -> Column:

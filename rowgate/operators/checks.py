@@ -1,6 +1,8 @@
 """Row checks: the load verdict (first failing kind) and the full validation (every failure).
 
-Rows are first tested with cheap predicates; messages are only built for rows that fail.
+Both reports of failures start from suspects, the rows that a few cheap comparisons cannot clear.
+The exact checks and the messages are only worked out for them, and the scan stays a short compiled
+loop.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowgate.functions.dates import usual_date
 from rowgate.functions.messages import JOINER, NUMERIC_DATE_HINT
 from rowgate.functions.schema import ADDRESS, DEFAULT_CONSTRAINTS, DEFAULT_MAPPING, Constraint, FieldMapping, column_labels
 from rowgate.functions.text import display_value, is_blank, is_blank_if_rare, short_value
@@ -39,6 +42,13 @@ def _bad_load_date() -> Column:
     return _bad_text_date() | (F.col("date_is_numeric") & F.col(RAW_DATE).isNotNull())
 
 
+def _suspect(constraints: list[Constraint]) -> Column:
+    """True for every row with a failure, and for rows whose date has an unusual spelling."""
+    raw = F.col(RAW_DATE)
+    date = (raw != "") & (usual_date(raw).isNull() | F.col("date_is_numeric"))
+    return _any([c for _, c in _blank_required(constraints)] + [F.coalesce(date, F.lit(False))] + [c for _, c in _too_long(constraints)])
+
+
 def _not_null_message(names: Column) -> Column:
     return F.concat(F.lit("字段 ["), names, F.lit("] 不能为空 (NOT NULL 约束)"))
 
@@ -100,10 +110,13 @@ def load_errors(
         .when(F.col("kind") == "date", F.array(field("collected_at", raw)))
         .otherwise(hits([(cond, field(k.field, F.col(k.field))) for k, cond in long]))
     )
+    found = F.struct("kind", message.alias("message"), fields.cast(FIELD_TYPE).alias("fields"))
     return (
-        with_verdict(records, constraints)
-        .where(F.col("kind").isNotNull())
-        .select(*ADDRESS, "kind", message.alias("message"), fields.cast(FIELD_TYPE).alias("fields"), "team", "company_name")
+        with_verdict(records.where(_suspect(constraints)), constraints)
+        .select(*ADDRESS, "team", "company_name", F.when(F.col("kind").isNotNull(), F.array(found)).alias("_found"))
+        .select(*ADDRESS, "team", "company_name", F.explode_outer("_found").alias("f"))
+        .where(F.col("f").isNotNull())
+        .select(*ADDRESS, "f.*", "team", "company_name")
     )
 
 
@@ -144,8 +157,10 @@ def validation_errors(records: DataFrame, constraints: list[Constraint] = DEFAUL
             tests.append((~missing & _bad_text_date(), finding(len(tests), k, value, "DATE", F.lit(f"字段 [{k.field}] 无法解析为日期"))))
     findings = F.array_compact(F.array(*[F.when(cond, item) for cond, item in tests]))
     return (
-        records.where(_any([cond for cond, _ in tests]))
-        .select(*ADDRESS, F.explode(findings).alias("f"))
+        records.where(_suspect(constraints))
+        .select(*ADDRESS, findings.alias("_found"))
+        .select(*ADDRESS, F.explode_outer("_found").alias("f"))
+        .where(F.col("f").isNotNull())
         .select(*ADDRESS, "f.*")
     )
 
