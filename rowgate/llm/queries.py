@@ -5,13 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowgate.llm import packing, simhash
+from rowgate.llm import langid, packing, pii, simhash, tiling
 from rowgate.llm.common import read
 
 
+def fold(id_col: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo folds; -1 for a null id, which is in no fold."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)), F.lit(-1))
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from the rows that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    model = langid.learn(docs, ~fold("doc_id", 3).isin(1, -1))
+    return langid.predict(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: counts and digest of the base spans, and all spans."""
+    docs = read(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.learn(docs))
+    text = F.transform("spans", lambda s: F.concat_ws(":", s.kind, s.start, s.end))
+    base = F.transform(F.filter("spans", lambda s: s.base), lambda s: F.concat_ws(":", s.kind, s.start, s.end))
+
+    def n_base(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s.base & (s.kind == kind))).cast("bigint").alias(f"n_{kind}")
+
+    count = [n_base(k) for k in pii.KINDS]
+    return found.select("doc_id", *count, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(text, ",").alias("spans"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: 3-word shingles, at most 2 of 64 bits apart."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), width=3, radius=2, segments=2)
@@ -25,9 +51,20 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(pieces)
 
 
+def op9_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that give a benchmark item away, with the item and the tiles."""
+    found = tiling.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    tile = F.transform("tiles", lambda t: F.concat_ws(":", t.doc_start, t.test_start, t.words))
+    words = F.aggregate("tiles", F.lit(0).cast("bigint"), lambda a, t: a + t.words)
+    return found.select("doc_id", "item_id", "coverage", words.alias("matched_words"), F.array_join(tile, ",").alias("tiles"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
+    "op3_pii": op3_pii,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
+    "op9_tiling": op9_tiling,
 }
 
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,105 @@
+from collections import defaultdict
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from rowgate.llm import components, simhash
+from rowgate.llm.queries import op7_simhash
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain_fingerprint(text, width=3):
+    words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ")
+             .replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_classes(fps, radius=2):
+    """Smallest id that can be reached, by trying all pairs."""
+    values = sorted(set(fps.values()))
+    near = {v: [w for w in values if (v ^ w).bit_count() <= radius] for v in values}
+    ids, out = defaultdict(list), {}
+    for d, v in fps.items():
+        ids[v].append(d)
+    for v in values:
+        if v in out:
+            continue
+        seen, todo = {v}, [v]
+        while todo:
+            for w in near[todo.pop()]:
+                if w not in seen:
+                    seen.add(w)
+                    todo.append(w)
+        for w in seen:
+            out[w] = min(d for x in seen for d in ids[x])
+    return {d: out[v] for d, v in fps.items()}
+
+
+def test_query_against_all_pairs(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    fps = {d: plain_fingerprint(t) for d, t in texts.items()}
+    classes = plain_classes(fps)
+    got = op7_simhash(spark, SF).collect()
+    assert len(got) == len(texts)
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {d: (f"{v:016x}", classes[d]) for d, v in fps.items()}
+
+
+def near_values(n):
+    """Fingerprints in chains and clusters of small distance, negative ones too."""
+    out, v = [], 0x9E3779B97F4A7C15
+    for i in range(n):
+        v = (v * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+        out += [v, v ^ (1 << i % 64), v ^ (3 << i % 63), v ^ (1 << i % 64) ^ (7 << (i * 5) % 60)]
+    return sorted({x - (1 << 64) if x >> 63 else x for x in [*out, 0, 1, 3, (1 << 64) - 1, (1 << 64) - 4]})
+
+
+@pytest.mark.parametrize(("radius", "segments"), [(2, 2), (0, 1), (1, 2), (3, 2), (4, 4)])
+def test_links_are_all_pairs_within_the_radius(spark, radius, segments):
+    values = near_values(12)
+    fps = spark.createDataFrame([(v,) for v in values], "fp bigint")
+    got = {(r.a, r.b) for r in simhash.links(fps, radius, segments).collect()}
+    expected = {(a, b) for a in values for b in values if a < b and ((a ^ b) % (1 << 64)).bit_count() <= radius}
+    assert got == expected
+
+
+def test_components_of_chains_stars_and_cycles(spark):
+    edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 30)] + [(50, 51), (51, 52), (52, 50)]
+    edges += [(60, 60), (None, 61), (8, 7), (8, 7)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    expected = {i: 100 for i in range(100, 141)} | {i: 7 for i in range(7, 30)} | {50: 50, 51: 50, 52: 50}
+    assert got == expected
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+ROWS = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, None), (4, ""), (5, " \n\t"), (None, "a b c d e f g h"), (None, "alone here now"),
+        (6, "A B\tC d  e\nf g h"), (7, "one"), (7, "one"), (8, "long " * 70_000 + "end")]
+
+
+def test_odd_rows(spark):
+    docs = spark.createDataFrame([(*r, "x", 0) for r in ROWS], "doc_id bigint, text string, fp string, component_id int")
+    got = simhash.near_duplicates(docs).collect()
+    by = defaultdict(set)
+    for r in got:
+        by[r.doc_id].add((r.fp % (1 << 64), r.component_id))
+    assert len(got) == len(ROWS)
+    for d, t in ROWS:
+        assert plain_fingerprint(t) in {f for f, _ in by[d]}
+    assert {c for _, c in by[6] | by[2] | by[1]} == {1}
+    assert {c for _, c in by[4] | by[5] | by[3]} == {3}
+    assert (plain_fingerprint("alone here now"), None) in by[None]
+    empty = simhash.near_duplicates(docs.limit(0))
+    assert empty.count() == 0
+
+
+def test_one_document_of_each_class_stays_with_its_columns(spark):
+    docs = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(ROWS)], "doc_id bigint, text string, text_hash_ string, copy_ int")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = sorted(kept.select(F.coalesce("doc_id", F.lit(-1))).collect())
+    assert [r[0] for r in got] == [-1, 1, 3, 7, 8]
