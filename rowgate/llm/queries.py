@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowgate.llm import langid, packing, pii, simhash, tiling
+from rowgate.llm import langid, packing, pii, simhash, tiling, toxicity
 from rowgate.llm.common import read
 
 
-def fold(id_col: str, folds: int) -> Column:
+def fold_of(ids: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; -1 for a null id, which is in no fold."""
-    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)), F.lit(-1))
+    return F.coalesce(F.pmod(F.crc32(ids.cast("string").cast("binary")), F.lit(folds)), F.lit(-1))
+
+
+def fold(id_col: str, folds: int) -> Column:
+    return fold_of(F.col(id_col), folds)
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,12 +63,21 @@ def op9_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "coverage", words.alias("matched_words"), F.array_join(tile, ",").alias("tiles"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labelled rows that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels"), lambda c: ~fold_of(c, 4).isin(2, -1))
+    held = fold("doc_id", 4) == 2
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "ratio", "n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op3_pii": op3_pii,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op9_tiling": op9_tiling,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
