@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowgate.llm import langid, packing, pii, simhash, tiling, toxicity
+from rowgate.llm import langid, oracles, packing, pii, quality, simhash, tiling, toxicity
 from rowgate.llm.common import read
 
 
@@ -42,6 +42,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(text, ",").alias("spans"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts and verdict of all documents; strata are the languages."""
+    found = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: 3-word shingles, at most 2 of 64 bits apart."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), width=3, radius=2, segments=2)
@@ -74,10 +80,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op3_pii": op3_pii,
+    "op5_quality": op5_quality,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op9_tiling": op9_tiling,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_quality": oracles.QUALITY}
