@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowgate.llm.common import map_batches, quoted
-from rowgate.llm.tokens import WordEncoder, model_text
+from rowgate.llm.tokens import kept_encoder, model_text
 
 #: Pieces that wait for a sequence in a task; more only widens the choice.
 WAITING = 512
@@ -117,13 +117,13 @@ def pack(
     kind, model = docs.schema[id_col].dataType.simpleString(), model_text(tokenizer)
 
     def packed(batches):
-        encoder = WordEncoder(model)
+        encoder = kept_encoder(model)
         packer = Packer(max_tokens, max_segments, max_loss_tokens, TaskContext.get().partitionId() << 40)
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 rows += packer.add(doc, np.append(ids, np.uint32(end_id)).astype("<u4"))
                 if len(packer.waiting) >= 2 * WAITING:
                     rows += packer.pack(WAITING)

@@ -5,14 +5,23 @@ ids of its words. Words are encoded once a batch and looked up as arrays."""
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The cache starts anew beyond so many words or ids.
-CACHE_WORDS, CACHE_IDS = 1_000_000, 8_000_000
+CACHE_WORDS, CACHE_IDS = 700_000, 8_000_000
+
+
+def _byte_signs() -> dict[int, int]:
+    """Bytes that byte-level vocabularies write as another sign: those that are no visible Latin-1 character take the code points from 256 on."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
 
 
 class WordEncoder:
@@ -27,9 +36,10 @@ class WordEncoder:
             raise ValueError("the file is no BPE with word ends")
         self.whole = Tokenizer.from_str(model)
         self.whole.encode_special_tokens = True
-        self.model = self.whole.model
-        self.plain = re.compile(r"[\t-\r -~]*").fullmatch
-        self.parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII).findall
+        self.model, self.signs = self.whole.model, _byte_signs()
+        # Of ASCII and the letters of Latin-1 it is known how the tokenizer cuts them; everything else goes through all of it.
+        self.plain = re.compile(r"[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]*").fullmatch
+        self.parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r a-z0-9\xdf-\xf6\xf8-\xff]+").findall
         self._clear()
 
     def _clear(self) -> None:
@@ -37,41 +47,61 @@ class WordEncoder:
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def _plain_ids(self, word: str) -> list[int]:
+        merge, out = self.model.tokenize, []
+        for part in self.parts(word.lower()):
+            sign = part if part.isascii() else part.encode().decode("latin-1").translate(self.signs)
+            out += [t.id for t in merge(sign)]
+        return out
+
     def _learn(self, words: list[str]) -> None:
-        """Takes words into the cache. ASCII words go straight to the merges, others through the whole tokenizer."""
-        plain, parts, merge = self.plain, self.parts, self.model.tokenize
-        known: dict[str, list[int]] = {}
+        """Takes words into the cache."""
+        plain, ids_of = self.plain, self._plain_ids
         odd = [w for w in words if not plain(w)]
-        for w, e in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            known[w] = e.ids
-        ids = [known[w] if w in known else [t.id for p in parts(w.lower()) for t in merge(p)] for w in words]
+        known = dict(zip(odd, (e.ids for e in self.whole.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
+        ids = [known[w] if w in known else ids_of(w) for w in words]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-        base = len(self.index)
-        self.index.update((w, base + i) for i, w in enumerate(words))
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
         self.sizes = np.concatenate((self.sizes, sizes))
         self.flat = np.concatenate((self.flat, flat))
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit numbers; null is empty."""
         if len(self.index) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
             self._clear()
-        words = [(t or "").split(" ") for t in texts]
-        new: dict[str, None] = {}
-        for w in words:
-            new.update(dict.fromkeys(w))
-        self._learn([w for w in new if w not in self.index])
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        words = pc.split_pattern(pc.ascii_lower(column.fill_null("")), " ")
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        collecting = gc.isenabled()
+        gc.disable()  # many small lists and no cycles
+        self._learn([w for w in distinct if w not in self.index])
+        if collecting:
+            gc.enable()
+        at = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        ends = words.offsets.to_numpy() - words.offsets[0].as_py()
         out = []
-        for w in words:
-            at = np.fromiter(map(self.index.__getitem__, w), np.int64, len(w))
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            shift = np.repeat(self.starts[at] - ends + sizes, sizes)
+        for start, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            own = at[start:end]
+            sizes = self.sizes[own]
+            last = np.cumsum(sizes)
+            shift = np.repeat(self.starts[own] - last + sizes, sizes)
             out.append(self.flat[shift + np.arange(len(shift))])
         return out
 
 
+def kept_encoder(model: str) -> WordEncoder:
+    """The encoder of this Python worker. It stays for the worker's next tasks, so that they need not learn the same words."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_kept_encoders", {})
+    if model not in kept:
+        kept[model] = WordEncoder(model)
+    return kept[model]
+
+
 def model_text(path: str) -> str:
     """Content of a tokenizer file on the driver, to be sent to the tasks; a few MB at most, which is checked."""
     size = os.path.getsize(path)
