@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowgate.llm.common import Scratch, quoted
+from rowgate.llm.common import Scratch, quoted, unused
 
 #: Share of the good documents of a stratum that may be rejected, and the probability that any stratum exceeds it.
 RISK, ERROR = 0.05, 0.1
@@ -132,19 +132,25 @@ def _judge(judged: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return judged.join(_by_stratum(cutoffs), F.col("stratum").eqNullSafe(F.col("stratum_")), "left")
 
 
+def _counted(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
+    """Counts of all rows as a table. It is written because a filter on counts would be pushed below the steps that make them."""
+    carried = [quoted(id_col).alias("doc_id"), quoted(stratum_col).cast("string").alias("stratum"), F.xxhash64(quoted(text_col)).alias("text_hash")]
+    return scratch.table(counts(quoted(text_col), docs, *carried))
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", **how) -> DataFrame:
-    """One row per document row: doc_id, stratum, the counts, base_failed and kept. Cutoffs come from the labelled ones among the documents."""
+    """One row per document row: doc_id, stratum, text_hash, the counts, base_failed and kept. Cutoffs come from the labelled ones among the documents."""
     scratch = Scratch(docs.sparkSession, "quality")
-    judged = scratch.table(counts(quoted(text_col), docs, quoted(id_col).alias("doc_id"), quoted(stratum_col).cast("string").alias("stratum")))
+    judged = _counted(docs, scratch, id_col, text_col, stratum_col)
     cutoffs = scratch.table(choose_cutoffs(judged, labels, label_col, id_col, **how))
-    return _judge(judged, cutoffs).select("doc_id", "stratum", *COUNTS, base_failed().alias("base_failed"), _passes().alias("kept"))
+    return _judge(judged, cutoffs).select("doc_id", "stratum", "text_hash", *COUNTS, base_failed().alias("base_failed"), _passes().alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", **how) -> DataFrame:
-    """The documents that are kept, with all their columns. Texts are counted a second time and not shuffled."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    stratum = quoted(stratum_col).cast("string").alias("stratum")
-    judged = scratch.table(counts(quoted(text_col), docs, quoted(id_col).alias("doc_id"), stratum))
-    cutoffs = scratch.table(choose_cutoffs(judged, labels, label_col, id_col, **how))
-    whole = counts(quoted(text_col), docs, F.struct(*map(quoted, docs.columns)).alias("row"), stratum)
-    return _judge(whole, cutoffs).where(_passes()).select("row.*")
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **how) -> DataFrame:
+    """The documents that are kept, with all their columns."""
+    th, *keys = unused(docs, "text_hash_", "key_", "of_", "hash_")
+    found = judge(docs, labels, id_col, text_col, stratum_col, **how).where(~F.col("kept"))
+    bad = found.select(F.col("doc_id").alias(keys[0]), F.col("stratum").alias(keys[1]), F.col("text_hash").alias(keys[2])).distinct()
+    bad = Scratch(docs.sparkSession, "quality").table(bad)  # written, so that its size is known when the join is planned
+    same = quoted(id_col).eqNullSafe(F.col(keys[0])) & quoted(stratum_col).cast("string").eqNullSafe(F.col(keys[1])) & (F.col(th) == F.col(keys[2]))
+    return docs.withColumn(th, F.xxhash64(quoted(text_col))).join(bad, same, "left_anti").drop(th)

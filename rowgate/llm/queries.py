@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowgate.llm import langid, oracles, packing, pii, quality, simhash, tiling, toxicity
-from rowgate.llm.common import read
+from rowgate.llm import chat, langid, licences, materialise, oracles, packing, pii, quality, simhash, tiling, toxicity
+from rowgate.llm.common import Scratch, read
+from rowgate.session import run_folder
 
 
 def fold_of(ids: Column, folds: int) -> Column:
@@ -28,6 +29,12 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in all documents, and the known sentences found."""
+    found = licences.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licences", ",").alias("licences"), F.array_join("sentences", ",").alias("sentences"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents: counts and digest of the base spans, and all spans."""
     docs = read(spark, sf_dir, "documents")
@@ -42,12 +49,33 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(text, ",").alias("spans"))
 
 
+#: Both texts of the extra conversation of op4_chat.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one with control strings in its texts, formatted, written and read back."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], turns.schema)
+    formatted = chat.format_turns(turns.unionAll(extra), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+    return chat.read_back(Scratch(spark, "chat").table(formatted))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts and verdict of all documents; strata are the languages."""
     found = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as fixed-stride shards in training order, read back record by record."""
+    ranks = materialise.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = read(spark, sf_dir, "documents")
+    shards = materialise.materialise(docs, run_folder(spark, "shards"), ranks, public_tokenizers.PATTERN, end_id=50256, key=2024)
+    records = materialise.read_records(spark, shards)
+    return records.select("slot", "shard", "byte_offset", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: 3-word shingles, at most 2 of 64 bits apart."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), width=3, radius=2, segments=2)
@@ -79,8 +107,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op2_licences": op2_licences,
     "op3_pii": op3_pii,
+    "op4_chat": op4_chat,
     "op5_quality": op5_quality,
+    "op6_materialise": op6_materialise,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op9_tiling": op9_tiling,
