@@ -118,4 +118,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op5_quality": oracles.QUALITY}
+ORACLES: dict[str, str] = {"op2_licences": oracles.LICENCES, "op5_quality": oracles.QUALITY}
