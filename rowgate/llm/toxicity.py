@@ -93,6 +93,11 @@ def _context(g: str = "g") -> Column:
     return F.shiftright(g, SYMBOL)
 
 
+def _context_mark(size: int) -> int:
+    """Marks the contexts of n-grams of a size."""
+    return 7 << 60 | 1 << SYMBOL * (size - 1)
+
+
 def _suffix(size: int) -> Column:
     return F.col("g").bitwiseAND(F.lit((1 << SYMBOL * (size - 1)) - 1))
 
@@ -105,7 +110,8 @@ def _discount(table: DataFrame, columns: list[str]) -> float:
 
 
 def weights(top: DataFrame, order: int, shared: int, scratch: Scratch) -> DataFrame:
-    """(key, weight) from the counts of the highest order; key holds the n-gram and, above bit 60, its size."""
+    """(context, key, weight) from the counts of the highest order. Keys of n-grams have their size above bit 60 and weigh what the order
+    adds to the next lower one; keys of contexts have 7 there, and weigh what holds for an n-gram that was not seen."""
     tables = {order: top}
     for k in range(order - 1, 0, -1):  # continuation counts: in how many n-grams of the next order it is the end
         longer = tables[k + 1].withColumn("g", _suffix(k + 1))
@@ -126,12 +132,14 @@ def weights(top: DataFrame, order: int, shared: int, scratch: Scratch) -> DataFr
         contexts = scratch.table(tables[k].groupBy(_context().alias("h")).agg(*sums).select("h", "t_sum", "o_sum", *back))
         now = tables[k].withColumns({"h": _context(), "s": _suffix(k)}).join(contexts, "h").join(lower.select(F.col("g").alias("s"), "pt", "po"), "s")
         p = [F.expr(f"if({c}_sum > 0, greatest({c} - {d}, 0) / {c}_sum, 0D) + {c}_back * p{c} AS q{c}") for c in "to"]
-        now = scratch.table(now.select("g", "pt", "po", "t_back", "o_back", *p))
-        seen = F.expr("ln(qt / qo) - ln(t_back / o_back) - ln(pt / po)")
-        out.append(now.select(F.col("g").bitwiseOR(F.lit(k << 60)).alias("key"), seen.alias("w")))
-        out.append(contexts.select(F.col("h").bitwiseOR(F.lit((k - 1) << 60)).alias("key"), F.expr("ln(t_back / o_back)").alias("w")))
+        now = scratch.table(now.select("g", "pt", "po", *p))
+        seen = F.expr("ln(qt / qo) - ln(pt / po)").cast("float").alias("weight")
+        mark = F.lit(_context_mark(k))
+        out.append(now.select(_context().bitwiseOR(mark).alias("context"), F.col("g").bitwiseOR(F.lit(k << 60)).alias("key"), seen))
+        context = F.col("h").bitwiseOR(mark)
+        out.append(contexts.select(context.alias("context"), context.alias("key"), F.expr("ln(t_back / o_back)").cast("float").alias("weight")))
         lower = now.select("g", F.col("qt").alias("pt"), F.col("qo").alias("po"))
-    return reduce(DataFrame.unionAll, out).groupBy("key").agg(F.sum("w").cast("float").alias("weight"))
+    return reduce(DataFrame.unionAll, out)
 
 
 class Lookup:
@@ -148,19 +156,19 @@ class Lookup:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Weights, 0 where there is none."""
-        out = np.zeros(len(keys), np.float32)
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights, 0 where there is none, and where there is one."""
+        out, known = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
         slots = self._slot(keys)
         at, end = self.start[slots], self.start[slots + 1]
         left = np.flatnonzero(at < end)
         at, end, keys = at[left], end[left], keys[left]
         while len(left):
             hit = self.keys[at] == keys
-            out[left[hit]] = self.values[at[hit]]
+            out[left[hit]], known[left[hit]] = self.values[at[hit]], True
             on = ~hit & (at + 1 < end)
             left, at, end, keys = left[on], at[on] + 1, end[on], keys[on]
-        return out
+        return out, known
 
 
 def ratios(docs: DataFrame, table: DataFrame, order: int, shared: int) -> DataFrame:
@@ -169,9 +177,9 @@ def ratios(docs: DataFrame, table: DataFrame, order: int, shared: int) -> DataFr
     passes = -(-size // WEIGHTS_AT_ONCE) or 1
     if passes == 1:
         return _pass(docs, table, order, shared)
-    # Several passes, each with a share of the weights: the sums of equal rows are equal, so they are added by row content.
+    # Several passes, each with a share of the contexts and their n-grams: the sums of equal rows are equal, so they are added by row content.
     marked = docs.withColumn("h_", F.xxhash64(*docs.columns))
-    parts = [_pass(marked, table.where(F.pmod(F.hash("key"), F.lit(passes)) == i), order, shared).withColumn("i_", F.lit(i)) for i in range(passes)]
+    parts = [_pass(marked, table.where(F.pmod(F.hash("context"), F.lit(passes)) == i), order, shared).withColumn("i_", F.lit(i)) for i in range(passes)]
     rest = [c for c in docs.columns if c != "t"]
     once = reduce(DataFrame.unionAll, parts).groupBy("h_", "i_").agg(*[F.first(c).alias(c) for c in rest], F.first("ratio").alias("ratio"), F.first("n").alias("n"), F.count("*").alias("copies"))
     full = once.groupBy("h_").agg(*[F.first(c).alias(c) for c in rest], F.sum("ratio").alias("ratio"), F.first("n").alias("n"), F.first("copies").alias("copies"))
@@ -190,14 +198,14 @@ def _pass(docs: DataFrame, table: DataFrame, order: int, shared: int) -> DataFra
             texts = batch.column(at).to_pylist()
             total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             for symbols, owner in grams.blocks(texts):
-                for size in range(shared, order + 1):
+                for size in range(shared + 1, order + 1):
                     found, whose = grams.windows(symbols, owner, size)
                     if size == order:
                         n += np.bincount(whose, minlength=len(texts))
-                    if size == shared:  # contexts only, so not at a text's end
-                        inner = np.diff(whose, append=-1) == 0
-                        found, whose = found[inner], whose[inner]
-                    total += np.bincount(whose, lookup.get(found | (size << 60)), minlength=len(texts))
+                    weight, known = lookup.get(found | (size << 60))
+                    new = np.flatnonzero(~known)
+                    weight[new] = lookup.get((found[new] >> SYMBOL) | _context_mark(size))[0]
+                    total += np.bincount(whose, weight, minlength=len(texts))
             kept = [(c, f) for i, (c, f) in enumerate(zip(batch.columns, batch.schema, strict=True)) if i != at]
             yield pa.RecordBatch.from_arrays([*[c for c, _ in kept], pa.array(total), pa.array(n)], [*[f.name for _, f in kept], "ratio", "n"])
 
