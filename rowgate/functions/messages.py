@@ -13,6 +13,18 @@ PROBLEM_JOINER = "；"
 RANGE_JOINER = ", "
 UNKNOWN_ERROR = "未知错误"
 NUMERIC_DATE_HINT = "（日期列应为文本格式，请勿使用数值/常规格式）"
+NOT_NULL_TEXT = ("字段 [", "] 不能为空 (NOT NULL 约束)")
+LENGTH_TEXT = ("字段 [", "] 值长度 ", " 超过限制 ")
+LOAD_DATE_TEXT = ("字段 [", "] 第 ", " 行 值 '", "' 不是有效日期（应形如 2024-01-31）")
+VALIDATION_DATE_TEXT = ("字段 [", "] 无法解析为日期")
+ROWS_TEXT = ("第 ", " 行")
+SCANNED_TEXT = ("，已扫描整个 Sheet 共 ", " 行")
+LOAD_HEAD_TEXT = ("共 ", " 行数据存在错误")
+VALIDATION_HEAD_TEXT = ("验证完成，Sheet [", "] 共 ", " 行数据存在错误")
+LOAD_TITLE_TEXT = ("  · ", "：", " 行")
+VALIDATION_TITLE_TEXT = ("\n■ 错误类型（", " 行）: ")
+LOAD_ROWS_INDENT, VALIDATION_ROWS_INDENT = "    出错行: ", "  出错行: "
+RUN_ERROR_TEXT = (" 张表导入失败：",)
 PROBLEM_TEXT = {
     "null": "必填字段为空，请补填",
     "date": "日期格式无法识别（应形如 2024-01-31）",

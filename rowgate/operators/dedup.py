@@ -24,13 +24,13 @@ from rowgate.operators.rows import numeric_date
 SHEET = "sheet"
 GLOBAL = "global"
 
-# A row position as one integer, sheet order first, so that minima and windows work on a
-# primitive column: 2^15 sheets of 2^48 rows each.
-ROW_BITS = 48
+# A row's place in the input. The sheet name stands beside its order, because sheets may share an order or have none;
+# a row's identity is (sheet_name, row_num).
+POSITION = ["sheet_order", "sheet_name", "row_num"]
 
 
 def _position() -> Column:
-    return F.shiftleft(F.col("sheet_order").cast("bigint"), ROW_BITS) + F.col("row_num")
+    return F.struct(*POSITION)
 
 
 def _scope(mode: str) -> list[str]:
@@ -64,22 +64,31 @@ def kept_rows(
 ) -> DataFrame:
     """Rows that stay, with all their columns: keepers, ineligible rows and unselected sheets.
 
-    Ineligible rows are their own group (their position is part of the partition), so one pass over the
-    input and one shuffle serve both kinds. The hash comes first because rows are sorted by the
-    partition columns: names share long beginnings, hashes do not."""
-    keyed = with_key(rows, key_index, sheets).withColumn("_pos", _position())
-    group = [F.when(F.col("eligible"), F.col(c)) for c in _scope(mode)] + [F.when(~F.col("eligible"), F.col("_pos"))]
-    earliest = W.partitionBy(F.xxhash64(*group), *group).orderBy("dedup_date", "_pos")
-    return keyed.withColumn("_rank", F.row_number().over(earliest)).where("_rank = 1").select(*rows.columns)
+    Rows that do not take part are passed by without a shuffle; sheets that are not selected leave the scan by a pushed
+    filter. The others are ranked, cut to one row per key before the shuffle. The hash comes first because rows are sorted by
+    the partition columns: names share long beginnings, hashes do not."""
+    keyed = with_key(rows, key_index, sheets)
+    untouched = keyed.where(~F.col("eligible"))
+    scope = _scope(mode)
+    earliest = W.partitionBy(F.xxhash64(*scope), *scope).orderBy("dedup_date", *POSITION)
+    best = keyed.where("eligible").withColumn("_rank", F.row_number().over(earliest)).where("_rank = 1")
+    return untouched.select(*rows.columns).unionByName(best.select(*rows.columns))
 
 
-def _dated_keys(rows: DataFrame, mode: str, key_index: int, sheets: list[str] | None) -> tuple[DataFrame, DataFrame]:
+def keyed_rows(
+    rows: DataFrame, key_index: int = DEFAULT_KEY_INDEX, sheets: list[str] | None = None
+) -> DataFrame:
+    """Every row, narrow: its address, whether it takes part, and if so its key, date and both cells as they are written. The
+    listing, the keepers and the statistics can all be made from it."""
+    taking = [F.col("dedup_key"), F.col("dedup_date"), _key_cell(rows, key_index).alias("raw_key"), F.col("c0").alias("raw_time")]
+    names = ["dedup_key", "dedup_date", "raw_key", "raw_time"]
+    keyed = with_key(rows, key_index, sheets)
+    return keyed.select(*ADDRESS, "eligible", *[F.when(F.col("eligible"), c).alias(n) for c, n in zip(taking, names)])
+
+
+def _dated_keys(keyed: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
     """(eligible rows with their position, first position and count per key and date)."""
-    eligible = (
-        with_key(rows, key_index, sheets)
-        .where("eligible")
-        .select(*ADDRESS, "dedup_key", "dedup_date", _position().alias("pos"), _key_cell(rows, key_index).alias("raw_key"), F.col("c0").alias("raw_time"))
-    )
+    eligible = keyed.where("eligible").withColumn("pos", _position())
     first = eligible.groupBy(*_scope(mode), "dedup_date").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n"))
     return eligible, first
 
@@ -88,25 +97,23 @@ def keepers(
     rows: DataFrame, mode: str = GLOBAL, key_index: int = DEFAULT_KEY_INDEX, sheets: list[str] | None = None
 ) -> DataFrame:
     """One narrow row per key: the address of its keeper, its date and the number of rows."""
-    _, first = _dated_keys(rows, mode, key_index, sheets)
+    return keepers_of(keyed_rows(rows, key_index, sheets), mode)
+
+
+def keepers_of(keyed: DataFrame, mode: str = GLOBAL) -> DataFrame:
+    """keepers, from the result of keyed_rows."""
+    _, first = _dated_keys(keyed, mode)
     return (
         first.groupBy(*_scope(mode))
         .agg(F.min("dedup_date").alias("keep_date"), F.min_by("first_pos", "dedup_date").alias("_pos"), F.sum("n").alias("n_rows"))
-        .select(
-            *_scope(mode),
-            "keep_date",
-            F.shiftright("_pos", ROW_BITS).cast("int").alias("keep_sheet_order"),
-            (F.col("_pos") - F.shiftleft(F.shiftright("_pos", ROW_BITS), ROW_BITS)).alias("keep_row_num"),
-            "n_rows",
-        )
+        .select(*_scope(mode), "keep_date", *[F.col(f"_pos.{c}").alias(f"keep_{c}") for c in POSITION], "n_rows")
     )
 
 
 def duplicate_list(
     rows: DataFrame, mode: str = GLOBAL, key_index: int = DEFAULT_KEY_INDEX, sheets: list[str] | None = None
 ) -> DataFrame:
-    """Keeper and losers of every key that lost rows, with the columns that order the list:
-    (group_pos, action_pos, lost_pos).
+    """Keeper and losers of every key that lost rows, with the columns that order the list (LIST_ORDER).
 
     Groups come in the order in which their key first occurs; inside a group the keeper comes first,
     then the losers in the order in which a reader going down the sheets drops them. A row is the
@@ -114,8 +121,16 @@ def duplicate_list(
     the next best arrives, any other row is dropped at its own position. Whether a row was a best can
     be told from the first position of each (key, date), a table with one row per distinct date of a key.
     """
+    return listing_of(keyed_rows(rows, key_index, sheets), mode)
+
+
+LIST_ORDER = [*[f"group_{c}" for c in POSITION], "action_pos", *[f"lost_{c}" for c in POSITION]]
+
+
+def listing_of(keyed: DataFrame, mode: str = GLOBAL) -> DataFrame:
+    """duplicate_list, from the result of keyed_rows."""
     scope = _scope(mode)
-    eligible, first = _dated_keys(rows, mode, key_index, sheets)
+    eligible, first = _dated_keys(keyed, mode)
     going_down = W.partitionBy(*scope).orderBy("first_pos")
     before = going_down.rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*scope)
@@ -132,24 +147,23 @@ def duplicate_list(
     )
     best = F.col("was_best") & (F.col("pos") == F.col("first_pos"))
     keeps = best & F.col("next_best").isNull()
+    lost = F.when(best & ~keeps, F.col("next_best")).otherwise(F.col("pos"))
     return (
         eligible.join(dates, [*scope, "dedup_date"])
+        .select(*ADDRESS, "raw_key", "raw_time", "dedup_key", "group_pos", keeps.alias("_keeps"), lost.alias("_lost"))
         .select(
-            F.when(keeps, "keep").otherwise("delete").alias("action"),
+            F.when(F.col("_keeps"), "keep").otherwise("delete").alias("action"),
             *ADDRESS,
             "raw_key",
             "raw_time",
             "dedup_key",
-            "group_pos",
-            F.when(keeps, 0).otherwise(1).alias("action_pos"),
-            F.when(keeps, F.col("pos")).when(best, F.col("next_best")).otherwise(F.col("pos")).alias("lost_pos"),
+            *[F.col(f"group_pos.{c}").alias(f"group_{c}") for c in POSITION],
+            F.when(F.col("_keeps"), 0).otherwise(1).alias("action_pos"),
+            *[F.col(f"_lost.{c}").alias(f"lost_{c}") for c in POSITION],
         )
     )
 
 
-LIST_ORDER = ["group_pos", "action_pos", "lost_pos"]
-
-
 def losers(
     rows: DataFrame, mode: str = GLOBAL, key_index: int = DEFAULT_KEY_INDEX, sheets: list[str] | None = None
 ) -> DataFrame:
@@ -171,25 +185,33 @@ def dedup_stats(
 ) -> DataFrame:
     """Per sheet: total, kept, deleted, copied_only. Blank rows count. Sheets of the inventory that
     have no rows appear with zeros."""
-    keyed = with_key(rows, key_index, sheets)
-    totals = keyed.groupBy("sheet_name", "sheet_order").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if("eligible").alias("n_eligible")
+    keyed = keyed_rows(rows, key_index, sheets)
+    totals = keyed.groupBy("sheet_name").agg(
+        F.min("sheet_order").alias("sheet_order"), F.count(F.lit(1)).alias("total"), F.count_if("eligible").alias("n_eligible")
     )
-    kept = keepers(rows, mode, key_index, sheets)
-    kept = kept.groupBy(F.col("keep_sheet_order").alias("sheet_order")).agg(F.count(F.lit(1)).alias("n_keepers"))
+    kept = keepers_of(keyed, mode).groupBy(F.col("keep_sheet_name").alias("sheet_name")).agg(F.count(F.lit(1)).alias("n_keepers"))
     zero = F.lit(0).cast("bigint")
-    if inventory is not None:
-        totals = inventory.select("sheet_name", "sheet_order").join(totals, ["sheet_name", "sheet_order"], "left")
+    counts = totals.join(kept, "sheet_name", "left")
     deleted = F.coalesce("n_eligible", zero) - F.coalesce("n_keepers", zero)
-    total = F.coalesce("total", zero)
+    return _stats(counts.select("sheet_name", "sheet_order", "total", deleted.alias("deleted")), sheets, inventory)
+
+
+def stats_of(kept: DataFrame, deleted: DataFrame, sheets: list[str] | None = None, inventory: DataFrame | None = None) -> DataFrame:
+    """The same statistics from what was written: rows that were kept and rows that were deleted, with their address."""
+    one = F.lit(1).cast("bigint")
+    both = kept.select("sheet_name", "sheet_order", F.lit(0).cast("bigint").alias("d")).unionByName(deleted.select("sheet_name", "sheet_order", one.alias("d")))
+    counts = both.groupBy("sheet_name").agg(F.min("sheet_order").alias("sheet_order"), F.count(F.lit(1)).alias("total"), F.sum("d").alias("deleted"))
+    return _stats(counts, sheets, inventory)
+
+
+def _stats(counts: DataFrame, sheets: list[str] | None, inventory: DataFrame | None) -> DataFrame:
+    if inventory is not None:
+        counts = inventory.select("sheet_name", "sheet_order").join(counts.drop("sheet_order"), "sheet_name", "left")
+    zero = F.lit(0).cast("bigint")
+    total, deleted = F.coalesce("total", zero), F.coalesce("deleted", zero)
     copied = F.lit(False) if sheets is None else ~F.col("sheet_name").isin(list(sheets))
-    return totals.join(kept, "sheet_order", "left").select(
-        "sheet_name",
-        "sheet_order",
-        total.alias("total"),
-        (total - deleted).alias("kept"),
-        deleted.alias("deleted"),
-        copied.alias("copied_only"),
+    return counts.select(
+        "sheet_name", "sheet_order", total.alias("total"), (total - deleted).alias("kept"), deleted.alias("deleted"), copied.alias("copied_only")
     )
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowgate.functions.messages import JOINER, RUN_ERROR_TEXT
+
 ABSENT = "sheet is not in the input"
 
 
@@ -18,15 +20,24 @@ def sheet_counts(verdicts: DataFrame) -> DataFrame:
 
 
 def load_gate(
-    selected: DataFrame, verdicts: DataFrame, inventory: DataFrame | None = None, table_errors: DataFrame | None = None
+    selected: DataFrame,
+    verdicts: DataFrame,
+    inventory: DataFrame | None = None,
+    table_errors: DataFrame | None = None,
+    errors: DataFrame | None = None,
 ) -> DataFrame:
     """Outcome per selected table (`selected`: sheet_name, table_name).
 
     A selected sheet with no rows passes and empties its table. With an inventory of the input, a
     selected sheet that is not in it fails. `table_errors` (table_name, error) are failures of the
-    table as a whole."""
+    table as a whole. With `errors` (one row per failing row or refused write), bad rows are counted there; a row counts once."""
     zero = F.lit(0).cast("bigint")
-    gate = selected.select("sheet_name", "table_name").join(sheet_counts(verdicts), "sheet_name", "left")
+    counts = sheet_counts(verdicts)
+    if errors is not None:
+        per_row = errors.groupBy("sheet_name", "row_num").agg(F.lit(1).alias("one"))
+        bad = per_row.groupBy("sheet_name").agg(F.count(F.lit(1)).alias("n_errors"))
+        counts = counts.drop("n_errors").join(bad, "sheet_name", "full_outer")
+    gate = selected.select("sheet_name", "table_name").join(counts, "sheet_name", "left")
     reasons: list[Column] = []
     if inventory is not None:
         present = inventory.select("sheet_name", F.lit(True).alias("_present")).distinct()
@@ -47,6 +58,20 @@ def load_gate(
     )
 
 
+def settled(gate: DataFrame, reconciled: DataFrame, write_error: str | None = None) -> DataFrame:
+    """The gate after the write: a table that should have been replaced, but holds another number of rows than were scanned or whose
+    write failed, has failed."""
+    diff = reconciled.select("table_name", "diff")
+    off = F.concat(F.lit("stored rows differ from scanned rows by "), F.col("diff").cast("string"))
+    found = F.when(F.lit(write_error is not None), F.lit(write_error)).when(F.col("diff") != 0, off)
+    error = F.when(F.col("status") == "success", found)
+    return gate.join(diff, "table_name", "left").select(
+        *[c for c in gate.columns if c not in ("table_error", "status")],
+        F.coalesce("table_error", error).alias("table_error"),
+        F.when(error.isNotNull(), "failed").otherwise(F.col("status")).alias("status"),
+    )
+
+
 def load_outcome(gate: DataFrame) -> DataFrame:
     """Totals of a run. `partial` means that at least one table failed, also when all did."""
     failed = F.count_if(F.col("status") == "failed")
@@ -61,17 +86,29 @@ def load_outcome(gate: DataFrame) -> DataFrame:
     )
 
 
+def run_error(gate: DataFrame) -> DataFrame:
+    """The run's error line in pieces, one per failed table in the order of names: read one after the other, they give the number of
+    failed tables and all their names. No piece for a run without a failure."""
+    failed = failed_tables(gate).select("table_name").distinct()
+    total = failed.agg(F.count(F.lit(1)).alias("n_failed"), F.min("table_name").alias("first"))
+    head = F.concat(F.col("n_failed").cast("string"), F.lit(RUN_ERROR_TEXT[0]))
+    text = F.when(F.col("table_name") == F.col("first"), F.concat(head, "table_name")).otherwise(F.concat(F.lit(JOINER), "table_name"))
+    joined = failed.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one")
+    return joined.select("table_name", "n_failed", text.alias("text"))
+
+
 def failed_tables(gate: DataFrame) -> DataFrame:
     return gate.where("status = 'failed'")
 
 
-def loadable_rows(verdicts: DataFrame, gate: DataFrame) -> DataFrame:
+def loadable_rows(records: DataFrame, gate: DataFrame) -> DataFrame:
     """Rows of the tables that passed, with their table name. A passed sheet has no bad row."""
     passed = gate.where("status = 'success'").select("sheet_name", "table_name")
-    return verdicts.where(F.col("kind").isNull()).drop("kind").join(passed, "sheet_name")
+    return records.drop("kind").join(passed, "sheet_name")
 
 
-def ledger_rows(gate: DataFrame, run_id: str, finished_at: str) -> DataFrame:
+def ledger_rows(gate: DataFrame, run_id: str, finished_at: str, started_at: str = "", source: str = "") -> DataFrame:
+    """History of a load, one row per table, with the error text of a failed one."""
     return gate.select(
         F.lit(run_id).alias("run_id"),
         "table_name",
@@ -79,7 +116,19 @@ def ledger_rows(gate: DataFrame, run_id: str, finished_at: str) -> DataFrame:
         "status",
         F.when(F.col("status") == "success", F.col("n_rows")).otherwise(F.lit(0)).cast("bigint").alias("rows"),
         F.col("n_errors").alias("error_rows"),
+        F.coalesce("table_error", F.lit("")).alias("error"),
+        F.lit(started_at).alias("started_at"),
         F.lit(finished_at).alias("finished_at"),
+        F.lit(source).alias("source"),
+    )
+
+
+def dedup_history(stats: DataFrame, run_id: str, mode: str, finished_at: str, started_at: str = "", source: str = "") -> DataFrame:
+    """History of a de-duplication: its totals in one row."""
+    total = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("total", "kept", "deleted")]
+    return stats.agg(F.count(F.lit(1)).alias("n_sheets"), F.count_if("copied_only").alias("n_copied"), *total).select(
+        F.lit(run_id).alias("run_id"), F.lit(mode).alias("mode"), "n_sheets", "n_copied", "total", "kept", "deleted",
+        F.lit(started_at).alias("started_at"), F.lit(finished_at).alias("finished_at"), F.lit(source).alias("source"),
     )
 
 
@@ -92,11 +141,20 @@ def reconcile(gate: DataFrame, target: DataFrame) -> DataFrame:
     loaded = gate.where("status = 'success'").select("table_name", "n_rows")
     zero = F.lit(0).cast("bigint")
     stored = F.coalesce("n_stored", zero)
-    return loaded.join(table_row_counts(target), "table_name", "left").select(
+    # Only the partitions of loaded tables are counted; their names are as many as the request has.
+    names = [r.table_name for r in loaded.select("table_name").distinct().collect()]
+    counts = table_row_counts(target.where(F.col("table_name").isin(names)))
+    return loaded.join(counts, "table_name", "left").select(
         "table_name", "n_rows", stored.alias("n_stored"), (stored - F.col("n_rows")).alias("diff")
     )
 
 
+def unknown(gate: DataFrame) -> DataFrame:
+    """The shape of reconcile after a write that failed: nothing is known about what is stored."""
+    nothing = F.lit(None).cast("bigint")
+    return gate.where("status = 'success'").select("table_name", "n_rows", nothing.alias("n_stored"), nothing.alias("diff"))
+
+
 def counts_agree(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two independent row counts per sheet (sheet_name, n), side by side. When they disagree, rows were
     lost or doubled, and the result must not be used."""

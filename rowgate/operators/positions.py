@@ -1,4 +1,4 @@
-"""Positions, ordinals, row ranges and text lines without one task per group.
+"""Positions, ordinals and row ranges without one task per group.
 
 A sheet, a message or an owner may hold a third of all rows, so no window here spans a whole
 group. Rows are cut into position buckets of BUCKET_ROWS; a window works inside
@@ -12,7 +12,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKET_ROWS = 1 << 16
-LINE_ROWS = 1 << 20
 
 
 def _bucket(position: Column, bucket_rows: int) -> Column:
@@ -89,24 +88,3 @@ def range_label(start: str = "range_start", end: str = "range_end") -> Column:
     """'140614-140615', or '140620' for a single row."""
     first, last = F.col(start).cast("string"), F.col(end).cast("string")
     return F.when(F.col(start) == F.col(end), first).otherwise(F.concat(first, F.lit("-"), last))
-
-
-def text_lines(
-    items: DataFrame,
-    groups: list[str],
-    position: str,
-    text: str,
-    separator: str,
-    out: str,
-    line_rows: int = LINE_ROWS,
-) -> DataFrame:
-    """Texts of a group joined in order of their position, one line for every `line_rows` positions.
-
-    A workbook sheet has LINE_ROWS rows at most, so its text is one line, line_no 1. The text of a
-    larger group goes on in the next lines, and none of it is left out."""
-    pieces = F.sort_array(F.collect_list(F.struct(position, text)))
-    return (
-        items.withColumn("line_no", _bucket(F.col(position), line_rows) + 1)
-        .groupBy(*groups, "line_no")
-        .agg(F.array_join(F.transform(pieces, lambda p: p[text]), separator).alias(out))
-    )

@@ -1,71 +1,90 @@
-"""Reports on failed rows: groups with row ranges, islands, summary per owner, detail."""
+"""Reports on failed rows: groups with row ranges, islands, summary per owner, detail.
+
+A report is rows at every size: one per row range, problem or title, with the columns that put them in order. The
+text of a report is its `text` column read in that order; no group is gathered for it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowgate.functions.messages import JOINER, PROBLEM_JOINER, RANGE_JOINER, UNKNOWN_ERROR, problem_text, reason_label
+from rowgate.functions.messages import (
+    JOINER,
+    LOAD_HEAD_TEXT,
+    LOAD_ROWS_INDENT,
+    LOAD_TITLE_TEXT,
+    PROBLEM_JOINER,
+    RANGE_JOINER,
+    ROWS_TEXT,
+    SCANNED_TEXT,
+    UNKNOWN_ERROR,
+    VALIDATION_HEAD_TEXT,
+    VALIDATION_ROWS_INDENT,
+    VALIDATION_TITLE_TEXT,
+    problem_text,
+    reason_label,
+)
 from rowgate.functions.text import NO_OWNER, NO_VALUE, first_line, text_or
-from rowgate.operators.positions import BUCKET_ROWS, LINE_ROWS, range_label, row_ranges, text_lines
+from rowgate.operators.positions import BUCKET_ROWS, range_label, row_ranges
 
 SHOWN_LINES = 12
+REPORT_ORDER = ["sheet_order", "sheet_name", "first_row", "message", "part", "position"]
 
 
-def error_groups(errors: DataFrame, line_rows: int = LINE_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Errors that have a row, grouped by sheet and message: count, first row, and the row ranges as text.
+def error_ranges(errors: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Errors that have a row, by sheet and message: one row per run of rows, with its number of errors."""
+    sums = {"n_errors": F.lit(1).cast("bigint")}
+    return row_ranges(errors, ["sheet_name", "sheet_order", "message"], sums=sums, bucket_rows=bucket_rows)
 
-    A line of a group holds the ranges that start in one block of `line_rows` rows; first_row orders
-    the groups."""
-    groups = ["sheet_name", "sheet_order", "message"]
-    ranges = row_ranges(errors, groups, bucket_rows=bucket_rows).withColumn(
-        "_text", F.concat(F.lit("第 "), range_label(), F.lit(" 行"))
-    )
-    lines = text_lines(ranges, groups, "range_start", "_text", RANGE_JOINER, "ranges", line_rows)
-    counts = (
-        errors.where(F.col("row_num").isNotNull())
-        .groupBy(*groups)
-        .agg(F.count(F.lit(1)).alias("n_errors"), F.min("row_num").alias("first_row"))
+
+def error_groups(ranges: DataFrame) -> DataFrame:
+    """One row per sheet and message of error_ranges: number of errors and first row, which orders the groups."""
+    return ranges.groupBy("sheet_name", "sheet_order", "message").agg(
+        F.sum("n_errors").alias("n_errors"), F.min("range_start").alias("first_row")
     )
-    # An inner join, so that a message with very many lines can be split at run time.
-    return lines.join(counts, groups).select(*groups, "n_errors", "first_row", "line_no", "ranges")
 
 
-def report_lines(by_sheet: DataFrame, groups: DataFrame, style: str) -> DataFrame:
-    """The text report of failed sheets as ordered lines (sheet_order, first_row, message, part,
-    line_no), to be joined with line ends; style is 'load' or 'validation'.
+def report_pieces(by_sheet: DataFrame, ranges: DataFrame, style: str) -> DataFrame:
+    """The text report of failed sheets in pieces; style is 'load' or 'validation'.
 
-    `by_sheet` has n_rows and n_errors per sheet, `groups` is the result of error_groups."""
+    Read in the order of REPORT_ORDER, the pieces are the report: a head per sheet, then for each message its title
+    and its row ranges. A failed table without row errors has its table_error in place of both.
+    `by_sheet` has n_rows and n_errors per sheet (and table_error, for a load), `ranges` is the result of error_ranges."""
+    if style not in ("load", "validation"):
+        raise ValueError(f"unknown report style: {style}")
 
-    def n(name: str) -> Column:
-        return F.col(name).cast("string")
+    def text(*parts: str | Column) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
-    scanned = F.when(F.col("n_rows") > 0, F.concat(F.lit("，已扫描整个 Sheet 共 "), n("n_rows"), F.lit(" 行"))).otherwise("")
+    n_rows, n_errors = F.col("n_rows"), F.col("n_errors")
+    scanned = F.when(n_rows > 0, text(SCANNED_TEXT[0], n_rows, SCANNED_TEXT[1])).otherwise("")
     if style == "load":
-        head = F.concat(F.lit("共 "), n("n_errors"), F.lit(" 行数据存在错误"), scanned, F.lit(":"))
-        title = F.concat(F.lit("  · "), F.col("message"), F.lit("："), n("n_errors"), F.lit(" 行"))
-        indent = "    出错行: "
-    elif style == "validation":
-        head = F.concat(
-            F.lit("验证完成，Sheet ["), F.col("sheet_name"), F.lit("] 共 "), n("n_errors"), F.lit(" 行数据存在错误"), scanned, F.lit(":")
-        )
-        title = F.concat(F.lit("\n■ 错误类型（"), n("n_errors"), F.lit(" 行）: "), F.col("message"))
-        indent = "  出错行: "
+        head = text(LOAD_HEAD_TEXT[0], n_errors, LOAD_HEAD_TEXT[1], scanned, ":")
+        title = text("\n", LOAD_TITLE_TEXT[0], F.col("message"), LOAD_TITLE_TEXT[1], n_errors, LOAD_TITLE_TEXT[2])
+        indent = LOAD_ROWS_INDENT
     else:
-        raise ValueError(f"unknown report style: {style}")
+        head = text(VALIDATION_HEAD_TEXT[0], F.col("sheet_name"), VALIDATION_HEAD_TEXT[1], n_errors, VALIDATION_HEAD_TEXT[2], scanned, ":")
+        title = text("\n", VALIDATION_TITLE_TEXT[0], n_errors, VALIDATION_TITLE_TEXT[1], F.col("message"))
+        indent = VALIDATION_ROWS_INDENT
     zero = F.lit(0).cast("bigint")
-    heads = by_sheet.where("n_errors > 0").select(
-        "sheet_name", "sheet_order", zero.alias("first_row"), F.lit("").alias("message"), F.lit(0).alias("part"), zero.alias("line_no"), head.alias("text")
+    failed = n_errors > 0
+    if "table_error" in by_sheet.columns:
+        head = F.when(n_errors > 0, head).otherwise(F.col("table_error"))
+        failed = failed | F.col("table_error").isNotNull()
+    heads = by_sheet.where(failed).select(
+        "sheet_name", "sheet_order", zero.alias("first_row"), F.lit("").alias("message"), F.lit(0).alias("part"), zero.alias("position"), head.alias("text")
     )
     order = ["sheet_name", "sheet_order", "first_row", "message"]
-    parts = F.array(
-        F.when(F.col("line_no") == 1, F.struct(F.lit(1).alias("part"), zero.alias("no"), title.alias("text"))),
-        F.struct(F.lit(2).alias("part"), F.col("line_no").alias("no"), F.concat(F.lit(indent), F.col("ranges")).alias("text")),
-    )
-    body = groups.select(*order, F.explode(F.array_compact(parts)).alias("p")).select(
-        *order, "p.part", F.col("p.no").alias("line_no"), "p.text"
+    groups = error_groups(ranges)
+    titles = groups.select(*order, F.lit(1).alias("part"), zero.alias("position"), title.alias("text"))
+    # An inner join, so that a message with very many ranges can be split at run time.
+    firsts = groups.select("sheet_name", "message", "first_row")
+    before = F.when(F.col("range_start") == F.col("first_row"), f"\n{indent}").otherwise(RANGE_JOINER)
+    shown = ranges.join(firsts, ["sheet_name", "message"]).select(
+        *order, F.lit(2).alias("part"), F.col("range_start").alias("position"), text(before, ROWS_TEXT[0], range_label(), ROWS_TEXT[1]).alias("text")
     )
-    return heads.unionByName(body)
+    return heads.unionByName(titles).unionByName(shown)
 
 
 def error_islands(
@@ -116,11 +135,10 @@ def error_islands(
 
 def with_tableless_errors(errors: DataFrame, failed_tables: DataFrame) -> DataFrame:
     """Adds one error without a row for every failed table that has no row errors; its message is the
-    first line of the table's error. `failed_tables`: sheet_name, sheet_order, error."""
-    silent = failed_tables.join(errors.select("sheet_name").distinct(), "sheet_name", "left_anti")
+    first line of the table's error. `failed_tables`: sheet_name, sheet_order, n_errors, error."""
     empty = F.lit(None).cast("string")
     return errors.unionByName(
-        silent.select(
+        failed_tables.where("n_errors = 0").select(
             "sheet_name",
             "sheet_order",
             F.lit(None).cast("bigint").alias("row_num"),
@@ -162,38 +180,44 @@ def error_detail(errors: DataFrame) -> DataFrame:
     )
 
 
-def summary_counts(errors: DataFrame) -> DataFrame:
-    """Per owner and sheet: distinct rows plus errors without a row."""
-    per_row = _owned(errors).groupBy("owner", "sheet_name", "sheet_order", "row_num").agg(F.count(F.lit(1)).alias("n"))
-    return per_row.groupBy("owner", "sheet_name", "sheet_order").agg(
-        F.sum(F.when(F.col("row_num").isNull(), F.col("n")).otherwise(F.lit(1))).alias("n_error_rows"),
-        F.coalesce(F.min("row_num"), F.lit(0)).alias("first_row"),
-    )
+OWNER = ["owner", "sheet_name", "sheet_order"]
+SUMMARY_ORDER = [*OWNER, "part", "position", "text"]
 
 
-def error_summary(errors: DataFrame, line_rows: int = LINE_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Per owner and sheet: count, row ranges and the distinct problems in the order they first occur.
-    Texts of groups beyond `line_rows` rows go on in further lines."""
-    group = ["owner", "sheet_name", "sheet_order"]
+def summary_ranges(errors: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row per owner, sheet and run of failed rows. Errors without a row are runs without bounds, with their number."""
     owned = _owned(errors)
-    ranges = row_ranges(owned, group, bucket_rows=bucket_rows).withColumn("_text", range_label())
-    range_lines = text_lines(ranges, group, "range_start", "_text", JOINER, "ranges", line_rows)
-    problems = owned.groupBy(*group, "problem").agg(F.coalesce(F.min("row_num"), F.lit(0)).alias("_first"))
-    problem_lines = text_lines(problems, group, "_first", "problem", PROBLEM_JOINER, "problems", line_rows)
-    lines = range_lines.join(problem_lines, [*group, "line_no"], "full_outer")
-    return lines.join(summary_counts(errors), group).select(
-        *group,
-        "line_no",
-        "n_error_rows",
-        "first_row",
-        F.coalesce("ranges", F.lit("")).alias("ranges"),
-        F.coalesce("problems", F.lit("")).alias("problems"),
+    ranges = row_ranges(owned, OWNER, bucket_rows=bucket_rows).withColumn("n_rows", F.col("range_end") - F.col("range_start") + 1)
+    rowless = owned.where(F.col("row_num").isNull()).groupBy(*OWNER).agg(F.count(F.lit(1)).alias("n_rows"))
+    nothing = F.lit(None).cast("bigint")
+    return ranges.unionByName(rowless.select(*OWNER, nothing.alias("range_start"), nothing.alias("range_end"), "n_rows"))
+
+
+def error_summary(ranges: DataFrame) -> DataFrame:
+    """Per owner and sheet, from summary_ranges: distinct rows plus errors without a row, and the first row."""
+    return ranges.groupBy(*OWNER).agg(F.sum("n_rows").alias("n_error_rows"), F.coalesce(F.min("range_start"), F.lit(0)).alias("first_row"))
+
+
+def summary_items(errors: DataFrame, ranges: DataFrame) -> DataFrame:
+    """What the summary lists for an owner and sheet, a row each: its row ranges ('rows') and its distinct problems ('problems'), at
+    the position where they first occur. `text` begins with the separator but for the first of its part, so that texts read in the
+    order of SUMMARY_ORDER are the cell of the summary."""
+    zero = F.lit(0).cast("bigint")
+    rows = ranges.where(F.col("range_start").isNotNull()).select(
+        *OWNER, F.lit("rows").alias("part"), F.col("range_start").alias("position"), range_label().alias("item"), F.lit(JOINER).alias("_joiner")
+    )
+    problems = _owned(errors).groupBy(*OWNER, "problem").agg(F.coalesce(F.min("row_num"), zero).alias("position")).select(
+        *OWNER, F.lit("problems").alias("part"), "position", F.col("problem").alias("item"), F.lit(PROBLEM_JOINER).alias("_joiner")
     )
+    items = rows.unionByName(problems)
+    first = items.groupBy(*OWNER, "part").agg(F.min(F.struct("position", "item")).alias("_first"))
+    text = F.when(F.struct("position", "item") == F.col("_first"), F.col("item")).otherwise(F.concat("_joiner", "item"))
+    return items.join(first, [*OWNER, "part"]).select(*OWNER, "part", "position", "item", text.alias("text"))
 
 
-def summary_footer(errors: DataFrame) -> DataFrame:
+def summary_footer(summary: DataFrame) -> DataFrame:
     """Distinct sheets and the sum of the counts of the summary."""
-    return summary_counts(errors).agg(
+    return summary.agg(
         F.count_distinct("sheet_name").alias("n_sheets"),
         F.coalesce(F.sum("n_error_rows"), F.lit(0)).cast("bigint").alias("n_error_rows"),
     )

@@ -1,43 +1,64 @@
 """Jobs that put the operators together and write their results.
 
-Each job is a fixed number of Spark actions. A failed job can be run again with the same input: the
-load replaces whole tables, and the other outputs go to a new run folder.
+A failed job can be run again with the same input and run id: the load replaces whole tables, its reports replace those of the
+same run, and the ledger is append-only. Intermediate tables are removed when a job ends.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rowgate.functions.schema import DEFAULT_CONSTRAINTS, DEFAULT_KEY_INDEX, DEFAULT_MAPPING, Constraint, FieldMapping
 from rowgate.operators import checks, dedup, gate, lookups, reports
 from rowgate.operators.rows import nonblank_rows, select_sheets, sheet_inventory, to_records
+from rowgate.session import remove_folder, run_folder
 from rowgate.sources import sinks
 
 
 class RefusedRequest(ValueError):
-    """The request cannot be started; nothing was changed."""
+    """The request cannot be started; nothing was changed. `rows` holds everything that speaks against it, the message its
+    first names and their number."""
+
+    def __init__(self, reason: str, rows: DataFrame | None = None) -> None:
+        super().__init__(reason)
+        self.rows = rows
+
+
+def _refuse_if_any(rows: DataFrame, reason: str, name: str, order: str) -> None:
+    found = lookups.preview(rows.select(F.col(name).alias("sheet_name"), F.col(order).alias("sheet_order")).distinct()).first()
+    if found.n_total:
+        raise RefusedRequest(f"{reason}: {found.preview}", rows)
+
+
+@contextmanager
+def _scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for intermediate tables, removed at the end."""
+    folder = run_folder(spark, "job")
+    try:
+        yield folder
+    finally:
+        remove_folder(spark, folder)
 
 
 @dataclass(frozen=True)
 class LoadResult:
     gate: DataFrame  # one row per table, as recorded in the ledger
     reconciled: DataFrame  # scanned against stored rows
+    totals: DataFrame  # one row: counts, success, partial and the run's error text
 
 
 def resolve_selection(selected: DataFrame, sheet_map: DataFrame) -> DataFrame:
-    """Selected sheets with their tables; refuses empty, unmapped and conflicting selections.
-
-    Brings at most ten names of offending sheets to the driver, for the message."""
+    """Selected sheets with their tables; refuses empty, unmapped and conflicting selections."""
     if selected.isEmpty():
         raise RefusedRequest("no sheet is selected")
-    unmapped = lookups.unmapped_sheets(selected, sheet_map).limit(10).collect()
-    if unmapped:
-        raise RefusedRequest(f"sheets without a table: {'、'.join(r.sheet_name for r in unmapped)}")
-    conflicts = lookups.table_conflicts(selected, sheet_map).limit(10).collect()
-    if conflicts:
-        raise RefusedRequest(f"several sheets want one table: {'、'.join(sorted({r.table_name for r in conflicts}))}")
+    _refuse_if_any(lookups.unmapped_sheets(selected, sheet_map), "sheets without a table", "sheet_name", "sheet_order")
+    _refuse_if_any(lookups.table_conflicts(selected, sheet_map), "several sheets want one table", "sheet_name", "sheet_order")
     return lookups.mapped_sheets(selected, sheet_map)
 
 
@@ -51,47 +72,77 @@ def run_load(
     inventory: DataFrame | None = None,
     existing: DataFrame | None = None,
     table_errors: DataFrame | None = None,
+    writer_errors: DataFrame | None = None,
     constraints: list[Constraint] = DEFAULT_CONSTRAINTS,
     mapping: list[FieldMapping] = DEFAULT_MAPPING,
     report_folder: str | None = None,
+    started_at: str = "",
+    source: str = "",
 ) -> LoadResult:
-    """Checks, gates and loads the wanted sheets (sheet_name, sheet_order, table_name), then records the
-    outcome and counts what is stored.
+    """Checks, gates and loads the wanted sheets (sheet_name, sheet_order, table_name), then counts what is stored and records the
+    outcome.
 
-    The gate is written to the ledger's side folder first and read back, so that the write, the
-    ledger and the reports all follow one decision, also when an executor is lost in between."""
+    The input is read twice, and only the wanted sheets of it: once to check it (the narrow result is kept for the gate
+    and the reports) and once to write the tables that pass. `inventory` names the sheets of the input, also those without a
+    row; without it, sheets with rows count. `writer_errors` (address, message, team, company_name) are rows that a writer
+    refused; they fail their table. A table whose write fails, or that then holds another number of rows than were scanned, is recorded as failed."""
     spark = rows.sparkSession
+    if wanted.isEmpty():
+        raise RefusedRequest("no sheet is selected")
+    shared = wanted.groupBy("table_name").agg(F.count_distinct("sheet_name").alias("n"), F.min("sheet_order").alias("sheet_order")).where("n > 1")
+    _refuse_if_any(shared, "several sheets want one table", "table_name", "sheet_order")
     if existing is not None:
-        missing = lookups.missing_tables(wanted, existing).orderBy("sheet_order").limit(10).collect()
-        if missing:
-            raise RefusedRequest(f"missing tables: {', '.join(r.table_name for r in missing)}")
-    records = to_records(nonblank_rows(rows), mapping)
-    verdicts = checks.with_verdict(records, constraints)
-    present = inventory if inventory is not None else sheet_inventory(rows)
-    decision = f"{ledger}-gates/{run_id}"
-    sinks.write_new(gate.load_gate(wanted, verdicts, present, table_errors).repartition(1), decision)
-    decided = spark.read.parquet(decision)
-
-    sinks.overwrite_tables(gate.loadable_rows(verdicts, decided), target, mapping)
-    emptied = decided.where("status = 'success' AND n_rows = 0").select("table_name")
-    # One name per selected sheet without rows: bounded by the number of sheets in the request.
-    sinks.empty_tables(records, target, [r.table_name for r in emptied.collect()], mapping)
-
-    sinks.append_ledger(gate.ledger_rows(decided, run_id, finished_at), ledger)
-    if report_folder is not None:
-        folder = f"{report_folder}/run_id={run_id}"
-        failed = gate.failed_tables(decided).join(wanted.select("sheet_name", "sheet_order"), "sheet_name")
-        bad = checks.load_errors(records, constraints, mapping).join(failed.select("sheet_name"), "sheet_name", "left_semi")
-        bad = sinks.write_and_read(bad, f"{folder}/row_errors")
-        errors = reports.with_tableless_errors(bad, failed.withColumnRenamed("table_error", "error"))
-        errors = sinks.write_and_read(errors, f"{folder}/errors")
-        sinks.write_new(reports.error_summary(errors), f"{folder}/summary")
-        sinks.write_new(reports.summary_footer(errors), f"{folder}/footer")
-        sinks.write_new(reports.error_detail(errors), f"{folder}/detail")
-        groups = sinks.write_and_read(reports.error_groups(bad), f"{folder}/groups")
-        sinks.write_new(reports.report_lines(failed, groups, "load"), f"{folder}/report")
-    stored = sinks.read_tables(spark, target, mapping)
-    return LoadResult(decided, gate.reconcile(decided, stored))
+        _refuse_if_any(lookups.missing_tables(wanted, existing), "missing tables", "table_name", "sheet_order")
+    # One name per selected sheet: bounded by the request, and pushed to the scan.
+    names = [r.sheet_name for r in wanted.select("sheet_name").collect()]
+    records = to_records(nonblank_rows(select_sheets(rows, names)), mapping)
+    present = inventory if inventory is not None else sheet_inventory(select_sheets(rows, names))
+    with _scratch(spark) as scratch:
+        checked = sinks.write_and_read(checks.checked_rows(records, constraints, mapping), f"{scratch}/checked")
+        found = checks.found_errors(checked)
+        if writer_errors is not None:
+            found = found.unionByName(checks.writer_errors(writer_errors.join(wanted.select("sheet_name"), "sheet_name", "left_semi")))
+        errors = sinks.write_and_read(found, f"{scratch}/errors")
+        decided = gate.load_gate(wanted, checked.select("sheet_name", F.lit(None).cast("string").alias("kind")), present, table_errors, errors)
+        decided = sinks.write_and_read(decided, f"{scratch}/decided")
+
+        broken = _write_tables(records, decided, target, mapping)
+        stored = gate.unknown(decided) if broken else gate.reconcile(decided, sinks.read_tables(spark, target, mapping))
+        reconciled = sinks.write_and_read(stored, f"{scratch}/reconciled")
+        final = sinks.write_and_read(gate.settled(decided, reconciled, broken), f"{scratch}/final")
+        sinks.append_ledger(gate.ledger_rows(final, run_id, finished_at, started_at, source), ledger)
+        if report_folder is not None:
+            _write_reports(final, errors, wanted, f"{report_folder}/run_id={run_id}")
+        # One row per table, so that the result does not need the scratch folder.
+        return LoadResult(*[spark.createDataFrame(df.collect(), df.schema) for df in (final, reconciled, gate.load_outcome(final))])
+
+
+def _write_tables(records: DataFrame, decided: DataFrame, target: str, mapping: list[FieldMapping]) -> str | None:
+    """Replaces the tables that pass. Returns the error text if the write fails; what then is stored is told by the recount."""
+    try:
+        sinks.overwrite_tables(gate.loadable_rows(records, decided), target, mapping)
+        sinks.empty_tables(decided.where("status = 'success' AND n_rows = 0").select("table_name"), target, mapping)
+    except PySparkException as e:
+        return str(e).strip().split("\n")[0][:500]
+    return None
+
+
+def _write_reports(final: DataFrame, errors: DataFrame, wanted: DataFrame, folder: str) -> None:
+    """Row errors, summary, detail and text report of the failed tables, each with the columns that order it."""
+    def put(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+        df.orderBy(*order).write.mode("overwrite").parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    failed = gate.failed_tables(final).join(wanted.select("sheet_name", "sheet_order"), "sheet_name")
+    bad = errors.join(failed.select("sheet_name"), "sheet_name", "left_semi")
+    listed = put(reports.with_tableless_errors(bad, failed.withColumnRenamed("table_error", "error")), "errors", "sheet_order", "sheet_name", "row_num")
+    ranges = put(reports.summary_ranges(listed), "summary_ranges", *reports.OWNER, "range_start")
+    summary = put(reports.error_summary(ranges), "summary", "sheet_order", "first_row", "owner")
+    put(reports.summary_items(listed, ranges), "summary_items", *reports.SUMMARY_ORDER)
+    put(reports.summary_footer(summary), "footer", "n_sheets")
+    put(reports.error_detail(listed), "detail", "sheet_order", "sheet_name", F.col("row_num").asc_nulls_first(), "problem", "field_pos")
+    groups = put(reports.error_ranges(listed.where("row_num IS NOT NULL")), "ranges", "sheet_order", "sheet_name", "message", "range_start")
+    put(reports.report_pieces(failed, groups, "load"), "report", *reports.REPORT_ORDER)
 
 
 def run_dedup(
@@ -100,30 +151,47 @@ def run_dedup(
     mode: str = dedup.GLOBAL,
     key_index: int = DEFAULT_KEY_INDEX,
     sheets: list[str] | None = None,
+    inventory: DataFrame | None = None,
+    ledger: str | None = None,
+    run_id: str = "",
+    started_at: str = "",
+    finished_at: str = "",
+    source: str = "",
 ) -> DataFrame:
     """Writes the de-duplicated copy, the duplicate list and the statistics below `folder`, which must be
     new, and returns the statistics. They are written last, and only if the copy and the list, read
-    back, make up the input again: a folder without them must not be used."""
-    spark = rows.sparkSession
-    copy = dedup.renumber(dedup.kept_rows(rows, mode, key_index, sheets))
-    sinks.write_new(copy.withColumnsRenamed({"row_num": "old_row_num", "new_row_num": "row_num"}), f"{folder}/rows")
-    listing = dedup.duplicate_list(rows, mode, key_index, sheets)
-    sinks.write_new(listing, f"{folder}/listing")
-    listing = spark.read.parquet(f"{folder}/listing")
-    sinks.write_duplicate_list(listing, f"{folder}/duplicates")
+    back, make up the input again: a folder without them must not be used.
 
-    result = gate.kept_and_deleted(spark.read.parquet(f"{folder}/rows"), listing.where("action = 'delete'"))
-    unsure = gate.counts_agree(gate.rows_per_sheet(rows), result).where("NOT agrees").limit(10).collect()
-    if unsure:
-        raise RefusedRequest(f"row counts disagree: {'、'.join(r.sheet_name for r in unsure)}")
-    sinks.write_new(dedup.dedup_stats(rows, mode, key_index, sheets), f"{folder}/stats")
-    return spark.read.parquet(f"{folder}/stats")
+    The input is read twice: once narrow, for the list, and once for the copy, from which the listed rows are taken out."""
+    spark = rows.sparkSession
+    with _scratch(spark) as scratch:
+        keyed = sinks.write_and_read(dedup.keyed_rows(rows, key_index, sheets), f"{scratch}/keyed")
+        listing = sinks.write_and_read(dedup.listing_of(keyed, mode), f"{folder}/listing")
+        sinks.write_duplicate_list(listing, f"{folder}/duplicates")
+        gone = listing.where("action = 'delete'")
+        kept = sinks.write_and_read(dedup.remove_rows(rows, gone), f"{scratch}/kept")
+        copy = dedup.renumber(kept).withColumnsRenamed({"row_num": "old_row_num", "new_row_num": "row_num"})
+        copy = sinks.write_and_read(copy, f"{folder}/rows")
+        unsure = gate.counts_agree(gate.rows_per_sheet(keyed), gate.kept_and_deleted(copy, gone)).where("NOT agrees").withColumn("n", F.lit(1))
+        _refuse_if_any(unsure, "row counts disagree", "sheet_name", "n_first")
+        stats = sinks.write_and_read(dedup.stats_of(copy, gone, sheets, inventory), f"{folder}/stats")
+        if ledger is not None:
+            sinks.append_ledger(gate.dedup_history(stats, run_id, mode, finished_at, started_at, source), ledger)
+        return stats
 
 
 def run_validation(
-    rows: DataFrame, sheets: list[str] | None = None, constraints: list[Constraint] = DEFAULT_CONSTRAINTS
+    rows: DataFrame,
+    sheets: list[str] | None = None,
+    constraints: list[Constraint] = DEFAULT_CONSTRAINTS,
+    mapping: list[FieldMapping] = DEFAULT_MAPPING,
+    inventory: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(findings, counts per sheet); nothing is written."""
-    records = to_records(nonblank_rows(select_sheets(rows, sheets)))
+    """(findings, counts per sheet); nothing is written. An empty selection is refused. With an inventory of the input, selected
+    sheets without a row count, too."""
+    if sheets is not None and not sheets:
+        raise RefusedRequest("no sheet is selected")
+    records = to_records(nonblank_rows(select_sheets(rows, sheets)), mapping)
     errors = checks.validation_errors(records, constraints)
-    return errors, checks.validation_by_sheet(records, errors)
+    chosen = select_sheets(inventory, sheets) if inventory is not None else None
+    return errors, checks.validation_by_sheet(records, errors, chosen)

@@ -13,13 +13,21 @@ _ALL_CELLS = [f"c{i}" for i in range(MAX_KEY_INDEX)]
 _CSV_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in _ALL_CELLS])
 
 
-def row_table(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
-    """Rows that already carry sheet_name, sheet_order and row_num."""
+def row_table(spark: SparkSession, path: str, file_format: str = "parquet", check: bool = True) -> DataFrame:
+    """Rows that already carry sheet_name, sheet_order and row_num; cells that the table lacks are missing in every row.
+
+    With `check`, a table whose addresses (sheet_name, row_num) are NULL or repeated is refused, which reads the addresses once."""
     df = spark.read.format(file_format).load(path)
-    missing = [c for c in (*ADDRESS, *CELLS) if c not in df.columns]
+    missing = [c for c in ADDRESS if c not in df.columns]
     if missing:
         raise ValueError(f"row table lacks columns: {', '.join(missing)}")
-    return df.withColumn("row_num", F.col("row_num").cast("bigint"))
+    lacking = {c: F.lit(None).cast("string") for c in CELLS if c not in df.columns}
+    df = df.withColumn("row_num", F.col("row_num").cast("bigint")).withColumns(lacking)
+    if check:
+        repeated = df.groupBy("sheet_name", "row_num").agg(F.count(F.lit(1)).alias("n"))
+        if not repeated.where("n > 1 OR sheet_name IS NULL OR row_num IS NULL").isEmpty():
+            raise ValueError("row table has missing or repeated addresses")
+    return df
 
 
 def _sheet_of(file_path: str) -> F.Column:
@@ -28,16 +36,24 @@ def _sheet_of(file_path: str) -> F.Column:
     return F.url_decode(F.replace(F.regexp_replace(name, r"\.[^.]*\z", ""), F.lit("+"), F.lit("%2B")))
 
 
-def with_sheet_order(rows: DataFrame, order: list[str] | None) -> DataFrame:
-    """Workbook order of the sheets: as listed, 1-based; without a list by name. Sheets that are not
-    listed are left out."""
-    spark = rows.sparkSession
+def file_sheets(spark: SparkSession, path: str, order: list[str] | None = None) -> DataFrame:
+    """Inventory of a folder with one file per sheet: sheet_name and sheet_order, also of sheets without a row. Files are listed,
+    not read. Listed sheets come first, in their order, then the others by name; a listed sheet without a file is not in the input."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_file"))
+    names = files.select(_sheet_of("_file").alias("sheet_name")).distinct()
     if order is None:
-        names = rows.select("sheet_name").distinct()
-        dim = names.withColumn("sheet_order", F.row_number().over(W.orderBy("sheet_name")))
+        listed = F.lit(None).cast("int")
     else:
-        dim = spark.createDataFrame([(n, i + 1) for i, n in enumerate(order)], "sheet_name string, sheet_order int")
-    return rows.join(dim, "sheet_name")
+        listed = F.array_position(F.array(*[F.lit(n) for n in order]).cast("array<string>"), F.col("sheet_name"))
+        listed = F.when(listed > 0, listed)
+    # One row per file, so this window is as small as the listing of the folder.
+    place = W.orderBy(listed.asc_nulls_last(), "sheet_name")
+    return names.withColumn("sheet_order", F.row_number().over(place))
+
+
+def with_sheet_order(rows: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Rows with the order of their sheet in the inventory."""
+    return rows.join(inventory, "sheet_name")
 
 
 def parquet_sheets(spark: SparkSession, path: str, order: list[str] | None = None) -> DataFrame:
@@ -50,38 +66,48 @@ def parquet_sheets(spark: SparkSession, path: str, order: list[str] | None = Non
         (F.col("_metadata.row_index") + 2).cast("bigint").alias("row_num"),
         *[c.alias(n) for c, n in zip(cells, _ALL_CELLS)],
     ).withColumn("sheet_name", _sheet_of("_file"))
-    return with_sheet_order(rows, order).select(*ADDRESS, *_ALL_CELLS)
+    return with_sheet_order(rows, file_sheets(spark, path, order)).select(*ADDRESS, *_ALL_CELLS)
 
 
 def csv_sheets(spark: SparkSession, path: str, order: list[str] | None = None, multi_line: bool = False) -> DataFrame:
-    """One CSV file per sheet, header in row 1. The row number is the position in the file.
-
-    A file is read in splits; a row's number is its number inside its split plus the rows of the
-    earlier splits, so a large file is not numbered by one task. Empty lines count as rows. With
-    `multi_line` (cells that contain line ends) Spark reads each file as one split, and lines without
-    any separator are skipped by the reader."""
-    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split")]
+    """One CSV file per sheet, header in row 1. The row number is the position in the file; empty lines count as rows.
+
+    A file is read in splits; a row's number is its number inside its split plus the rows of the earlier splits, so a
+    large file is not numbered by one task. With `multi_line` cells may contain line ends inside quotes: lines are numbered as
+    above, and a line belongs to the row that was open when it began, which the number of quotes before it tells."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), "value")
+    lines = lines.withColumn("_seq", F.monotonically_increasing_id()).withColumn("_quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    lines = _running(lines, "_quotes") if multi_line else lines
     if multi_line:
-        reader = spark.read.schema(_CSV_SCHEMA).option("multiLine", True).option("escape", '"')
-        cells = reader.option("enforceSchema", True).csv(path).select(*where, F.struct(*_ALL_CELLS).alias("_cells"))
+        begins = F.col("_quotes_before") % 2 == 0
+        lines = lines.withColumn("_begins", begins.cast("bigint"))
+        lines = _running(lines, "_begins").withColumn("_row", F.col("_begins_before") + F.col("_begins"))
+        # Lines of one cell only; a row is as large as its cells are.
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_seq", "value"))), lambda x: x["value"]), "\n")
+        numbered = lines.groupBy("_file", F.col("_row").alias("row_num")).agg(joined.alias("value"))
     else:
-        text = spark.read.text(path).select(*where, "value")
-        cells = text.select("_file", "_split", F.from_csv("value", _CSV_SCHEMA.simpleString()[7:-1].replace(":", " "), {"escape": '"'}).alias("_cells"))
-    cells = cells.withColumn("_seq", F.monotonically_increasing_id())
+        numbered = _running(lines.withColumn("_one", F.lit(1).cast("bigint")), "_one").withColumn("row_num", F.col("_one_before") + 1)
+    schema = _CSV_SCHEMA.simpleString()[7:-1].replace(":", " ")
+    rows = numbered.where("row_num > 1").select(
+        _sheet_of("_file").alias("sheet_name"), "row_num", F.from_csv("value", schema, {"escape": '"', "multiLine": "true"}).alias("_cells")
+    )
+    return with_sheet_order(rows.select("sheet_name", "row_num", "_cells.*"), file_sheets(spark, path, order)).select(*ADDRESS, *_ALL_CELLS)
+
+
+def _running(lines: DataFrame, column: str) -> DataFrame:
+    """Adds <column>_before: the sum over all earlier lines of the file. Windows work inside a split; one row per split carries over."""
     by_split = W.partitionBy("_file").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        cells.groupBy("_file", "_split")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_file", "_split", F.coalesce(F.sum("_n").over(by_split), F.lit(0)).alias("_offset"))
+        lines.groupBy("_file", "_split")
+        .agg(F.sum(column).alias("_sum"))
+        .select("_file", "_split", F.coalesce(F.sum("_sum").over(by_split), F.lit(0)).alias("_offset"))
     )
-    inside = W.partitionBy("_file", "_split").orderBy("_seq")
-    rows = (
-        cells.join(offsets, ["_file", "_split"])
-        .withColumn("row_num", (F.col("_offset") + F.row_number().over(inside)).cast("bigint"))
-        .where("row_num > 1")
-        .select(_sheet_of("_file").alias("sheet_name"), "row_num", "_cells.*")
+    earlier = W.partitionBy("_file", "_split").orderBy("_seq").rowsBetween(W.unboundedPreceding, -1)
+    return (
+        lines.join(offsets, ["_file", "_split"])
+        .withColumn(f"{column}_before", (F.col("_offset") + F.coalesce(F.sum(column).over(earlier), F.lit(0))).cast("bigint"))
+        .drop("_offset")
     )
-    return with_sheet_order(rows, order).select(*ADDRESS, *_ALL_CELLS)
 
 
 def catalog_tables(spark: SparkSession, schema: str | None = None) -> DataFrame:

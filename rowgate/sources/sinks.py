@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,13 +39,18 @@ def overwrite_tables(rows: DataFrame, target: str, mapping: list[FieldMapping] =
     )
 
 
-def empty_tables(like: DataFrame, target: str, tables: list[str], mapping: list[FieldMapping] = DEFAULT_MAPPING) -> None:
-    """Empties the partitions of the named tables: a dynamic overwrite does not touch a table that
-    has no rows, so each gets an empty file of its own."""
-    columns = [m.field for m in sorted(mapping, key=lambda m: m.col_order)]
-    nothing = like.select("row_num", *columns).where(F.lit(False)).coalesce(1)
-    for table in tables:
-        nothing.write.mode("overwrite").parquet(f"{target}/{TABLE_COLUMN}={quote(table, safe=' ()!,-.;@_~$&+')}")
+def empty_tables(tables: DataFrame, target: str, mapping: list[FieldMapping] = DEFAULT_MAPPING) -> None:
+    """Removes the rows of the named tables: a dynamic overwrite does not touch a table that has no rows. The folders are taken from
+    Spark's own listing of their partitions, so however a name is written there, it is found. One query for all tables."""
+    spark = tables.sparkSession
+    names = [r.table_name for r in tables.collect()]
+    if not names:
+        return
+    stored = read_tables(spark, target, mapping).where(F.col(TABLE_COLUMN).isin(names))
+    folder = F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1)
+    for row in stored.select(folder.alias("folder")).distinct().collect():
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(row.folder))
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def write_duplicate_list(listing: DataFrame, path: str) -> None:

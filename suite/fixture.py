@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowgate.functions.schema import ADDRESS, CELLS
-from rowgate.functions.text import FULLWIDTH_FROM, FULLWIDTH_TO, WHITESPACE
 from rowgate.operators.positions import number_rows
 from rowgate.session import staged
 
@@ -87,8 +86,9 @@ def _split_columns(sql: str) -> list[str]:
 
 # ---- the same in DuckDB ----
 
-FROM, TO = FULLWIDTH_FROM.replace("'", "''"), FULLWIDTH_TO.replace("'", "''")
-BLANKS = "".join(f"chr({ord(c)}) || " for c in WHITESPACE)[:-4]
+# Folding and white space are stated here on their own, not taken from the library.
+FROM = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
+TO = ("".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " ").replace("'", "''")
 BLANK_CLASS = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from rowgate.functions import messages, text
 from rowgate.functions.dates import normalize_date_text, parse_date
-from rowgate.functions.schema import ADDRESS, CELLS
+from rowgate.functions.schema import ADDRESS, CELLS, DEFAULT_MAPPING
 from rowgate.operators import checks, dedup, gate, lookups, reports, rows
 from rowgate.operators.positions import row_ranges
 from rowgate.plans import jobs
 from rowgate.session import run_folder, staged
-from rowgate.sources import sinks
+from rowgate.sources import readers, sinks
 from suite import fixture as fx
 from suite.fixture import FIELDS, RAW, RECORDS, VERDICT, raw_rows, sql_blank, sql_strip, table
 
@@ -26,7 +26,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-ROWS_PER_LINE = 500  # small, so that the fixture has texts of several lines
 DAY = "yyyy-MM-dd"
 
 
@@ -47,7 +46,7 @@ def _day(c: str) -> F.Column:
 # ---- inputs that several queries share ----
 
 
-def _records(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.to_records(rows.nonblank_rows(raw_rows(spark, sf_dir)))
 
 
@@ -135,7 +134,7 @@ def _short_sql(c: str) -> str:
 
 @query(
     f"""SELECT doc_id, {_display_sql('text')} AS shown, {_short_sql('text')} AS short, length(text) AS n_chars,
-    substr({sql_strip("coalesce(list_filter(regexp_split_to_array(text, '\\r\\n|[\\x{0a}-\\x{0d}\\x{1c}-\\x{1e}\\x{85}\\x{2028}\\x{2029}]'), lambda x: NOT " + sql_blank('x') + ")[1], '')")}, 1, 60) AS first_line
+    {sql_strip("coalesce(list_filter(regexp_split_to_array(text, '\\r\\n|[\\x{0a}-\\x{0d}\\x{1c}-\\x{1e}\\x{85}\\x{2028}\\x{2029}]'), lambda x: NOT " + sql_blank('x') + ")[1], '')")} AS first_line
     FROM documents"""
 )
 def cell_texts(spark, sf_dir):
@@ -146,7 +145,7 @@ def cell_texts(spark, sf_dir):
         text.display_value(c).alias("shown"),
         text.short_value(c).alias("short"),
         F.length(c).cast("bigint").alias("n_chars"),
-        F.substring(text.clean_text(text.first_line(c)), 1, 60).alias("first_line"),
+        text.clean_text(text.first_line(c)).alias("first_line"),
     )
 
 
@@ -246,6 +245,48 @@ def numeric_date_checks(spark, sf_dir):
     )
 
 
+@query(
+    f"""WITH {VERDICT}, num AS (SELECT *, ok % 71 = 5 AS is_num, CASE WHEN ok % 71 = 5 THEN CAST(35000 + ok % 9000 AS STRING) ELSE c0 END AS cell FROM dated)
+    SELECT sheet_name, row_num, '字段 [collected_at] 第 ' || row_num || ' 行 值 ''' || {_display_sql('cell')} || ''' 不是有效日期（应形如 2024-01-31）'
+      || CASE WHEN is_num THEN '（日期列应为文本格式，请勿使用数值/常规格式）' ELSE '' END AS message
+    FROM num WHERE NOT {sql_blank('c3')} AND NOT {sql_blank('c5')} AND (is_num OR (dt IS NULL AND NOT {sql_blank('cell')}))"""
+)
+def numeric_date_messages(spark, sf_dir):
+    """Messages of refused dates; numbers get a hint."""
+    records = rows.to_records(rows.nonblank_rows(_numeric_rows(spark, sf_dir)))
+    return checks.load_errors(records).where("kind = 'date'").select("sheet_name", "row_num", "message")
+
+
+#: A mapping without the date, the team and the required category.
+_REDUCED = [m for m in DEFAULT_MAPPING if m.field not in ("collected_at", "team", "industry")]
+
+
+@query(f"WITH {RECORDS} SELECT sheet_name, row_num, CASE WHEN {sql_blank('company_name')} THEN 'company_name, industry' ELSE 'industry' END AS missing, 'null' AS kind FROM rec")
+def load_verdict_reduced(spark, sf_dir):
+    """A field that the mapping lacks is missing in every row: the required one fails all of them."""
+    errors = checks.load_errors(rows.to_records(rows.nonblank_rows(raw_rows(spark, sf_dir)), _REDUCED), mapping=_REDUCED)
+    return errors.select("sheet_name", "row_num", F.regexp_extract("message", r"\[(.*?)\]", 1).alias("missing"), "kind")
+
+
+@query(
+    f"""WITH {VALIDATION} SELECT sheet_name, row_num, field, reason FROM val WHERE field NOT IN ('collected_at', 'team', 'industry')
+    UNION ALL SELECT sheet_name, row_num, 'industry', 'NOT NULL' FROM rec"""
+)
+def validate_all_reduced(spark, sf_dir):
+    return jobs.run_validation(raw_rows(spark, sf_dir), mapping=_REDUCED)[0].select("sheet_name", "row_num", "field", "reason")
+
+
+@query(
+    f"""WITH {VALIDATION} SELECT CAST(2 AS BIGINT) AS total_sheets, (SELECT count(*) FROM rec WHERE sheet_name = '2-HIGH') AS total_rows,
+    (SELECT count(*) FROM val WHERE sheet_name = '2-HIGH') AS total_errors, (SELECT count(*) FROM val WHERE sheet_name = '2-HIGH') = 0 AS valid"""
+)
+def validate_selected_totals(spark, sf_dir):
+    """Totals over two selected sheets, one of which has no row."""
+    given = raw_rows(spark, sf_dir).where("sheet_name <> '5-LOW'")
+    found = jobs.run_validation(given, sheets=["2-HIGH", "5-LOW"], inventory=_sheets(spark, sf_dir))
+    return checks.validation_totals(found[1])
+
+
 # ---- gate and load ----
 
 GATE = f"""{VERDICT}, {SHEETS_SQL},
@@ -288,10 +329,18 @@ def load_outcome(spark, sf_dir):
 
 @query(
     f"""WITH {GATE} SELECT 'run-1' AS run_id, table_name, sheet_name, status, CASE WHEN status = 'success' THEN n_rows ELSE 0 END AS "rows",
-    n_errors AS error_rows, '2024-01-31 10:30:00' AS finished_at FROM gate"""
+    n_errors AS error_rows, coalesce(table_error, '') AS error, '2024-01-31 10:00:00' AS started_at, '2024-01-31 10:30:00' AS finished_at, 'week 5' AS source FROM gate"""
 )
 def load_history(spark, sf_dir):
-    return gate.ledger_rows(_gate(spark, sf_dir), "run-1", "2024-01-31 10:30:00")
+    return gate.ledger_rows(_gate(spark, sf_dir), "run-1", "2024-01-31 10:30:00", "2024-01-31 10:00:00", "week 5")
+
+
+@query(
+    f"""WITH {GATE}, f AS (SELECT table_name, count(*) OVER () AS n_failed, row_number() OVER (ORDER BY table_name) AS i FROM gate WHERE status = 'failed')
+    SELECT table_name, n_failed, CASE WHEN i = 1 THEN n_failed || ' 张表导入失败：' ELSE '、' END || table_name AS text FROM f"""
+)
+def load_run_error(spark, sf_dir):
+    return gate.run_error(_gate(spark, sf_dir))
 
 
 @query(
@@ -306,6 +355,34 @@ def load_recount(spark, sf_dir):
     return result.reconciled
 
 
+@query(f"WITH {VERDICT} SELECT sheet_name, sheet_order, row_num, 't' || sheet_order AS table_name, strftime(collected_at, '%Y-%m-%d') AS collected_at, {', '.join(FIELDS)} FROM verdict WHERE sheet_name IN ('3-MEDIUM', '5-LOW')")
+def load_selected(spark, sf_dir):
+    """A load of three sheets of five, one of which has bad rows: what the target then holds."""
+    folder = run_folder(spark, "load")
+    chosen = _sheet_map(spark, sf_dir).where("sheet_name IN ('3-MEDIUM', '5-LOW', '2-HIGH')").withColumn("table_name", F.concat(F.lit("t"), "sheet_order"))
+    jobs.run_load(raw_rows(spark, sf_dir), chosen, f"{folder}/target", f"{folder}/ledger", "run-1", "now", report_folder=f"{folder}/reports")
+    stored = sinks.read_tables(spark, f"{folder}/target").join(chosen, "table_name")
+    return stored.select(*ADDRESS, "table_name", _day("collected_at").alias("collected_at"), *FIELDS)
+
+
+@query(
+    f"""WITH {VERDICT}, {SHEETS_SQL}, n AS (SELECT sheet_name, count(*) AS n FROM verdict GROUP BY ALL)
+    SELECT sheet_name, sheet_order, CASE sheet_order WHEN 3 THEN '表1' ELSE 'x<y %20/' || sheet_order END AS table_name,
+      CASE WHEN sheet_order = 3 THEN n ELSE 0 END AS n_stored FROM sheets LEFT JOIN n USING (sheet_name) WHERE sheet_order IN (3, 5)"""
+)
+def load_empties_tables(spark, sf_dir):
+    """Two loads into tables with odd names; the second time one sheet has no row left, and its table must be empty."""
+    folder = run_folder(spark, "load")
+    chosen = _sheets(spark, sf_dir).where("sheet_order IN (3, 5)").withColumn(
+        "table_name", F.when(F.col("sheet_order") == 3, "表1").otherwise(F.concat(F.lit("x<y %20/"), "sheet_order"))
+    )
+    raw = raw_rows(spark, sf_dir)
+    for run, given in (("run-1", raw), ("run-2", raw.where("sheet_name <> '5-LOW'"))):
+        jobs.run_load(given, chosen, f"{folder}/target", f"{folder}/ledger", run, run, inventory=_sheets(spark, sf_dir))
+    stored = gate.table_row_counts(sinks.read_tables(spark, f"{folder}/target"))
+    return chosen.join(stored, "table_name", "left").withColumn("n_stored", F.coalesce("n_stored", F.lit(0).cast("bigint")))
+
+
 @query(
     f"""WITH {VERDICT}, {SHEETS_SQL},
     old AS (SELECT sheet_name, count(*) AS n FROM verdict WHERE kind IS NULL AND d < '1998-01-01' GROUP BY ALL),
@@ -341,42 +418,35 @@ def _islands_sql(source: str, groups: str, extra: str = "") -> str:
 _RANGE = "CASE WHEN a = b THEN CAST(a AS STRING) ELSE a || '-' || b END"
 
 
-def _lines_sql(source: str, groups: str, item: str, separator: str, order: str, name: str) -> str:
-    return f"""(SELECT {groups}, {order} // {ROWS_PER_LINE} + 1 AS line_no, string_agg({item}, '{separator}' ORDER BY {order}) AS {name}
-      FROM {source} GROUP BY ALL)"""
-
-
 _G = "sheet_name, sheet_order, message"
 
 
-def _groups_sql(source: str) -> str:
-    return f"""grp AS (SELECT {_G}, n_errors, first_row, line_no, ranges FROM
-      (SELECT {_G}, count(*) AS n_errors, min(row_num) AS first_row FROM {source} GROUP BY ALL)
-      JOIN {_lines_sql(_islands_sql(source, _G), _G, "'第 ' || " + _RANGE + " || ' 行'", ', ', 'a', 'ranges')} USING ({_G}))"""
-
-
 @query(f"WITH {ERRORS}, isl AS {_islands_sql('err', 'sheet_name, kind', ', count(*) AS n_errors')} SELECT sheet_name, kind, a AS range_start, b AS range_end, n_errors FROM isl")
 def error_ranges(spark, sf_dir):
     return row_ranges(_load_errors(spark, sf_dir), ["sheet_name", "kind"], sums={"n_errors": F.lit(1).cast("bigint")})
 
 
-@query(f"WITH {ERRORS}, {_groups_sql('err')} SELECT * FROM grp")
+@query(f"WITH {ERRORS} SELECT {_G}, count(*) AS n_errors, min(row_num) AS first_row FROM err GROUP BY ALL")
 def error_groups(spark, sf_dir):
-    return reports.error_groups(_load_errors(spark, sf_dir), ROWS_PER_LINE)
+    return reports.error_groups(reports.error_ranges(_load_errors(spark, sf_dir)))
 
 
-def _report_sql(counts: str, head: str, title: str, indent: str) -> str:
-    return f"""SELECT sheet_name, sheet_order, CAST(0 AS BIGINT) AS first_row, '' AS message, 0 AS part, CAST(0 AS BIGINT) AS line_no, {head} AS text FROM ({counts}) WHERE n_errors > 0
-      UNION ALL SELECT sheet_name, sheet_order, first_row, message, 1, 0, {title} FROM grp WHERE line_no = 1
-      UNION ALL SELECT sheet_name, sheet_order, first_row, message, 2, line_no, '{indent}' || ranges FROM grp"""
+def _report_sql(source: str, counts: str, head: str, title: str, indent: str) -> str:
+    """A head for each failed sheet, a title for each message, and its row ranges, each with what is written before it."""
+    return f"""SELECT sheet_name, sheet_order, CAST(0 AS BIGINT) AS first_row, '' AS message, 0 AS part, CAST(0 AS BIGINT) AS position, {head} AS text FROM ({counts}) WHERE n_errors > 0
+      UNION ALL SELECT sheet_name, sheet_order, min(row_num), message, 1, 0, {title} FROM {source} GROUP BY {_G}
+      UNION ALL SELECT sheet_name, sheet_order, first_row, message, 2, a,
+        CASE WHEN a = first_row THEN chr(10) || '{indent}' ELSE ', ' END || '第 ' || {_RANGE} || ' 行'
+        FROM (SELECT *, min(a) OVER (PARTITION BY {_G}) AS first_row FROM {_islands_sql(source, _G)})"""
 
 
 @query(
-    f"""WITH {ERRORS}, {_groups_sql('err')} """
+    f"""WITH {ERRORS} """
     + _report_sql(
+        "err",
         "SELECT sheet_name, sheet_order, count(*) AS n_rows, count(kind) AS n_errors FROM verdict GROUP BY ALL",
         "'共 ' || n_errors || ' 行数据存在错误，已扫描整个 Sheet 共 ' || n_rows || ' 行:'",
-        "'  · ' || message || '：' || n_errors || ' 行'",
+        "chr(10) || '  · ' || message || '：' || count(*) || ' 行'",
         "    出错行: ",
     )
 )
@@ -384,25 +454,26 @@ def load_report(spark, sf_dir):
     counts = _verdicts(spark, sf_dir).groupBy("sheet_name", "sheet_order").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("kind").alias("n_errors")
     )
-    return reports.report_lines(counts, reports.error_groups(_load_errors(spark, sf_dir), ROWS_PER_LINE), "load")
+    return reports.report_pieces(counts, reports.error_ranges(_load_errors(spark, sf_dir)), "load")
 
 
 @query(
-    f"""WITH {VALIDATION}, {_groups_sql('val')} """
+    f"""WITH {VALIDATION} """
     + _report_sql(
+        "val",
         "SELECT r.sheet_name, r.sheet_order, n_rows, n_errors FROM (SELECT sheet_name, sheet_order, count(*) AS n_rows FROM rec GROUP BY ALL) r JOIN (SELECT sheet_name, count(*) AS n_errors FROM val GROUP BY ALL) v ON r.sheet_name = v.sheet_name",
         "'验证完成，Sheet [' || sheet_name || '] 共 ' || n_errors || ' 行数据存在错误，已扫描整个 Sheet 共 ' || n_rows || ' 行:'",
-        "chr(10) || '■ 错误类型（' || n_errors || ' 行）: ' || message",
+        "chr(10) || chr(10) || '■ 错误类型（' || count(*) || ' 行）: ' || message",
         "  出错行: ",
     )
 )
 def validation_report(spark, sf_dir):
     errors = _validation(spark, sf_dir)
     by_sheet = checks.validation_by_sheet(_records(spark, sf_dir), errors)
-    return reports.report_lines(by_sheet, reports.error_groups(errors, ROWS_PER_LINE), "validation")
+    return reports.report_pieces(by_sheet, reports.error_ranges(errors), "validation")
 
 
-def _islands_query(reason: str) -> str:
+def _islands_query(reason: str, source: str = VALIDATION) -> str:
     def capped(item: str, lines: str) -> str:
         joined = f"string_agg({item}, chr(10) ORDER BY row_num, check_pos)"
         return f"""CASE WHEN {lines} <= 12 THEN {joined} ELSE array_to_string(str_split({joined}, chr(10))[1:12], chr(10)) || chr(10) || '…(还有 ' || ({lines} - 12) || ' 条未显示)' END"""
@@ -410,7 +481,7 @@ def _islands_query(reason: str) -> str:
     label = "CASE reason WHEN 'NOT NULL' THEN '空值(必填)' WHEN 'LENGTH' THEN '超长' WHEN 'DATE' THEN '日期非法' ELSE reason END"
     value_lines = "CAST(sum(length(value) - length(replace(value, chr(10), '')) + 1) AS BIGINT)"
     having = f" HAVING count(*) FILTER (reason = '{reason}') > 0" if reason else ""
-    return f"""WITH {VALIDATION}, isl AS (SELECT *, row_num - dense_rank() OVER (PARTITION BY sheet_name ORDER BY row_num) AS g FROM val)
+    return f"""WITH {source}, isl AS (SELECT *, row_num - dense_rank() OVER (PARTITION BY sheet_name ORDER BY row_num) AS g FROM val)
     SELECT sheet_name, sheet_order, min(row_num) AS range_start,
       CASE WHEN min(row_num) = max(row_num) THEN CAST(min(row_num) AS STRING) ELSE min(row_num) || '-' || max(row_num) END AS row_text,
       count(*) AS n_errors, {capped('field', 'count(*)')} AS fields, {capped('value', value_lines)} AS shown_values, {capped(label, 'count(*)')} AS reasons
@@ -427,8 +498,39 @@ def error_islands_by_reason(spark, sf_dir):
     return reports.error_islands(_validation(spark, sf_dir), "LENGTH")
 
 
+# Rows 100 to 140 and 150 to 162 of every sheet without a category: longer runs than are shown, and one just above.
+_LONG = VALIDATION.replace(
+    "nonblank AS (SELECT * FROM dated WHERE",
+    "gaps AS (SELECT * REPLACE (CASE WHEN row_num BETWEEN 100 AND 140 OR row_num BETWEEN 150 AND 162 THEN NULL ELSE c5 END AS c5) FROM dated),\nnonblank AS (SELECT * FROM gaps WHERE",
+)
+
+
+@query(_islands_query("", _LONG))
+def error_islands_long(spark, sf_dir):
+    """Runs with more findings than a report shows."""
+    gap = F.col("row_num").between(100, 140) | F.col("row_num").between(150, 162)
+    raw = raw_rows(spark, sf_dir).withColumn("c5", F.when(~gap, F.col("c5")))
+    return reports.error_islands(staged(jobs.run_validation(raw)[0], "findings"))
+
+
 # Writer errors in rows that passed the checks, and a table that failed as a whole.
-_WRITER_MESSAGES = [m for m, _ in messages.WRITER_ERROR_TEXT] + ["Deadlock on page", "  "]
+# Parts of writer errors and what is shown for them: fixed values, stated here on their own.
+_LONG_VALUE = "数据过长：某个字段的值超出了数据库列的长度限制。请检查超长文本字段。"
+_SHOWN = {
+    "im002": "未安装数据库驱动：这台电脑缺少 SQL Server ODBC 驱动（需 64 位，ODBC Driver 17 或 18）。请到微软官网下载安装后再点一次「测试连接」——与网络、账号密码无关。",
+    "22018": "数据格式错误：某个「日期/数字」字段里包含了非法字符（例如本该填日期的列被填成了人名或文字）。请先运行「验证数据」定位具体行。",
+    "invalid character value for cast specification": "数据类型转换失败：字段值与目标列类型不匹配（常见于日期/数字列被填了文字）。请先运行「验证数据」定位具体行。",
+    "string or binary data would be truncated": _LONG_VALUE,
+    "right truncation": _LONG_VALUE,
+    "将截断": _LONG_VALUE,
+    "cannot insert the value null into column": "必填字段为空：有列被写入了 NULL，但该列不允许为空。请先运行「验证数据」检查空值。",
+    "hy000": "数据库驱动错误：请确认 SQL Server ODBC 驱动已正确安装且连接参数正确。",
+    "hy104": "数据库参数错误，请检查连接配置。",
+    "08s01": "网络连接中断，请确认数据库服务器可达后重试。",
+    "hy010": "连接状态异常（函数序列错误），请关闭后重新连接再试。",
+    "ssl provider": "加密握手失败：数据库服务器证书不被信任。请改装 ODBC Driver 17 后重试，或联系数智组。",
+}
+_WRITER_MESSAGES = [*_SHOWN, "Deadlock on page", "  "]
 
 
 def _writer_message(key: str) -> str:
@@ -438,22 +540,24 @@ def _writer_message(key: str) -> str:
 
 def _all_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = rows.to_records(rows.nonblank_rows(raw_rows(spark, sf_dir)))
-    refused = checks.clean_rows(records).where("sheet_name = '3-MEDIUM' AND row_num % 131 = 5")
+    refused = checks.clean_rows(records).where("sheet_name <> '5-LOW' AND row_num % 131 = 5")
     writer = checks.writer_errors(refused.withColumn("message", F.expr(_writer_message("row_num"))))
-    failed = _sheets(spark, sf_dir).withColumn("error", F.when(F.col("sheet_name") == "5-LOW", F.lit(" \n table is locked\nsecond")))
-    errors = staged(checks.load_errors(records).unionByName(writer), "load-errors")
-    return staged(reports.with_tableless_errors(errors, failed), "all-errors")
+    found = staged(checks.load_errors(records).unionByName(writer), "load-errors")
+    counts = found.groupBy("sheet_name").agg(F.count(F.lit(1)).alias("n_errors"))
+    failed = _sheets(spark, sf_dir).join(counts, "sheet_name", "left").withColumn("n_errors", F.coalesce("n_errors", F.lit(0)))
+    failed = failed.withColumn("error", F.when(F.col("sheet_name") == "5-LOW", F.lit(" \n table is locked\nsecond")))
+    return reports.with_tableless_errors(found, failed)
 
 
 _LABELS = {"team": "B列 负责人 / 小组", "source": "C列 来源", "company_name": "D列 企业名称", "link": "E列 官网", "industry": "F列 一级分类",
            "sub_category_2": "G列 二级分类", "sub_category_3": "H列 三级分类", "org_type": "I列 单位类型", "status": "J列 环节"}
-_HUMAN = "CASE " + " ".join(f"WHEN contains(lower(message), '{k}') THEN '{t}'" for k, t in messages.WRITER_ERROR_TEXT) + " ELSE message END"
+_HUMAN = "CASE " + " ".join(f"WHEN contains(lower(message), '{k}') THEN '{t}'" for k, t in _SHOWN.items()) + " ELSE message END"
 _FIRST = f"coalesce(list_filter(str_split(({_HUMAN}), chr(10)), lambda x: NOT {sql_blank('x')})[1], '未知错误')"
 _PROBLEM = f"""CASE kind WHEN 'null' THEN '必填字段为空，请补填' WHEN 'date' THEN '日期格式无法识别（应形如 2024-01-31）' WHEN 'length' THEN '字段值超长，请缩短后重试'
   ELSE substr({sql_strip(_FIRST)}, 1, 60) END"""
 ALL_ERRORS = f"""{ERRORS}, {SHEETS_SQL},
 writer AS (SELECT sheet_name, sheet_order, row_num, 'db' AS kind, {_writer_message('row_num')} AS message, team, company_name
-  FROM verdict WHERE kind IS NULL AND sheet_name = '3-MEDIUM' AND row_num % 131 = 5),
+  FROM verdict WHERE kind IS NULL AND sheet_name <> '5-LOW' AND row_num % 131 = 5),
 some_errors AS (SELECT sheet_name, sheet_order, row_num, kind, message, team, company_name FROM err UNION ALL SELECT * FROM writer),
 all_errors AS (SELECT * FROM some_errors UNION ALL SELECT sheet_name, sheet_order, NULL, 'db', CASE WHEN sheet_name = '5-LOW' THEN ' table is locked' ELSE '未知错误' END, NULL, NULL
   FROM sheets WHERE sheet_name NOT IN (SELECT sheet_name FROM some_errors)),
@@ -481,19 +585,25 @@ _O = "owner, sheet_name, sheet_order"
 _COUNTS_SQL = f"(SELECT {_O}, count(DISTINCT row_num) + count(*) FILTER (row_num IS NULL) AS n_error_rows, coalesce(min(row_num), 0) AS first_row FROM owned GROUP BY {_O})"
 
 
+@query(f"WITH {ALL_ERRORS} SELECT * FROM {_COUNTS_SQL}")
+def error_summary(spark, sf_dir):
+    return reports.error_summary(reports.summary_ranges(_all_errors(spark, sf_dir)))
+
+
 @query(
-    f"""WITH {ALL_ERRORS}, rl AS {_lines_sql(_islands_sql('(SELECT * FROM owned WHERE row_num IS NOT NULL)', _O), _O, _RANGE, '、', 'a', 'ranges')},
-    pl AS {_lines_sql(f'(SELECT {_O}, problem, coalesce(min(row_num), 0) AS p FROM owned GROUP BY {_O}, problem)', _O, 'problem', '；', 'p', 'problems')}
-    SELECT owner, sheet_name, sheet_order, line_no, n_error_rows, first_row, coalesce(ranges, '') AS ranges, coalesce(problems, '') AS problems
-    FROM rl FULL JOIN pl USING ({_O}, line_no) JOIN {_COUNTS_SQL} USING ({_O})"""
+    f"""WITH {ALL_ERRORS}, item AS (
+      SELECT {_O}, 'rows' AS part, a AS position, {_RANGE} AS item, '、' AS j FROM {_islands_sql('(SELECT * FROM owned WHERE row_num IS NOT NULL)', _O)}
+      UNION ALL SELECT {_O}, 'problems', coalesce(min(row_num), 0), problem, '；' FROM owned GROUP BY {_O}, problem)
+    SELECT {_O}, part, position, item, CASE WHEN row_number() OVER (PARTITION BY {_O}, part ORDER BY position, item) = 1 THEN item ELSE j || item END AS text FROM item"""
 )
-def error_summary(spark, sf_dir):
-    return reports.error_summary(_all_errors(spark, sf_dir), ROWS_PER_LINE)
+def error_summary_items(spark, sf_dir):
+    errors = _all_errors(spark, sf_dir)
+    return reports.summary_items(errors, reports.summary_ranges(errors))
 
 
 @query(f"WITH {ALL_ERRORS} SELECT count(DISTINCT sheet_name) AS n_sheets, CAST(sum(n_error_rows) AS BIGINT) AS n_error_rows FROM {_COUNTS_SQL}")
 def error_summary_footer(spark, sf_dir):
-    return reports.summary_footer(_all_errors(spark, sf_dir))
+    return reports.summary_footer(reports.error_summary(reports.summary_ranges(_all_errors(spark, sf_dir))))
 
 
 @query(f"WITH m AS (SELECT o_orderkey, 'db' AS kind, {_writer_message('o_orderkey')} AS message FROM orders) SELECT o_orderkey, {_HUMAN} AS shown, {_PROBLEM} AS problem FROM m")
@@ -650,14 +760,15 @@ def _kept_sql(scope: str, key: str = "key", selected: str = "true") -> str:
 
 def _list_sql(scope: str, columns: str | None = None) -> str:
     """Row by row: when a row is a new best, when it is dropped, and where its group starts."""
-    columns = columns or """CASE WHEN rn = 1 THEN 'keep' ELSE 'delete' END AS action, sheet_name, sheet_order, row_num, raw_key, c0 AS raw_time, group_pos,
-      CASE WHEN rn = 1 THEN 0 ELSE 1 END AS action_pos, CASE WHEN rn = 1 THEN pos WHEN best THEN next_best ELSE pos END AS lost_pos"""
-    pos = "CAST(sheet_order AS BIGINT) * 281474976710656 + row_num"
+    columns = columns or """CASE WHEN rn = 1 THEN 'keep' ELSE 'delete' END AS action, sheet_name, sheet_order, row_num, raw_key, c0 AS raw_time,
+      g.o AS group_sheet_order, g.s AS group_sheet_name, g.r AS group_row_num, CASE WHEN rn = 1 THEN 0 ELSE 1 END AS action_pos,
+      l.o AS lost_sheet_order, l.s AS lost_sheet_name, l.r AS lost_row_num"""
     return f"""WITH {_ranked(scope)},
-    marked AS (SELECT *, {pos} AS pos, before IS NULL OR dt < before AS best FROM elig),
+    marked AS (SELECT *, {{'o': sheet_order, 's': sheet_name, 'r': row_num}} AS pos, before IS NULL OR dt < before AS best FROM elig),
     dropped AS (SELECT *, min(CASE WHEN best THEN pos END) OVER (PARTITION BY {scope} ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_best,
-                       min(pos) OVER (PARTITION BY {scope}) AS group_pos, count(*) OVER (PARTITION BY {scope}) AS n FROM marked)
-    SELECT {columns} FROM dropped WHERE n > 1"""
+                       min(pos) OVER (PARTITION BY {scope}) AS g, count(*) OVER (PARTITION BY {scope}) AS n FROM marked),
+    placed AS (SELECT *, CASE WHEN rn > 1 AND best THEN next_best ELSE pos END AS l FROM dropped WHERE n > 1)
+    SELECT {columns} FROM placed"""
 
 
 @query(_kept_sql("k"))
@@ -692,7 +803,7 @@ def dedup_sheet_losers(spark, sf_dir):
     return dedup.duplicate_list(raw_rows(spark, sf_dir), dedup.SHEET).drop("dedup_key")
 
 
-@query(f"WITH {_ranked('k')} SELECT k AS dedup_key, strftime(min(dt), '%Y-%m-%d') AS keep_date, min(sheet_order) FILTER (rn = 1) AS keep_sheet_order, min(row_num) FILTER (rn = 1) AS keep_row_num, count(*) AS n_rows FROM elig GROUP BY k")
+@query(f"WITH {_ranked('k')} SELECT k AS dedup_key, strftime(min(dt), '%Y-%m-%d') AS keep_date, min(sheet_order) FILTER (rn = 1) AS keep_sheet_order, min(sheet_name) FILTER (rn = 1) AS keep_sheet_name, min(row_num) FILTER (rn = 1) AS keep_row_num, count(*) AS n_rows FROM elig GROUP BY k")
 def dedup_keepers(spark, sf_dir):
     return dedup.keepers(raw_rows(spark, sf_dir)).withColumn("keep_date", _day("keep_date"))
 
@@ -718,9 +829,59 @@ def dedup_selected_stats(spark, sf_dir):
     SELECT sheet_name, row_num, 1 + row_number() OVER (PARTITION BY sheet_name ORDER BY row_num) AS new_row_num FROM kept"""
 )
 def dedup_renumber(spark, sf_dir):
-    return dedup.renumber(dedup.kept_rows(raw_rows(spark, sf_dir)).select("sheet_name", "sheet_order", "row_num", "c0", "c3")).select(
-        "sheet_name", "row_num", "new_row_num"
-    )
+    kept = staged(dedup.kept_rows(raw_rows(spark, sf_dir).select(*ADDRESS, "c0", "c3")).select(*ADDRESS), "kept")
+    return dedup.renumber(kept).select("sheet_name", "row_num", "new_row_num")
+
+
+# Two sheets that share an order, and one whose order is beyond 16 bits.
+_SHARED = "CASE WHEN sheet_order <= 2 THEN 7 WHEN sheet_order = 5 THEN 70000 ELSE sheet_order END"
+
+
+def _shared_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_rows(spark, sf_dir).withColumn("sheet_order", F.expr(_SHARED))
+
+
+def _shared_sql(sql: str) -> str:
+    """The query over rows with the changed order; equal orders follow by name."""
+    changed = sql.replace("FROM dated)", f"FROM (SELECT * REPLACE ({_SHARED} AS sheet_order) FROM dated))", 1)
+    return changed.replace("sheet_order, row_num)", "sheet_order, sheet_name, row_num)").replace("sheet_order, row_num ROWS", "sheet_order, sheet_name, row_num ROWS")
+
+
+@query(_shared_sql(_kept_sql("k")))
+def dedup_shared_order(spark, sf_dir):
+    return dedup.kept_rows(_shared_order(spark, sf_dir))
+
+
+@query(_shared_sql(_list_sql("k")))
+def dedup_shared_order_losers(spark, sf_dir):
+    return dedup.duplicate_list(_shared_order(spark, sf_dir)).drop("dedup_key")
+
+
+@query(_shared_sql(_stats_sql("k")))
+def dedup_shared_order_stats(spark, sf_dir):
+    return dedup.dedup_stats(_shared_order(spark, sf_dir))
+
+
+_CELL_12 = _ranked("k", "'L' || ok % 400")
+
+
+@query(f"WITH {_CELL_12} SELECT sheet_name, row_num FROM keyed WHERE NOT eligible UNION ALL SELECT sheet_name, row_num FROM elig WHERE rn = 1")
+def dedup_by_cell_12(spark, sf_dir):
+    """The key in the twelfth cell, which belongs to no record."""
+    raw = raw_rows(spark, sf_dir, keep=("ok",)).withColumn("c11", F.expr("concat('Ｌ', ok % 400)"))
+    return dedup.kept_rows(raw, key_index=12).select("sheet_name", "row_num")
+
+
+@query(
+    f"""WITH {_ranked('k')}, s AS (SELECT count(*) AS kept FROM (SELECT 1 FROM keyed WHERE NOT eligible UNION ALL SELECT 1 FROM elig WHERE rn = 1))
+    SELECT 'run-1' AS run_id, 'global' AS mode, (SELECT count(DISTINCT sheet_name) FROM keyed) AS n_sheets, CAST(0 AS BIGINT) AS n_copied, (SELECT count(*) FROM keyed) AS total,
+      kept, (SELECT count(*) FROM keyed) - kept AS deleted, 'a' AS started_at, 'b' AS finished_at, 'c' AS source FROM s"""
+)
+def dedup_history(spark, sf_dir):
+    """A whole de-duplication job: what its history then says."""
+    folder = run_folder(spark, "dedup")
+    jobs.run_dedup(raw_rows(spark, sf_dir), f"{folder}/out", ledger=f"{folder}/ledger", run_id="run-1", started_at="a", finished_at="b", source="c")
+    return spark.read.parquet(f"{folder}/ledger")
 
 
 @query(f"WITH {_ranked('k')} SELECT sheet_name, row_num FROM keyed WHERE NOT eligible UNION ALL SELECT sheet_name, row_num FROM elig WHERE rn = 1")
@@ -746,6 +907,51 @@ def dedup_list_csv(spark, sf_dir):
     return written.option("header", True).option("escape", '"').option("enforceSchema", True).csv(path)
 
 
+# ---- files ----
+
+
+def _sheet_files(spark: SparkSession, sf_dir: str, file_format: str) -> str:
+    """The fixture as a folder of files, one per sheet and named after it, with its rows in order and a header."""
+    parts, files = run_folder(spark, "parts"), run_folder(spark, "sheets")
+    named = raw_rows(spark, sf_dir).withColumn("name", F.concat(F.lit("表 "), "sheet_name"))
+    writer = named.repartition("name").sortWithinPartitions("name", "row_num").select("name", *CELLS).write.partitionBy("name")
+    writer = writer.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.format(file_format).save(parts)
+    target, fs = _hadoop(spark, files)
+    fs.mkdirs(target)
+    written = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(parts)
+    for row in written.select("path").collect():  # one file per sheet
+        source, _ = _hadoop(spark, row.path)
+        name = source.getParent().getName().split("=", 1)[1]
+        fs.rename(source, spark._jvm.org.apache.hadoop.fs.Path(target, f"{name}.{file_format}"))
+    return files
+
+
+def _hadoop(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+_FILE_SQL = f"WITH {RAW} SELECT '表 ' || sheet_name AS sheet_name, sheet_order, row_num, c1, c3, c4, nullif(c8, '') AS c8 FROM raw"
+
+
+@query(_FILE_SQL)
+def parquet_sheets_read(spark, sf_dir):
+    """The fixture written as a file per sheet and read back: names, order and row numbers come from the files."""
+    return readers.parquet_sheets(spark, _sheet_files(spark, sf_dir, "parquet")).select(*ADDRESS, "c1", "c3", "c4", "c8")
+
+
+@query(_FILE_SQL)
+def csv_sheets_read(spark, sf_dir):
+    return readers.csv_sheets(spark, _sheet_files(spark, sf_dir, "csv")).select(*ADDRESS, "c1", "c3", "c4", "c8")
+
+
+@query(f"WITH {SHEETS_SQL} SELECT '表 ' || sheet_name AS sheet_name, CASE sheet_order WHEN 4 THEN 1 WHEN 2 THEN 2 WHEN 1 THEN 3 WHEN 3 THEN 4 ELSE 5 END AS sheet_order FROM sheets")
+def file_inventory(spark, sf_dir):
+    """Listed sheets first, the others by name."""
+    return readers.file_sheets(spark, _sheet_files(spark, sf_dir, "parquet"), ["表 4-NOT SPECIFIED", "表 none", "表 2-HIGH"])
+
+
 # Run by bench.py.
 HEADLINE = [
     "rows_nonblank",
