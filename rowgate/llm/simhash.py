@@ -76,8 +76,9 @@ def links(fps: DataFrame, radius: int = 2, segments: int = 2) -> DataFrame:
     masks = F.array(*[F.lit(m if m < 1 << 63 else m - (1 << 64)) for m in ball])
     asked = parts.select("s", F.col("fp").alias("a"), "key", F.explode(masks).alias("m"))
     asked = asked.select("s", "a", F.col("key").bitwiseXOR(F.col("m")).alias("key"))
+    # Merged, never broadcast: Spark takes the enumerated side to be as small as the file that it comes from.
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    return asked.join(table, ["s", "key"]).where(near).select("a", "b")
+    return asked.hint("merge").join(table.hint("merge"), ["s", "key"]).where(near).select("a", "b")
 
 
 def near_duplicates(
