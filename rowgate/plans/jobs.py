@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +59,8 @@ def resolve_selection(selected: DataFrame, sheet_map: DataFrame) -> DataFrame:
     if selected.isEmpty():
         raise RefusedRequest("no sheet is selected")
     _refuse_if_any(lookups.unmapped_sheets(selected, sheet_map), "sheets without a table", "sheet_name", "sheet_order")
-    _refuse_if_any(lookups.table_conflicts(selected, sheet_map), "several sheets want one table", "sheet_name", "sheet_order")
+    conflicts = lookups.table_conflicts(selected, sheet_map).withColumn("conflict", F.concat("table_name", F.lit(" ["), "sheet_name", F.lit("]")))
+    _refuse_if_any(conflicts, "several sheets want one table", "conflict", "sheet_order")
     return lookups.mapped_sheets(selected, sheet_map)
 
 
@@ -122,8 +124,8 @@ def _write_tables(records: DataFrame, decided: DataFrame, target: str, mapping:
     try:
         sinks.overwrite_tables(gate.loadable_rows(records, decided), target, mapping)
         sinks.empty_tables(decided.where("status = 'success' AND n_rows = 0").select("table_name"), target, mapping)
-    except PySparkException as e:
-        return str(e).strip().split("\n")[0][:500]
+    except (PySparkException, Py4JJavaError) as e:
+        return (str(e).strip() or type(e).__name__).split("\n")[0]
     return None
 
 

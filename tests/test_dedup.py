@@ -1,7 +1,6 @@
 """De-duplication against a reader that goes down the sheets row by row."""
 
 import random
-from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,28 +17,29 @@ def row(name, order, num, key, n):
     return (name, order, num, {"c0": day(n) if isinstance(n, int) else n, "c3": key})
 
 
+def taking_part(rows, selected):
+    """(position, key, day) of the rows that have a key and a day."""
+    for name, order, num, cells in rows:
+        key, text = (cells["c3"] or "").strip(), cells["c0"] or ""
+        if key and text.startswith("2024-") and (selected is None or name in selected):
+            yield (order, name, num), key, text
+
+
 def expected_list(rows, mode, selected=None):
-    """[(keeper, losers in the order in which they are dropped)], groups by first occurrence."""
+    """[(keeper, losers in the order in which they go)], groups by first occurrence. From the definition: a row that was earlier
+    than all before it goes when the next such row comes, any other row goes at its own place."""
     groups = {}
-    for name, order, num, cells in sorted(rows, key=lambda r: (r[1], r[2])):
-        key = (cells["c3"] or "").strip()
-        try:
-            when = date.fromisoformat(cells["c0"])
-        except (TypeError, ValueError):
-            continue
-        if not key or (selected is not None and name not in selected):
+    for place, key, day in sorted(taking_part(rows, selected)):
+        groups.setdefault((place[1], key) if mode == dedup.SHEET else key, []).append((place, day))
+    out = []
+    for members in groups.values():
+        if len(members) == 1:
             continue
-        scope = (name, key) if mode == dedup.SHEET else key
-        group = groups.setdefault(scope, {"best": None, "dropped": []})
-        here = (when, name, num)
-        if group["best"] is None:
-            group["best"] = here
-        elif when < group["best"][0]:
-            group["dropped"].append(group["best"][1:])
-            group["best"] = here
-        else:
-            group["dropped"].append(here[1:])
-    return [(g["best"][1:], g["dropped"]) for g in groups.values() if g["dropped"]]
+        best = [i for i, (_, d) in enumerate(members) if all(d < e for _, e in members[:i])]
+        goes = {i: next((members[j][0] for j in best if j > i), None) if i in best else members[i][0] for i in range(len(members))}
+        lost = sorted((i for i in goes if goes[i]), key=lambda i: (goes[i], i not in best))
+        out.append((members[best[-1]][0][1:], [members[i][0][1:] for i in lost]))
+    return out
 
 
 def listed(df, rows, mode, selected=None):
@@ -136,7 +136,7 @@ def test_row_numbers_beyond_32_bits(spark):
     df = spark.createDataFrame(
         [("s", 40, far, day(2), "A"), ("s", 40, far + 1, day(1), "A")], "sheet_name string, sheet_order int, row_num bigint, c0 string, c3 string"
     )
-    assert tuple(dedup.keepers(df).first())[2:] == (40, far + 1, 2)
+    assert tuple(dedup.keepers(df).first())[2:] == (40, "s", far + 1, 2)
     assert [(r.action, r.row_num) for r in dedup.duplicate_list(df).orderBy(*dedup.LIST_ORDER).collect()] == [("keep", far + 1), ("delete", far)]
 
 
@@ -144,3 +144,14 @@ def test_keepers_are_cut_before_the_shuffle(spark, sheet):
     df = dedup.kept_rows(sheet(row("s", 1, 2, "A", 1)))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+
+
+def test_sheets_that_share_an_order_or_have_none(spark, sheet):
+    df = sheet(row("a", 1, 2, "A", 1), row("a", 1, 3, "", 1), row("b", 1, 2, "A", 1), row("b", 1, 3, "", 1), row("far", 70_000, 2, "A", 1))
+    assert sorted((r.sheet_name, r.row_num) for r in dedup.kept_rows(df).collect()) == [("a", 2), ("a", 3), ("b", 3)]
+    stats = {r.sheet_name: (r.total, r.kept, r.deleted) for r in dedup.dedup_stats(df).collect()}
+    assert stats == {"a": (2, 2, 0), "b": (2, 1, 1), "far": (1, 0, 1)}
+    none = df.withColumn("sheet_order", F.lit(None).cast("int"))
+    assert dedup.kept_rows(none).count() == 3 and dedup.losers(none).count() == 2
+    blank = df.where("c3 = ''").withColumn("sheet_order", F.lit(None).cast("int"))
+    assert dedup.kept_rows(blank).count() == 2

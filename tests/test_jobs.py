@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowgate.operators import gate
+from rowgate.operators.reports import REPORT_ORDER
+from rowgate.operators.rows import select_sheets
 from rowgate.plans import jobs
 from rowgate.sources import readers, sinks
 
@@ -25,6 +27,11 @@ def load(spark, rows, wanted, tmp, run, present, **more):
     return jobs.run_load(rows, wanted, f"{tmp}/target", f"{tmp}/ledger", run, run, inventory=inventory, **more)
 
 
+def history(spark, tmp, run):
+    ledger = spark.read.parquet(f"{tmp}/ledger").where(f"run_id = '{run}'")
+    return {r.table_name: (r.status, r.rows, r.error) for r in ledger.collect()}
+
+
 def stored(spark, tmp):
     rows = sinks.read_tables(spark, f"{tmp}/target").collect()
     out = {}
@@ -49,16 +56,81 @@ def test_load_gate_and_overwrite(spark, sheet, wanted, tmp_path):
     assert sorted((r.table_name, r.n_rows, r.n_stored, r.diff) for r in result.reconciled.collect()) == [("t 3", 0, 0, 0), ("t/1", 2, 2, 0)]
     totals = gate.load_outcome(result.gate).first()
     assert (totals.n_loaded, totals.n_failed, totals.rows_loaded, totals.error_rows, totals.success, totals.partial) == (2, 2, 2, 2, False, True)
-    ledger = spark.read.parquet(f"{tmp_path}/ledger").where("run_id = 'r2'")
-    assert {r.table_name: (r.status, r.rows) for r in ledger.collect()} == {"t/1": ("success", 2), "t2": ("failed", 0), "t 3": ("success", 0), "t4": ("failed", 0)}
+    assert history(spark, tmp_path, "r2") == {"t/1": ("success", 2, ""), "t2": ("failed", 0, ""), "t 3": ("success", 0, ""), "t4": ("failed", 0, gate.ABSENT)}
 
     reports = f"{tmp_path}/reports/run_id=r2"
     detail = spark.read.parquet(f"{reports}/detail").orderBy("sheet_order", "row_num").collect()
     assert [(r.sheet_name, r.row_num, r.value) for r in detail] == [("dirty", 3, "（空）"), ("dirty", 4, "soon"), ("absent", None, "—")]
     footer = spark.read.parquet(f"{reports}/footer").first()
     assert (footer.n_sheets, footer.n_error_rows) == (2, 3)
-    text = spark.read.parquet(f"{reports}/report").orderBy("sheet_order", "first_row", "part").collect()
-    assert text[0].text == "共 2 行数据存在错误，已扫描整个 Sheet 共 3 行:"
+    pieces = spark.read.parquet(f"{reports}/report").orderBy(*REPORT_ORDER).collect()
+    assert "".join(r.text for r in pieces if r.sheet_name == "dirty").startswith("共 2 行数据存在错误，已扫描整个 Sheet 共 3 行:\n  · ")
+    assert [r.text for r in pieces if r.sheet_name == "absent"] == [gate.ABSENT]
+    assert tuple(result.totals.first())[:3] == (4, 2, 2)
+
+
+def test_a_load_can_be_repeated_with_its_run_id(spark, sheet, wanted, tmp_path):
+    given = sheet(("clean", 1, 2, GOOD), ("dirty", 2, 2, {}), ("dirty", 2, 3, {**GOOD, "c3": ""}))
+    for _ in range(2):
+        load(spark, given, wanted.where("sheet_order <= 2"), tmp_path, "r", ["clean", "dirty"], report_folder=f"{tmp_path}/reports")
+    assert stored(spark, tmp_path) == {"t/1": ["Acme"]}
+    assert spark.read.parquet(f"{tmp_path}/reports/run_id=r/detail").count() == 1
+
+
+def test_refused_loads(spark, sheet, wanted, tmp_path):
+    rows = sheet(("clean", 1, 2, GOOD))
+    with pytest.raises(jobs.RefusedRequest, match="no sheet"):
+        load(spark, rows, wanted.limit(0), tmp_path, "r", ["clean"])
+    with pytest.raises(jobs.RefusedRequest, match="one table: same"):
+        load(spark, rows, wanted.withColumn("table_name", F.lit("same")), tmp_path, "r", ["clean"])
+    many = spark.createDataFrame([(f"s{i}", i, f"t{i:03d}") for i in range(25)], "sheet_name string, sheet_order int, table_name string")
+    with pytest.raises(jobs.RefusedRequest, match="等 25 个") as refused:
+        load(spark, rows, many, tmp_path, "r", ["clean"], existing=many.select("table_name").limit(0))
+    assert refused.value.rows.count() == 25
+    assert not os.path.exists(f"{tmp_path}/target")
+
+
+def test_emptied_tables_with_odd_names(spark, sheet, tmp_path):
+    names = ["表1", "x<y", "a%b c/d", "p=q", "t?*"]
+    wanted = spark.createDataFrame([(f"s{i}", i, n) for i, n in enumerate(names)], "sheet_name string, sheet_order int, table_name string")
+    sheets = [f"s{i}" for i in range(len(names))]
+    load(spark, sheet(*[(s, i, 2, GOOD) for i, s in enumerate(sheets)]), wanted, tmp_path, "r1", sheets)
+    assert sorted(stored(spark, tmp_path)) == sorted(names)
+    result = load(spark, sheet(("s0", 0, 2, {})), wanted, tmp_path, "r2", sheets)
+    assert stored(spark, tmp_path) == {}
+    assert {r.status for r in result.gate.collect()} == {"success"} and {r.diff for r in result.reconciled.collect()} == {0}
+
+
+def test_refused_writes_fail_their_table(spark, sheet, wanted, tmp_path):
+    refused = spark.createDataFrame([("clean", 1, 3, "[08S01] gone", "t", "Acme")], "sheet_name string, sheet_order int, row_num bigint, message string, team string, company_name string")
+    result = load(spark, sheet(("clean", 1, 2, GOOD), ("clean", 1, 3, GOOD)), wanted.limit(1), tmp_path, "r", ["clean"], writer_errors=refused, report_folder=f"{tmp_path}/reports")
+    assert [(r.status, r.n_rows, r.n_errors) for r in result.gate.collect()] == [("failed", 2, 1)]
+    assert stored(spark, tmp_path) == {}
+    assert spark.read.parquet(f"{tmp_path}/reports/run_id=r/detail").first().problem.startswith("网络连接中断")
+
+
+def test_a_failed_write_is_recorded(spark, sheet, wanted, tmp_path):
+    (tmp_path / "target").write_text("a file stands where the tables should go")
+    result = load(spark, sheet(("clean", 1, 2, GOOD)), wanted.limit(1), tmp_path, "r", ["clean"])
+    (row,) = result.gate.collect()
+    assert row.status == "failed" and row.table_error
+    assert history(spark, tmp_path, "r") == {"t/1": ("failed", 0, row.table_error)}
+
+
+def test_stored_rows_that_differ_fail_the_table(spark):
+    decided = spark.createDataFrame([("a", "t1", 3, 0, None, "success"), ("b", "t2", 1, 0, None, "success")], "sheet_name string, table_name string, n_rows bigint, n_errors bigint, table_error string, status string")
+    counted = spark.createDataFrame([("t1", 3, 4, 1), ("t2", 1, 1, 0)], "table_name string, n_rows bigint, n_stored bigint, diff bigint")
+    assert {r.table_name: (r.status, r.table_error) for r in gate.settled(decided, counted).collect()} == {"t1": ("failed", "stored rows differ from scanned rows by 1"), "t2": ("success", None)}
+
+
+def test_a_load_scans_only_the_wanted_sheets(spark, sheet, wanted, tmp_path):
+    sheet(("clean", 1, 2, GOOD), ("other", 9, 2, GOOD)).write.parquet(f"{tmp_path}/rows")
+    rows = readers.row_table(spark, f"{tmp_path}/rows")
+    picked = select_sheets(rows, ["clean"])
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(sheet_name,clean)" in plan.split("PushedFilters")[1]
+    load(spark, rows, wanted.limit(1), tmp_path, "r", ["clean"])
+    assert stored(spark, tmp_path) == {"t/1": ["Acme"]}
 
 
 def test_all_failed_is_partial(spark, sheet, wanted, tmp_path):
@@ -78,7 +150,7 @@ def test_whole_table_errors_fail_the_table(spark, sheet, wanted):
 
 def test_missing_target_refuses_the_run(spark, sheet, wanted, tmp_path):
     existing = spark.createDataFrame([("t2",)], "table_name string")
-    with pytest.raises(jobs.RefusedRequest, match="t/1, t 3, t4"):
+    with pytest.raises(jobs.RefusedRequest, match="t/1、t 3、t4"):
         load(spark, sheet(("clean", 1, 2, GOOD)), wanted, tmp_path, "r", ["clean"], existing=existing)
     assert not os.path.exists(f"{tmp_path}/target")
 
@@ -114,6 +186,14 @@ def test_validation_job(sheet):
     errors, by_sheet = jobs.run_validation(sheet(("a", 1, 2, GOOD), ("b", 2, 2, {"c3": "x"})), sheets=["b"])
     assert [(r.sheet_name, r.field) for r in errors.collect()] == [("b", "industry")]
     assert [(r.sheet_name, r.n_errors) for r in by_sheet.collect()] == [("b", 1)]
+    with pytest.raises(jobs.RefusedRequest):
+        jobs.run_validation(sheet(("a", 1, 2, GOOD)), sheets=[])
+
+
+def test_validation_counts_selected_sheets_without_rows(spark, sheet):
+    inventory = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "sheet_name string, sheet_order int")
+    _, by_sheet = jobs.run_validation(sheet(("a", 1, 2, GOOD)), sheets=["a", "c"], inventory=inventory)
+    assert sorted(tuple(r) for r in by_sheet.collect()) == [("a", 1, 1, 0, 0), ("c", 3, 0, 0, 0)]
 
 
 def write_csv(path, lines):
@@ -144,9 +224,39 @@ def test_csv_sheets_keep_positions_over_many_splits(spark, tmp_path):
 
 
 def test_csv_cells_with_line_ends(spark, tmp_path):
-    write_csv(f"{tmp_path}/s.csv", ['2024-01-01,"a\nb",src\n', "2024-01-02,c,src\n"])
-    got = readers.csv_sheets(spark, str(tmp_path), multi_line=True).orderBy("row_num").collect()
-    assert [(r.row_num, r.c1, r.c2) for r in got] == [(2, "a\nb", "src"), (3, "c", "src")]
+    body = ['2024-01-01,"a\nb",src\n', "\n", "2024-01-02,c,src\n", '2024-01-03,"say ""x""\n\n, y",src\n', "last,d\n"]
+    write_csv(f"{tmp_path}/s.csv", body)
+    want = [(2, "a\nb", "src"), (3, None, None), (4, "c", "src"), (5, 'say "x"\n\n, y', "src"), (6, "d", None)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("128m", "20"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = readers.csv_sheets(spark, str(tmp_path), multi_line=True).orderBy("row_num").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert [(r.row_num, r.c1, r.c2) for r in got] == want
+
+
+def test_inventory_of_files(spark, tmp_path):
+    for name in ("b", "a", "only header", "表 1"):
+        write_csv(f"{tmp_path}/{name}.csv", ["2024-01-01,x\n"] if name != "only header" else [])
+    assert sorted(tuple(r) for r in readers.file_sheets(spark, str(tmp_path)).collect()) == [("a", 1), ("b", 2), ("only header", 3), ("表 1", 4)]
+    listed = readers.file_sheets(spark, str(tmp_path), ["表 1", "gone", "b"])
+    assert {r.sheet_name: r.sheet_order for r in listed.collect()} == {"表 1": 1, "b": 2, "a": 3, "only header": 4}
+    rows = readers.csv_sheets(spark, str(tmp_path), ["b"]).collect()
+    assert sorted((r.sheet_name, r.sheet_order) for r in rows) == [("a", 2), ("b", 1), ("表 1", 4)]
+
+
+def test_header_only_sheet_empties_its_table(spark, sheet, tmp_path):
+    os.makedirs(f"{tmp_path}/in")
+    write_csv(f"{tmp_path}/in/gone.csv", [])
+    write_csv(f"{tmp_path}/in/here.csv", ["2024-01-31,t,,Acme,,x\n"])
+    wanted = spark.createDataFrame([("gone", 1, "t1"), ("here", 2, "t2")], "sheet_name string, sheet_order int, table_name string")
+    load(spark, sheet(("gone", 1, 2, GOOD), ("here", 2, 2, GOOD)), wanted, tmp_path, "r1", ["gone", "here"])
+    inventory = readers.file_sheets(spark, f"{tmp_path}/in")
+    result = jobs.run_load(readers.csv_sheets(spark, f"{tmp_path}/in"), wanted, f"{tmp_path}/target", f"{tmp_path}/ledger", "r2", "r2", inventory=inventory)
+    assert {r.table_name: r.status for r in result.gate.collect()} == {"t1": "success", "t2": "success"}
+    assert stored(spark, tmp_path) == {"t2": ["Acme"]}
 
 
 def test_parquet_sheets(spark, tmp_path):
@@ -166,6 +276,12 @@ def test_row_table(spark, sheet, tmp_path):
     spark.range(1).write.parquet(f"{tmp_path}/bad")
     with pytest.raises(ValueError, match="sheet_name"):
         readers.row_table(spark, f"{tmp_path}/bad")
+    few = spark.createDataFrame([("s", 1, 2, "2024-01-31"), ("s", 1, 3, "x")], "sheet_name string, sheet_order int, row_num int, c0 string")
+    few.write.parquet(f"{tmp_path}/few")
+    assert readers.row_table(spark, f"{tmp_path}/few").first().c10 is None
+    few.unionAll(few).write.parquet(f"{tmp_path}/twice")
+    with pytest.raises(ValueError, match="repeated"):
+        readers.row_table(spark, f"{tmp_path}/twice")
 
 
 def test_results_are_never_replaced(spark, tmp_path):

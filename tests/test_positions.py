@@ -1,11 +1,11 @@
-"""Ordinals, ranges and text lines against plain Python, with buckets small enough to be crossed."""
+"""Ordinals and ranges against plain Python, with buckets small enough to be crossed."""
 
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from rowgate.operators.positions import number_rows, range_label, row_ranges, text_lines
+from rowgate.operators.positions import number_rows, range_label, row_ranges
 
 
 def merged(numbers):
@@ -43,13 +43,3 @@ def test_range_labels(spark):
     df = spark.createDataFrame([(140620,), (140614,), (140615,), (140614,)], "row_num bigint").withColumn("g", F.lit(1))
     labels = row_ranges(df, ["g"]).orderBy("range_start").select(range_label().alias("t")).collect()
     assert [r.t for r in labels] == ["140614-140615", "140620"]
-
-
-def test_text_lines_hold_everything(spark):
-    positions = random.Random(3).sample(range(1000), 300)
-    df = spark.createDataFrame([("g", p, f"t{p}") for p in positions], "g string, p bigint, t string")
-    one = text_lines(df, ["g"], "p", "t", ";", "out").collect()
-    assert [(r.line_no, r.out) for r in one] == [(1, ";".join(f"t{p}" for p in sorted(positions)))]
-    lines = text_lines(df, ["g"], "p", "t", ";", "out", line_rows=100).orderBy("line_no").collect()
-    assert [r.line_no for r in lines] == list(range(1, 11))
-    assert ";".join(r.out for r in lines) == one[0].out

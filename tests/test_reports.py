@@ -21,26 +21,42 @@ def ranges(numbers):
 def test_error_groups(spark):
     rng = random.Random(5)
     rows = [error("s", n, "null", rng.choice(["one", "two"])) for n in rng.sample(range(2, 200), 120)]
-    df = spark.createDataFrame(rows, ERRORS)
-    got = reports.error_groups(df, bucket_rows=8).orderBy("first_row").collect()
-    assert got[0].first_row < got[1].first_row
-    for r in got:
+    found = reports.error_ranges(spark.createDataFrame(rows, ERRORS), bucket_rows=8)
+    for r in reports.error_groups(found).collect():
         numbers = [e[2] for e in rows if e[4] == r.message]
-        assert (r.n_errors, r.first_row, r.line_no) == (len(numbers), min(numbers), 1)
-        assert r.ranges == ", ".join(f"第 {p} 行" for p in ranges(numbers))
+        assert (r.n_errors, r.first_row) == (len(numbers), min(numbers))
+        shown = found.where(f"message = '{r.message}'").orderBy("range_start").collect()
+        assert [f"{x.range_start}" if x.range_start == x.range_end else f"{x.range_start}-{x.range_end}" for x in shown] == ranges(numbers)
+        assert sum(x.n_errors for x in shown) == len(numbers)
 
 
-def test_load_report_reads_as_one_text(spark):
-    df = spark.createDataFrame([error("s", 5, "null", "one"), error("s", 6, "null", "one"), error("s", 3, "null", "two")], ERRORS)
-    counts = spark.createDataFrame([("s", 1, 10, 3), ("ok", 2, 4, 0)], "sheet_name string, sheet_order int, n_rows bigint, n_errors bigint")
-    order = ["sheet_order", "first_row", "message", "part", "line_no"]
-    lines = reports.report_lines(counts, reports.error_groups(df), "load").orderBy(*order).collect()
-    assert "\n".join(r.text for r in lines) == (
-        "共 3 行数据存在错误，已扫描整个 Sheet 共 10 行:\n  · two：1 行\n    出错行: 第 3 行\n  · one：2 行\n    出错行: 第 5-6 行")
-    lines = reports.report_lines(counts, reports.error_groups(df), "validation").orderBy(*order).collect()
-    assert "\n".join(r.text for r in lines) == (
-        "验证完成，Sheet [s] 共 3 行数据存在错误，已扫描整个 Sheet 共 10 行:\n\n■ 错误类型（1 行）: two\n  出错行: 第 3 行"
-        "\n\n■ 错误类型（2 行）: one\n  出错行: 第 5-6 行")
+def read_report(pieces):
+    return "".join(r.text for r in pieces.orderBy(*reports.REPORT_ORDER).collect())
+
+
+def test_reports_read_as_one_text(spark):
+    df = spark.createDataFrame([error("s", 5, "null", "one"), error("s", 6, "null", "one"), error("s", 9, "null", "one"), error("s", 3, "null", "two")], ERRORS)
+    counts = spark.createDataFrame([("s", 1, 10, 4), ("ok", 2, 4, 0)], "sheet_name string, sheet_order int, n_rows bigint, n_errors bigint")
+    found = reports.error_ranges(df)
+    assert read_report(reports.report_pieces(counts, found, "load")) == (
+        "共 4 行数据存在错误，已扫描整个 Sheet 共 10 行:\n  · two：1 行\n    出错行: 第 3 行\n  · one：3 行\n    出错行: 第 5-6 行, 第 9 行")
+    assert read_report(reports.report_pieces(counts, found, "validation")) == (
+        "验证完成，Sheet [s] 共 4 行数据存在错误，已扫描整个 Sheet 共 10 行:\n\n■ 错误类型（1 行）: two\n  出错行: 第 3 行"
+        "\n\n■ 错误类型（3 行）: one\n  出错行: 第 5-6 行, 第 9 行")
+
+
+def test_titles_do_not_depend_on_the_row_number(spark):
+    far = 1 << 41
+    df = spark.createDataFrame([error("s", far + n, "null", m) for n, m in ((0, "x"), (1, "x"), (40, "y"))], ERRORS)
+    counts = spark.createDataFrame([("s", 1, 0, 3)], "sheet_name string, sheet_order int, n_rows bigint, n_errors bigint")
+    text = read_report(reports.report_pieces(counts, reports.error_ranges(df), "load"))
+    assert text == f"共 3 行数据存在错误:\n  · x：2 行\n    出错行: 第 {far}-{far + 1} 行\n  · y：1 行\n    出错行: 第 {far + 40} 行"
+
+
+def test_failed_table_without_row_errors_shows_its_error(spark):
+    counts = spark.createDataFrame([("s", 1, 5, 0, "table is locked"), ("ok", 2, 5, 0, None)], "sheet_name string, sheet_order int, n_rows bigint, n_errors bigint, table_error string")
+    pieces = reports.report_pieces(counts, reports.error_ranges(spark.createDataFrame([], ERRORS)), "load")
+    assert read_report(pieces) == "table is locked"
 
 
 def capped(lines):
@@ -78,7 +94,7 @@ def all_errors(spark):
         error("s", 9, "db", " \nodd thing\nmore", fields=[], team="　", company=" Acme "),
         error("s", 2, "null", team="u"),
     ]
-    failed = spark.createDataFrame([("s", 1, "ignored"), ("silent", 2, "\n  locked\nx"), ("mute", 3, None)], "sheet_name string, sheet_order int, error string")
+    failed = spark.createDataFrame([("s", 1, 5, "ignored"), ("silent", 2, 0, "\n  locked\nx"), ("mute", 3, 0, None)], "sheet_name string, sheet_order int, n_errors bigint, error string")
     return reports.with_tableless_errors(spark.createDataFrame(rows, ERRORS), failed)
 
 
@@ -97,25 +113,31 @@ def test_error_detail(spark):
     ]
 
 
+def listed(errors, part):
+    """Texts of the summary by owner and sheet, read in order."""
+    items = reports.summary_items(errors, reports.summary_ranges(errors, bucket_rows=16)).where(f"part = '{part}'").orderBy(*reports.SUMMARY_ORDER)
+    out = {}
+    for r in items.collect():
+        out[r.owner, r.sheet_name] = out.get((r.owner, r.sheet_name), "") + r.text
+    return out
+
+
 def test_error_summary(spark):
     errors = all_errors(spark)
-    got = {(r.owner, r.sheet_name): (r.line_no, r.n_error_rows, r.ranges, r.problems) for r in reports.error_summary(errors).collect()}
+    summary = reports.error_summary(reports.summary_ranges(errors))
     driver = "数据库驱动错误：请确认 SQL Server ODBC 驱动已正确安装且连接参数正确。"
-    assert got == {
-        ("t", "s"): (1, 2, "4-5", f"必填字段为空，请补填；{driver}；日期格式无法识别（应形如 2024-01-31）"),
-        ("u", "s"): (1, 1, "2", "必填字段为空，请补填"),
-        ("（未填负责人）", "s"): (1, 1, "9", "odd thing"),
-        ("（未填负责人）", "silent"): (1, 1, "", "locked"),
-        ("（未填负责人）", "mute"): (1, 1, "", "未知错误"),
-    }
-    assert tuple(reports.summary_footer(errors).first()) == (3, 6)
+    none = "（未填负责人）"
+    assert {(r.owner, r.sheet_name): (r.n_error_rows, r.first_row) for r in summary.collect()} == {
+        ("t", "s"): (2, 4), ("u", "s"): (1, 2), (none, "s"): (1, 9), (none, "silent"): (1, 0), (none, "mute"): (1, 0)}
+    assert listed(errors, "rows") == {("t", "s"): "4-5", ("u", "s"): "2", (none, "s"): "9"}
+    assert listed(errors, "problems") == {
+        ("t", "s"): f"必填字段为空，请补填；{driver}；日期格式无法识别（应形如 2024-01-31）", ("u", "s"): "必填字段为空，请补填",
+        (none, "s"): "odd thing", (none, "silent"): "locked", (none, "mute"): "未知错误"}
+    assert tuple(reports.summary_footer(summary).first()) == (3, 6)
 
 
-def test_long_summary_goes_on_in_further_lines(spark):
+def test_long_summary_has_every_row_and_problem(spark):
     numbers = list(range(2, 400, 2))
     df = spark.createDataFrame([error("s", n, "db", f"p{n}", fields=[]) for n in numbers], ERRORS)
-    lines = reports.error_summary(df, line_rows=100, bucket_rows=16).orderBy("line_no").collect()
-    assert [r.line_no for r in lines] == [1, 2, 3, 4]
-    assert {r.n_error_rows for r in lines} == {199}
-    assert "、".join(r.ranges for r in lines) == "、".join(str(n) for n in numbers)
-    assert "；".join(r.problems for r in lines) == "；".join(f"p{n}" for n in numbers)
+    assert listed(df, "rows")["t", "s"] == "、".join(str(n) for n in numbers)
+    assert listed(df, "problems")["t", "s"] == "；".join(f"p{n}" for n in numbers)

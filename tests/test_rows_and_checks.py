@@ -118,3 +118,16 @@ def test_counts_per_sheet(sheet):
     assert tuple(checks.validation_totals(by_sheet).first()) == (2, 3, 3, False)
     assert tuple(checks.validation_totals(by_sheet.where("sheet_name = 'b'")).first()) == (1, 1, 0, True)
     assert tuple(checks.validation_totals(by_sheet.where("false")).first()) == (0, 0, 0, True)
+
+
+def test_fields_without_a_mapping_are_missing(sheet):
+    mapping = [FieldMapping(1, "company_name", 3, "n"), FieldMapping(2, "status", 9, "")]
+    df = rows.to_records(sheet(("s", 1, 2, GOOD), ("s", 1, 3, {**GOOD, "c9": "s" * 201})), mapping)
+    assert verdicts(df) == ["null", "null"]
+    got = checks.load_errors(df, mapping=mapping).orderBy("row_num").collect()
+    assert got[0].message == "字段 [industry] 不能为空 (NOT NULL 约束)"
+    assert [tuple(f) for f in got[0].fields] == [("industry", "（空）")]
+    assert (got[0].team, got[0].company_name) == (None, "Acme")
+    assert [f[:3] for f in findings(df)] == [(2, "industry", "NOT NULL"), (3, "industry", "NOT NULL"), (3, "status", "LENGTH")]
+    checked = checks.checked_rows(df, mapping=mapping)
+    assert checks.found_errors(checked).count() == 2

@@ -33,6 +33,11 @@ def test_a_cluster_without_the_setting_is_refused():
         session.shared_folder(fake("spark://host:7077"))
 
 
+def test_a_local_cluster_is_a_cluster():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(fake("local-cluster[2,1,1024]"))
+
+
 def test_local_mode_gets_its_own_folder_once():
     spark = fake("local[2]")
     folder = session.shared_folder(spark)
@@ -45,3 +50,10 @@ def test_staged_rows(spark):
     assert back.schema == df.schema
     assert sorted(r.a for r in back.collect()) == [1, 2]
     assert "ExistingRDD" not in back._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folders_can_be_removed(spark):
+    path = session.run_folder(spark, "gone")
+    spark.range(3).write.parquet(path)
+    session.remove_folder(spark, path)
+    assert not os.path.exists(path)
