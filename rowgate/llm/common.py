@@ -35,6 +35,15 @@ def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+#: Keys up to this number are sent to all tasks (some 100 bytes each there); more are joined by a shuffle of both sides.
+BROADCAST_KEYS = 500_000
+
+
+def match(docs: DataFrame, keys: DataFrame, same: Column, how: str) -> DataFrame:
+    """Semi or anti join of documents with a written table of keys. Few keys leave the texts where they are."""
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge"), same, how)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

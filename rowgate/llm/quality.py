@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowgate.llm.common import Scratch, quoted, unused
+from rowgate.llm.common import Scratch, match, quoted, unused
 
 #: Share of the good documents of a stratum that may be rejected, and the probability that any stratum exceeds it.
 RISK, ERROR = 0.05, 0.1
@@ -151,6 +151,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     th, *keys = unused(docs, "text_hash_", "key_", "of_", "hash_")
     found = judge(docs, labels, id_col, text_col, stratum_col, **how).where(~F.col("kept"))
     bad = found.select(F.col("doc_id").alias(keys[0]), F.col("stratum").alias(keys[1]), F.col("text_hash").alias(keys[2])).distinct()
-    bad = Scratch(docs.sparkSession, "quality").table(bad)  # written, so that its size is known when the join is planned
+    bad = Scratch(docs.sparkSession, "quality").table(bad)
     same = quoted(id_col).eqNullSafe(F.col(keys[0])) & quoted(stratum_col).cast("string").eqNullSafe(F.col(keys[1])) & (F.col(th) == F.col(keys[2]))
-    return docs.withColumn(th, F.xxhash64(quoted(text_col))).join(bad, same, "left_anti").drop(th)
+    return match(docs.withColumn(th, F.xxhash64(quoted(text_col))), bad, same, "left_anti").drop(th)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowgate.llm.common import Scratch, map_batches, quoted, unused
+from rowgate.llm.common import Scratch, map_batches, match, quoted, unused
 from rowgate.llm.components import components
 
 SEED = 42
@@ -99,13 +99,20 @@ def near_duplicates(
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents with all their columns, one of each class: the one with the smallest id (null ids last), of repeated
     rows any one. The choice is made on narrow rows; the texts are only asked whether they were chosen."""
-    found = near_duplicates(docs, id_col, text_col, **how).select("doc_id", "text_hash", "root").distinct()
-    order = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")
-    chosen = found.withColumn("n", F.row_number().over(order)).where("n = 1")
-    th, n, key = unused(docs, "text_hash_", "copy_", "key_")
-    chosen = chosen.select(F.col("doc_id").alias(key), F.col("text_hash").alias(n))
-    marked = docs.withColumn(th, F.xxhash64(quoted(text_col)))
-    on = quoted(id_col).eqNullSafe(F.col(key)) & (F.col(th) == F.col(n))
-    kept = marked.join(chosen, on, "left_semi")
+    scratch = Scratch(docs.sparkSession, "simhash")
+    found = near_duplicates(docs, id_col, text_col, **how)
+    keys = scratch.table(found.groupBy("doc_id", "text_hash").agg(F.min("root").alias("root"), F.count("*").alias("n")))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = keys.groupBy("root").agg(F.min(place).alias("first"))
+    th, key, own, n = unused(docs, "text_hash_", "key_", "own_", "copy_")
+    names = [F.col("doc_id").alias(key), F.col("text_hash").alias(own)]
+    judged = keys.join(first, "root").withColumn("chosen", F.col("first").eqNullSafe(place))
+    gone = scratch.table(judged.where("NOT chosen").select(*names))
+    same = quoted(id_col).eqNullSafe(F.col(key)) & (F.col(th) == F.col(own))
+    kept = match(docs.withColumn(th, F.xxhash64(quoted(text_col))), gone, same, "left_anti")
+    repeated = scratch.table(judged.where("chosen AND n > 1").select(*names))
+    if repeated.isEmpty():
+        return kept.drop(th)
     copies = Window.partitionBy(quoted(id_col), F.col(th)).orderBy(F.col(th))
-    return kept.withColumn(n, F.row_number().over(copies)).where(F.col(n) == 1).drop(th, n)
+    one = match(kept, repeated, same, "left_semi").withColumn(n, F.row_number().over(copies)).where(F.col(n) == 1).drop(n)
+    return match(kept, repeated, same, "left_anti").unionAll(one).drop(th)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowgate.llm.common import Scratch, map_batches, quoted, unused
+from rowgate.llm.common import Scratch, map_batches, match, quoted, unused
 
 SEED_WORDS, COVERAGE = 5, 0.8
 #: Bytes of test text in one block.
@@ -168,6 +168,6 @@ def drop_leaking(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text
     """The documents that give no test away, with all their columns."""
     th, key, own = unused(docs, "text_hash_", "key_", "own_")
     bad = leaks(docs, tests, id_col, text_col, **how).select(F.col("doc_id").alias(key), F.col("text_hash").alias(own)).distinct()
-    bad = Scratch(docs.sparkSession, "leaks").table(bad)  # written, so that its size is known when the join is planned
+    bad = Scratch(docs.sparkSession, "leaks").table(bad)
     marked = docs.withColumn(th, F.xxhash64(quoted(text_col)))
-    return marked.join(bad, quoted(id_col).eqNullSafe(F.col(key)) & (F.col(th) == F.col(own)), "left_anti").drop(th)
+    return match(marked, bad, quoted(id_col).eqNullSafe(F.col(key)) & (F.col(th) == F.col(own)), "left_anti").drop(th)
