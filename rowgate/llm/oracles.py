@@ -26,8 +26,8 @@ held AS (SELECT stratum, unnest(['symbols', 'repeats', 'lines', 'sameness', 'cap
            unnest([symbols, repeats, lines, sameness, capitals, shouts]) AS x FROM m JOIN good USING (doc_id) WHERE NOT base_failed),
 strata AS (SELECT count(*) AS s FROM (SELECT DISTINCT stratum FROM held)),
 cell AS (SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k FROM held JOIN grid USING (rule) GROUP BY ALL),
-test AS (SELECT *, CASE WHEN k >= n * (0.05 / 6) THEN 1 ELSE list_sum(list_transform(range(k + 1), lambda i:
-           exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05 / 6) + (n - i) * ln(1 - 0.05 / 6)))) END AS p FROM cell),
+test AS (SELECT *, CASE WHEN k >= n * (0.02 / 6) THEN 1 ELSE list_sum(list_transform(range(k + 1), lambda i:
+           exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02 / 6) + (n - i) * ln(1 - 0.02 / 6)))) END AS p FROM cell),
 walk AS (SELECT *, bool_and(p <= 0.1 / (s * 6)) OVER (PARTITION BY stratum, rule ORDER BY step) AS ok FROM test, strata),
 cut AS (SELECT stratum AS u, rule, min(cutoff) AS cutoff FROM walk WHERE ok GROUP BY ALL),
 cuts AS (SELECT u, max(cutoff) FILTER (rule = 'symbols') AS c1, max(cutoff) FILTER (rule = 'repeats') AS c2, max(cutoff) FILTER (rule = 'lines') AS c3,

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from rowgate.llm.common import Scratch, match, quoted, unused
 
 #: Share of the good documents of a stratum that may be rejected, and the probability that any stratum exceeds it.
-RISK, ERROR = 0.05, 0.1
+RISK, ERROR = 0.02, 0.1
 #: White space between words, and the symbols that are counted, fixed values.
 BLANKS, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 MIN_WORDS, MOST_REPEATED = 50, 50

@@ -66,17 +66,17 @@ def holdout(spark, n, lost):
 
 
 def test_cutoffs_need_proof(spark):
-    docs, labels = holdout(spark, 800, 0)
+    docs, labels = holdout(spark, 1800, 0)
     got = quality.judge(docs, labels).collect()
-    assert all(r.kept == (r.doc_id < 800) for r in got)
+    assert all(r.kept == (r.doc_id < 1800) for r in got)
     few = quality.judge(*holdout(spark, 100, 0)).collect()
     assert all(r.kept for r in few)
-    noisy = quality.judge(*holdout(spark, 800, 60)).collect()
+    noisy = quality.judge(*holdout(spark, 1800, 60)).collect()
     assert all(r.kept for r in noisy)
 
 
 def test_strata_and_odd_rows(spark):
-    docs, labels = holdout(spark, 800, 0)
+    docs, labels = holdout(spark, 1800, 0)
     bad = " ".join(f"n{i}##" for i in range(60))
     more = spark.createDataFrame([(None, bad, "en"), (5000, bad, None), (5001, bad, "xx"), (5002, None, "en"), (5003, bad, "en"), (5003, bad, "en")], docs.schema)
     marks = labels.unionAll(spark.createDataFrame([(None, 1), (3, None), (3, 5), (7_000_000, 1)], labels.schema))
@@ -84,7 +84,7 @@ def test_strata_and_odd_rows(spark):
     assert sorted((r.doc_id or 0, r.kept, r.base_failed) for r in got) == [(0, False, False), (5000, True, False), (5001, True, False), (5002, False, True), (5003, False, False), (5003, False, False)]
     kept = quality.keep_good(docs.unionAll(more).withColumn("text_hash_", F.lit(1)), marks)
     assert kept.columns == ["doc_id", "text", "lang", "text_hash_"]
-    assert sorted(r.doc_id for r in kept.collect()) == [*range(800), 5000, 5001]
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(1800), 5000, 5001]
     assert quality.judge(docs.limit(0), labels).count() == 0
     assert quality.judge(docs, labels.limit(0)).where("NOT kept").count() == 0
 

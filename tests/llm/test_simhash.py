@@ -4,7 +4,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rowgate.llm import components, simhash
+from rowgate.llm import common, components, simhash
 from rowgate.llm.queries import op7_simhash
 
 SF = "/root/testdata/sf0.001"
@@ -103,3 +103,14 @@ def test_one_document_of_each_class_stays_with_its_columns(spark):
     assert kept.columns == docs.columns
     got = sorted(kept.select(F.coalesce("doc_id", F.lit(-1))).collect())
     assert [r[0] for r in got] == [-1, 1, 3, 7, 8]
+
+
+def test_documents_are_kept_alike_without_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame(ROWS, "doc_id bigint, text string")
+    sent = simhash.keep_first(docs)
+    one = sorted(str(r) for r in sent.collect())
+    assert "strategy=broadcast" in sent._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(common, "BROADCAST_KEYS", -1)
+    df = simhash.keep_first(docs)
+    assert sorted(str(r) for r in df.collect()) == one
+    assert "strategy=broadcast" not in df._jdf.queryExecution().analyzed().toString()
