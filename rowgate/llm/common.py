@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rowgate.session import run_folder
 
 #: Bytes of one Arrow batch on its way to Python, whatever the length of the texts; one longer row is a batch of its own.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def quoted(name: str) -> Column:

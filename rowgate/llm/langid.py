@@ -27,7 +27,7 @@ CENTROIDS = 4
 #: Languages whose centroids may be sent to the tasks (BUCKETS * 4 bytes for each centroid).
 MAX_LANGUAGES = 1000
 #: Characters that are turned into vectors at a time.
-_BLOCK = 1 << 21
+_BLOCK = 1 << 20
 
 
 class Letters:

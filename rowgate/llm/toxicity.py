@@ -35,7 +35,7 @@ SYMBOL = 10
 BROADCAST_LABELS = 2_000_000
 #: n-gram weights sent to the tasks at a time (12 bytes each); more are used in several passes.
 WEIGHTS_AT_ONCE = 6_000_000
-_BLOCK = 1 << 21
+_BLOCK = 1 << 20
 
 
 class Grams:
