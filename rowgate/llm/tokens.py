@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: The cache starts anew beyond so many words or ids.
-CACHE_WORDS, CACHE_IDS = 400_000, 4_000_000
+CACHE_WORDS, CACHE_IDS = 200_000, 2_000_000
 
 
 def _byte_signs() -> dict[int, int]:
