@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import os
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,11 +98,12 @@ def _sequences(texts, encode, end_id: int, length: int):
     """Full sequences of a stream of texts, then the rest."""
     kept = np.zeros(0, "<u2")
     for batch in texts:
-        parts = [kept]
+        ids = array("H")
         for text in batch:
-            parts += [np.array(encode(p), "<u2") for p in _pieces(text or "")]
-            parts.append(np.array([end_id], "<u2"))
-        every = np.concatenate(parts)
+            for piece in _pieces(text or ""):
+                ids.extend(encode(piece))
+            ids.append(end_id)
+        every = np.concatenate((kept, np.frombuffer(ids, np.uint16).astype("<u2", copy=False)))
         full = len(every) - len(every) % length
         yield every[:full].reshape(-1, length), length
         kept = every[full:]
@@ -127,18 +129,21 @@ def materialise(
     if end_id > 0xFFFF or max((r for _, r in ranks), default=0) > 0xFFFF:
         raise ValueError("ids must fit 16 bits")
     spark, texts = docs.sparkSession, docs.select(quoted(text_col).alias("t"))
+    sent = spark.sparkContext.broadcast(dict(ranks))  # read once by each Python worker, not by each task
 
     def encoder():
         import tiktoken
 
-        coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=dict(ranks), special_tokens={})
+        coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=sent.value, special_tokens={})
         return coder.encode_ordinary
 
     def cut(batches):
         return _sequences((b.column(0).to_pylist() for b in batches), encoder(), end_id, length)
 
     def counted(batches):
-        n = sum(len(block) for block, _ in cut(batches))
+        encode = encoder()
+        ids = sum(1 + sum(len(encode(p)) for p in _pieces(t or "")) for b in batches for t in b.column(0).to_pylist())
+        n = -(-ids // length)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], ["part", "n"])
 

@@ -69,7 +69,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as fixed-stride shards in training order, read back record by record."""
-    ranks = materialise.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ranks = materialise.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))  # the documents are in four languages
     docs = read(spark, sf_dir, "documents")
     shards = materialise.materialise(docs, run_folder(spark, "shards"), ranks, public_tokenizers.PATTERN, end_id=50256, key=2024)
     records = materialise.read_records(spark, shards)

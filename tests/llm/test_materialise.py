@@ -12,7 +12,7 @@ from rowgate.llm import materialise
 from rowgate.llm.queries import op6_materialise
 
 SF = "/root/testdata/sf0.001"
-RANKS = materialise.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+RANKS = materialise.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 CODER = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(RANKS), special_tokens={})
 END = 50256
 
