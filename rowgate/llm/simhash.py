@@ -11,6 +11,7 @@ smallest id; an empty table gives an empty result. Other columns of the input ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -29,11 +30,11 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes | None, width: int) -> np.uint64:
-    """Fingerprint of a UTF-8 text from its shingles of `width` words. bytes.split() cuts at 09-0D and 20 only."""
+def shingle_hashes(text: bytes | None, width: int):
+    """Hashes of the shingles of `width` words of a UTF-8 text, in blocks. bytes.split() cuts at 09-0D and 20 only."""
     words = (text or b"").translate(_LOWER).split()
     if not words:
-        return np.uint64(0)
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -41,13 +42,20 @@ def fingerprint(text: bytes | None, width: int) -> np.uint64:
         starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    counts, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), _BLOCK):
         spans = zip(starts[at : at + _BLOCK].tolist(), ends[at : at + _BLOCK].tolist(), strict=True)
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in spans], "<u8")
+        yield np.array([digest(joined[s:e], SEED) for s, e in spans], "<u8")
+
+
+def fingerprint(text: bytes | None, width: int) -> np.uint64:
+    """Fingerprint of a UTF-8 text from its shingles of `width` words."""
+    counts, total = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, width):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += np.add.reduce(bits, axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0]
+        total += len(hashes)
+    return np.packbits(2 * counts > total, bitorder="little").view("<u8")[0]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -96,11 +104,12 @@ def near_duplicates(
     return rows.join(labels, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: Callable = near_duplicates, **how) -> DataFrame:
     """The documents with all their columns, one of each class: the one with the smallest id (null ids last), of repeated
-    rows any one. The choice is made on narrow rows; the texts are only asked whether they were chosen."""
+    rows any one. The choice is made on narrow rows; the texts are only asked whether they were chosen. `classes` gives
+    doc_id, text_hash and root of every row."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    found = near_duplicates(docs, id_col, text_col, **how)
+    found = classes(docs, id_col, text_col, **how)
     keys = scratch.table(found.groupBy("doc_id", "text_hash").agg(F.min("root").alias("root"), F.count("*").alias("n")))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = keys.groupBy("root").agg(F.min(place).alias("first"))
