@@ -63,18 +63,34 @@ RULES = [
 CUES = "licen|warrant|redistribut|permission|public domain|notice"
 
 
-def _identifiers(text: Column) -> Column:
+#: What the cut makes of the licences' own headers, and their rules. Fixed values, looked up in whole paragraphs only.
+_FSF = "you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation"
+PIECES = SENTENCES | {
+    **{f"{_FSF.format(kind)} either version {v} of the license or at your option any later version": f"{name}{v[0]}_later_own"
+       for kind, name, versions in (("", "gpl", "23"), ("lesser ", "lgpl", ("3",)), ("affero ", "agpl", ("3",))) for v in versions},
+    _FSF.format(""): "gpl_terms", _FSF.format("lesser "): "lgpl_terms",
+    "either version 2 of the license or at your option any later version": "later2", "either version 2 1 of the license or at your option any later version": "later21",
+    "either version 3 of the license or at your option any later version": "later3",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2",
+}
+HEADER_RULES = RULES + [
+    ("GPL-2.0-or-later", "gpl2_later_own"), ("GPL-3.0-or-later", "gpl3_later_own"), ("LGPL-3.0-or-later", "lgpl3_later_own"), ("AGPL-3.0-or-later", "agpl3_later_own"),
+    ("GPL-2.0-or-later", "gpl_terms later2"), ("GPL-3.0-or-later", "gpl_terms later3"), ("LGPL-2.1-or-later", "lgpl_terms later21"), ("LGPL-3.0-or-later", "lgpl_terms later3"),
+]
+
+
+def _identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     lines = F.split(F.regexp_replace(text, "([.;:!?])[ \\t\\r]+", "$1\n"), "\n")
     near = F.filter(F.transform(lines, F.lower), lambda s: s.rlike(CUES))
     plain = F.transform(near, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
     return F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
 
 
-def _matched(ids: Column) -> Column:
+def _matched(ids: Column, ordered: list[tuple[str, str]] = RULES) -> Column:
     """Licences of a sequence of identifiers, in the order of the rules. Every identifier stands between blanks of its own."""
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.concat(F.lit("  "), F.lit(seq.replace(" ", "  ")), F.lit("  ")).alias("seq")) for name, seq in RULES])
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.concat(F.lit("  "), F.lit(seq.replace(" ", "  ")), F.lit("  ")).alias("seq")) for name, seq in ordered])
     start = F.struct(F.concat(F.lit("  "), F.array_join(ids, "  "), F.lit("  ")).alias("rest"), F.array().cast("array<string>").alias("found"))
 
     def step(state: Column, rule: Column) -> Column:
@@ -93,5 +109,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     nothing = F.array().cast("array<string>")
     rows = docs.select(quoted(id_col).alias("doc_id"), F.when(cue, quoted(text_col)).alias("t"))
     wrapped = F.regexp_replace("t", "[\\r\\n]+[ \\t#*/]*", " ")
-    rows = rows.select("doc_id", F.when(F.col("t").isNotNull(), _identifiers(F.col("t"))).otherwise(nothing).alias("a"), F.when(F.col("t").isNotNull(), _identifiers(wrapped)).otherwise(nothing).alias("b"))
-    return rows.select("doc_id", F.array_distinct(F.concat(_matched(F.col("a")), _matched(F.col("b")))).alias("licences"), F.col("a").alias("sentences"))
+    # Blank lines end a paragraph, and so a sentence.
+    paragraphs = F.regexp_replace(F.regexp_replace("t", "\\r?\\n[ \\t#*/]*\\r?\\n[ \\t#*/\\r\\n]*", ". "), "[\\r\\n]+[ \\t#*/]*", " ")
+    rows = rows.select("doc_id", F.when(F.col("t").isNotNull(), _identifiers(F.col("t"))).otherwise(nothing).alias("a"), F.when(F.col("t").isNotNull(), _identifiers(wrapped)).otherwise(nothing).alias("b"), F.when(F.col("t").isNotNull(), _identifiers(paragraphs, PIECES)).otherwise(nothing).alias("c"))
+    return rows.select("doc_id", F.array_distinct(F.concat(_matched(F.col("a")), _matched(F.col("b")), _matched(F.col("c"), HEADER_RULES))).alias("licences"), F.col("a").alias("sentences"))

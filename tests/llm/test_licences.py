@@ -60,3 +60,30 @@ def test_no_python_in_the_plan(spark):
 def test_other_column_names(spark, name):
     rows = spark.createDataFrame([(1, CASES[0][0])], f"id bigint, `{name}` string")
     assert licences.scan(rows, "id", name).first().licences == ["Apache-2.0"]
+
+
+GNU = """    tool - does things
+    Copyright (C) 2020  A. Person
+
+    This {what} is free software{a} you can redistribute it and/or modify
+    it under the terms of the GNU {kind}General Public License as published by
+    the Free Software Foundation{b} either version {v} of the License, or
+    (at your option) any later version.
+
+    This {what} is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU {kind}General Public License for more details.
+"""
+MPL = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n"
+HEADERS = [
+    (GNU.format(what="program", kind="", a=";", b=";", v="2"), ["GPL-2.0-or-later"]), (GNU.format(what="program", kind="", a=":", b=",", v="3"), ["GPL-3.0-or-later"]),
+    (GNU.format(what="library", kind="Lesser ", a=";", b=";", v="2.1"), ["LGPL-2.1-or-later"]), (GNU.format(what="library", kind="Lesser ", a=":", b=",", v="3"), ["LGPL-3.0-or-later"]),
+    (GNU.format(what="program", kind="Affero ", a=":", b=",", v="3"), ["AGPL-3.0-or-later"]), (MPL, ["MPL-2.0"]),
+]
+
+
+def test_verbatim_headers(spark):
+    texts = [(i, t) for i, (t, _) in enumerate(HEADERS)] + [(i + 10, t.replace("\n", "\r\n# ")) for i, (t, _) in enumerate(HEADERS)]
+    got = licences.scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.licences for r in got} == {i: HEADERS[i % 10][1] for i, _ in texts}
