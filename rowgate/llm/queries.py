@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowgate.llm import chat, langid, licences, materialise, oracles, packing, pii, quality, simhash, tiling, toxicity
-from rowgate.llm.common import Scratch, read
+from rowgate.llm import chat, langid, lexical, licences, linededup, materialise, oracles, packing, periodic, pii, quality, simhash, tiling, toxicity
+from rowgate.llm.common import Scratch, map_batches, quoted, read
 from rowgate.session import run_folder
 
 
@@ -105,6 +106,49 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "ratio", "n")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each benchmark item."""
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that three or more share, told by count and digest."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = linededup.drop_shared_lines(docs, min_chars=20, min_docs=3)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def with_planted_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text): every tenth text by h, the crc32 of its id, goes on periodically from a word on. Null ids have no h."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def planted(batches):
+        for batch in batches:
+            out = []
+            for text, h in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                if text and h is not None and h % 10 == 0 and (words := text.split()):
+                    g, n = h // 10, len(words)
+                    a = g % n
+                    p = 1 + (n - a) // (3 + g % 8)
+                    text = b" ".join([*words[:a], *(words[a + i % p] for i in range(n - a))])
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "text"])
+
+    ids = quoted(id_col)
+    narrow = docs.select(ids.alias("doc_id"), quoted(text_col).cast("binary").alias("t"), F.crc32(ids.cast("string").cast("binary")).alias("h"))
+    return map_batches(narrow, planted, f"doc_id {kind}, text string")
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents with planted ones: number, the strongest, and digests of the runs and of the collapsed text."""
+    found = periodic.find_runs(with_planted_runs(read(spark, sf_dir, "documents")), min_words=24, min_periods=3)
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    exponent = F.call_function("div", 1000 * F.col("best.length"), F.col("best.period")).alias("exponent_milli")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    digests = [F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")]
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), *best, exponent, *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_licences": op2_licences,
@@ -116,6 +160,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_tiling": op9_tiling,
     "op10_toxicity": op10_toxicity,
+    "op11_search": op11_search,
+    "op12_lines": op12_lines,
+    "op13_runs": op13_runs,
 }
 
-ORACLES: dict[str, str] = {"op2_licences": oracles.LICENCES, "op5_quality": oracles.QUALITY}
+ORACLES: dict[str, str] = {
+    "op2_licences": oracles.LICENCES,
+    "op5_quality": oracles.QUALITY,
+    "op11_search": oracles.SEARCH,
+    "op12_lines": oracles.LINES,
+}

@@ -1,0 +1,94 @@
+import math
+import random
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+
+from rowgate.llm import lexical
+from rowgate.llm.queries import ORACLES, op11_search
+
+SF = "/root/testdata/sf0.01"
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+FOLD = {c: c + 32 for c in range(65, 91)}
+
+
+def plain(docs, items, k=50):
+    """(item, rank, id, score) by the definition."""
+    bags = [(d, Counter(TERM.findall((t or "").translate(FOLD)))) for d, t in docs]
+    bags = [(d, b, sum(b.values())) for d, b in bags if b]
+    n_docs, n_all = len(bags), sum(n for _, _, n in bags)
+    df = Counter(t for _, b, _ in bags for t in b)
+    out = []
+    for item, text in {(i, t) for i, t in items if t is not None}:
+        terms, found = set(TERM.findall(text.translate(FOLD))), []
+        for d, bag, n in bags:
+            m = 50 + 50 * n * n_docs // n_all
+            score = 0
+            for t in terms & bag.keys():
+                score += math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (1000000000 * bag[t] // (1000 * bag[t] + 20 * m))
+            if score > 0:
+                found.append((-score, d is None, d if d is not None else 0, d))
+        out += [(item, r, x[3], -x[0]) for r, x in enumerate(sorted(found, key=lambda x: x[:3])[:k], 1)]
+    return sorted(out, key=str)
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_query_agrees_with_brute_force_and_sql(spark):
+    got = rows(op11_search(spark, SF))
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    assert got == plain([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    assert sorted(con.execute(f"SELECT item_id, rank, doc_id, score FROM ({ORACLES['op11_search']})").fetchall(), key=str) == got
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_graph_sums_are_those_of_the_queries(seed):
+    rng = random.Random(seed)
+    n_terms = rng.randint(1, 40)
+    shared = [rng.sample(range(n_terms), rng.randint(1, n_terms)) for _ in range(4)]
+    queries = [sorted({*rng.choice(shared), *rng.sample(range(n_terms), rng.randint(0, 3))}) for _ in range(rng.randint(1, 15))]
+    used = sorted({t for q in queries for t in q})
+    queries = [[used.index(t) for t in q] for q in queries]
+    graph = lexical.mine(queries, len(used))
+    value = np.random.default_rng(seed).integers(1, 1 << 40, len(used))
+    node = [int(value[graph.leaf_of == i].sum()) for i in range(graph.leaves)]
+    for a, b in graph.sums:
+        node.append(node[a] + node[b])
+    assert [sum(node[i] for i in nodes) for nodes in graph.queries] == [int(value[q].sum()) for q in queries]
+    assert all(a < k and b < k for k, (a, b) in enumerate(graph.sums, graph.leaves))
+
+
+def test_shared_sets_are_evaluated_once():
+    graph = lexical.mine([[0, 1, 2, 3, 4], [0, 1, 2, 3, 5], [0, 1, 6], [0, 1, 2, 3]], 7)
+    # {0, 1} and {2, 3} each stand in the same queries; their sum is shared by three
+    assert graph.leaf_of[0] == graph.leaf_of[1] and graph.leaf_of[2] == graph.leaf_of[3]
+    assert len(graph.sums) == 1 and [len(q) for q in graph.queries] == [2, 2, 2, 1]
+
+
+def test_odd_rows(spark):
+    docs = [(1, "apple pear"), (2, None), (3, ""), (4, " .,;"), (5, "Apple APPLE, pear-plum"), (6, "plum"), (6, "plum"), (None, "plum"), (7, "é É ÿ1"),
+            (8, "apple " * 50_000), *((i, "fig quince") for i in range(20, 90))]
+    items = [("a", "apple plum"), ("a", "apple plum"), ("a", "pear"), ("b", None), ("c", ""), ("d", "unknown"), (None, "é"), ("e", "fig plum fig")]
+    d = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id bigint, text string, score int, q string")
+    q = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id string, text string, doc_id int")
+    want = plain(docs, items)
+    assert rows(lexical.search(d, q)) == want and len(want) > 50
+    assert rows(lexical.search(d, q, block_bytes=1)) == want  # a block for each item or so
+    assert rows(lexical.search(d, q, k=2)) == plain(docs, items, 2)
+    assert lexical.search(d.limit(0), q).count() == lexical.search(d, q.limit(0)).count() == 0
+    assert lexical.search(d, q.limit(0)).columns == lexical.search(d, q).columns
+
+
+def test_ties_of_a_large_group_go_by_id(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "HELD", 10)
+    docs = spark.range(5000).selectExpr("4999 - id AS doc_id", "IF(id % 3 = 0, 'same text here', concat('other ', id)) AS text").repartition(7)
+    items = spark.createDataFrame([(1, "same"), (2, "text here other")], "item_id int, text string")
+    assert rows(lexical.search(docs, items, k=5)) == plain([tuple(r) for r in docs.collect()], [(1, "same"), (2, "text here other")], 5)
