@@ -101,7 +101,7 @@ def format_turns(
     attachment = pa.list_(pa.struct([("kind", pa.string()), ("reference", pa.string()), ("place", pa.int64()), ("tokens", pa.int64())]))
 
     def formatted(batches):
-        encoder = kept_encoder(model) if model else None
+        encoder = kept_encoder(model, literal=True) if model else None
         for batch in batches:
             pieces, starts, ends, attached, texts = [], [], [], [], []
             for role, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):

@@ -9,6 +9,8 @@ import gc
 import json
 import os
 import re
+import sys
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,20 @@ def _byte_signs() -> dict[int, int]:
 class WordEncoder:
     """Ids of a BPE with word ends that drops white space; without such a file, use the tokenizers library itself."""
 
-    def __init__(self, model: str) -> None:
-        """model: the content of the file, so that executors need no copy of it."""
+    def __init__(self, model: str, literal: bool = False) -> None:
+        """model: the content of the file, so that executors need no copy of it. The strings of special tokens in a text are read as
+        these tokens, as the library does by default; literal: as the characters they are."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        if not json.loads(model)["model"].get("end_of_word_suffix"):
+        content = json.loads(model)
+        if not content["model"].get("end_of_word_suffix"):
             raise ValueError("the file is no BPE with word ends")
+        added = [] if literal else content["added_tokens"]
+        if any(not t["special"] or t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+            raise ValueError("the file has added tokens that are not plain special ones")
+        self.special = {t["content"]: np.array([t["id"]], np.uint32) for t in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.whole = Tokenizer.from_str(model)
         self.whole.encode_special_tokens = True
         self.model, self.signs = self.whole.model, _byte_signs()
@@ -71,8 +80,19 @@ class WordEncoder:
         """Ids of each text, as unsigned 32-bit numbers; null is empty."""
         if len(self.index) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
             self._clear()
-        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        words = pc.split_pattern(pc.ascii_lower(column.fill_null("")), " ")
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        if self.special and pc.any(pc.match_substring_regex(column, self.cut.pattern)).as_py():
+            return self._around_special(column.to_pylist())
+        return self._encode_plain(column)
+
+    def _around_special(self, texts: list[str]) -> list[np.ndarray]:
+        """Special tokens split a text before anything else; the parts between them are texts of their own."""
+        parts = [self.cut.split(t) for t in texts]
+        between = iter(self._encode_plain(pa.array([x for p in parts for x in p[::2]], pa.string())))
+        return [np.concatenate([next(between) if i % 2 == 0 else self.special[x] for i, x in enumerate(p)]) for p in parts]
+
+    def _encode_plain(self, column: pa.Array) -> list[np.ndarray]:
+        words = pc.split_pattern(pc.ascii_lower(column), " ")
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         collecting = gc.isenabled()
@@ -92,14 +112,16 @@ class WordEncoder:
         return out
 
 
-def kept_encoder(model: str) -> WordEncoder:
-    """The encoder of this Python worker. It stays for the worker's next tasks, so that they need not learn the same words."""
-    import tokenizers
+#: Name of the module that holds encoders in a Python worker; functions of this package travel by value and keep nothing there.
+_KEPT = "rowgate_kept_encoders"
+
 
-    kept = vars(tokenizers).setdefault("_kept_encoders", {})
-    if model not in kept:
-        kept[model] = WordEncoder(model)
-    return kept[model]
+def kept_encoder(model: str, literal: bool = False) -> WordEncoder:
+    """The encoder of this Python worker. It stays for the worker's next tasks, so that they need not learn the same words."""
+    kept = vars(sys.modules.setdefault(_KEPT, ModuleType(_KEPT))).setdefault("encoders", {})
+    if (model, literal) not in kept:
+        kept[model, literal] = WordEncoder(model, literal)
+    return kept[model, literal]
 
 
 def model_text(path: str) -> str:

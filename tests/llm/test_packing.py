@@ -17,8 +17,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(PATH)  # as the contract calls it
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -28,6 +27,7 @@ def encoder():
 
 
 ODD = ["", " ", "  a  b ", "It's THE end\n\n of\tx2y22 ###!! don't", "Éàß ǅ İI ſ ΑΣ Σ", "á e ́b", "\x00\x1c a\x85b c", "<|endoftext|> <|startoftext|>",
+       "A<|endoftext|>b<|ENDOFTEXT|> <|StartOfText|>'s", "<|endoftext|><|endoftext|>  e<|startoftext|>́", "<|endoftext| >", "<|endoftext|>" * 300,
        "日本語 テスト １２３ ²½ Ⅷ", "🙂🙂 a🙂b", "x" * 5000, "'s 'S 'll'd", "a b　c", "\r\n\v\f", "3.14 1,000 a_b __"]
 
 
@@ -37,15 +37,21 @@ def test_ids_are_those_of_the_library(encoder, library, spark):
         assert ids.tolist() == library(text)
 
 
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof"]
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" '\n\tsSlLaA1.É"))))
+@given(st.lists(st.one_of(st.characters(codec="utf-8"), st.sampled_from([*" '\n\tsSlLaA1.É", *SPECIAL]))).map("".join))
 def test_ids_of_any_text(text):
     if not hasattr(test_ids_of_any_text, "both"):
-        t = Tokenizer.from_file(PATH)
-        t.encode_special_tokens = True
-        test_ids_of_any_text.both = tokens.WordEncoder(tokens.model_text(PATH)), t
-    ours, t = test_ids_of_any_text.both
-    assert ours.encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+        pairs = []
+        for literal in (False, True):
+            t = Tokenizer.from_file(PATH)
+            t.encode_special_tokens = literal
+            pairs.append((tokens.WordEncoder(tokens.model_text(PATH), literal), t))
+        test_ids_of_any_text.both = pairs
+    for ours, t in test_ids_of_any_text.both:
+        assert ours.encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def check(rows, texts, library, most):
@@ -98,3 +104,20 @@ def test_repeated_rows_and_empty_table(spark):
     rows = packing.piece_digests(packing.pack(docs, PATH)).collect()
     assert sum(r.length for r in rows) == 2 * rows[0].doc_tokens
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize(("most", "loss"), [(256, 24), (64, 64), (128, 1)])
+def test_instruction_data_under_a_loss_limit(spark, library, most, loss):
+    """Only the loss limit binds where answers are long for it; each piece bears the loss of its document's last ids that it holds."""
+    rows = [(i, "prompt word " * (i % 20) + "answer " * (i % 7), i % 7 + 1) for i in range(300)] + [(300, "all prompt " * 90, 0), (301, "answer " * 500, 9999), (302, "a b", -4), (303, "a b c", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, answer int").repartition(2)
+    found = packing.piece_digests(packing.pack(docs, PATH, max_tokens=most, max_loss_tokens=loss, loss_col="answer")).collect()
+    check(found, {d: t for d, t, _ in rows}, library, most)
+    of, given = {r.doc_id: r.doc_tokens for r in found}, {d: n for d, _, n in rows}
+    free = {d: 1 if given[d] is None else of[d] - min(max(given[d], 0), of[d]) for d in of}
+    total = defaultdict(int)
+    for r in found:
+        total[r.sequence_id] += max(0, r.start + r.length - max(r.start, free[r.doc_id]))
+    assert max(total.values()) <= loss and sum(total.values()) == sum(of[d] - free[d] for d in of)
+    if loss == 24:
+        assert len(total) > 2 * sum(of.values()) / most  # sequences end long before the token limit
