@@ -6,7 +6,7 @@ from rowgate.llm import tiling
 from rowgate.llm.queries import op5_quality
 from tests.llm.test_packing import check
 from tests.llm.test_pii import plain_spans
-from tests.llm.test_simhash import plain_classes, plain_fingerprint
+from tests.llm.test_shingles import plain_classes
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,7 +29,7 @@ def test_stages_against_brute_force(spark):
         assert df.columns == docs.columns
     assert {r.doc_id for r in good.collect()} == {r.doc_id for r in op5_quality(spark, SF).where("kept").collect()}
     texts = {r.doc_id: r.text for r in good.collect()}
-    classes = plain_classes({d: plain_fingerprint(t) for d, t in texts.items()})
+    classes = plain_classes(texts)
     assert sorted(r.doc_id for r in unique.collect()) == sorted(set(classes.values()))
     index = tiling.Tests([tuple(r) for r in corpus_pipeline.read(spark, SF, "benchmark").collect()], 5)
     assert sorted(r.doc_id for r in clean.collect()) == sorted(d for d in set(classes.values()) if not list(index.leaked(texts[d], 0.8)))
@@ -39,7 +39,6 @@ def test_stages_against_brute_force(spark):
         assert not plain_spans(text)
         assert (text == texts[d]) or "[" in text
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     check(packed.collect(), final, lambda x: t.encode(x, add_special_tokens=False).ids, 4096)
 
 
