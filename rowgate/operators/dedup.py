@@ -19,7 +19,7 @@ from rowgate.functions.dates import parse_date
 from rowgate.functions.schema import ADDRESS, DEFAULT_KEY_INDEX, MAX_KEY_INDEX
 from rowgate.functions.text import dedup_key
 from rowgate.operators.positions import number_rows
-from rowgate.operators.rows import numeric_date
+from rowgate.operators.rows import numeric_date, select_sheets
 
 SHEET = "sheet"
 GLOBAL = "global"
@@ -64,26 +64,26 @@ def kept_rows(
 ) -> DataFrame:
     """Rows that stay, with all their columns: keepers, ineligible rows and unselected sheets.
 
-    Rows that do not take part are passed by without a shuffle; sheets that are not selected leave the scan by a pushed
-    filter. The others are ranked, cut to one row per key before the shuffle. The hash comes first because rows are sorted by
-    the partition columns: names share long beginnings, hashes do not."""
-    keyed = with_key(rows, key_index, sheets)
-    untouched = keyed.where(~F.col("eligible"))
-    scope = _scope(mode)
-    earliest = W.partitionBy(F.xxhash64(*scope), *scope).orderBy("dedup_date", *POSITION)
-    best = keyed.where("eligible").withColumn("_rank", F.row_number().over(earliest)).where("_rank = 1")
-    return untouched.select(*rows.columns).unionByName(best.select(*rows.columns))
+    Sheets that are not selected leave the scan by a pushed filter and are passed by without a shuffle. The others are read once, their key and date
+    are worked out once, and they are ranked; the ranking is cut to one row per key before the shuffle. A row that does not take part is a
+    group of its own, told by its address. The hash comes first because rows are sorted by the partition columns: names share long beginnings,
+    hashes do not."""
+    keyed = with_key(select_sheets(rows, sheets), key_index)
+    scope, address, taking = _scope(mode), ["sheet_name", "row_num"], F.col("eligible")
+    of = F.when(taking, F.xxhash64(*scope)).otherwise(F.xxhash64(*address))
+    group = [of, *[F.when(taking, F.col(c)) for c in scope], *[F.when(~taking, F.col(c)) for c in address]]
+    earliest = W.partitionBy(*group).orderBy("dedup_date", *POSITION)
+    best = keyed.withColumn("_rank", F.row_number().over(earliest)).where("_rank = 1").select(*rows.columns)
+    return best if sheets is None else rows.where(~F.col("sheet_name").isin(list(sheets))).unionByName(best)
 
 
 def keyed_rows(
     rows: DataFrame, key_index: int = DEFAULT_KEY_INDEX, sheets: list[str] | None = None
 ) -> DataFrame:
-    """Every row, narrow: its address, whether it takes part, and if so its key, date and both cells as they are written. The
+    """Every row, narrow: its address, whether it takes part, its key, date and both cells as they are written. The
     listing, the keepers and the statistics can all be made from it."""
-    taking = [F.col("dedup_key"), F.col("dedup_date"), _key_cell(rows, key_index).alias("raw_key"), F.col("c0").alias("raw_time")]
-    names = ["dedup_key", "dedup_date", "raw_key", "raw_time"]
     keyed = with_key(rows, key_index, sheets)
-    return keyed.select(*ADDRESS, "eligible", *[F.when(F.col("eligible"), c).alias(n) for c, n in zip(taking, names)])
+    return keyed.select(*ADDRESS, "eligible", "dedup_key", "dedup_date", _key_cell(rows, key_index).alias("raw_key"), F.col("c0").alias("raw_time"))
 
 
 def _dated_keys(keyed: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
@@ -220,3 +220,16 @@ def renumber(kept: DataFrame, **bucket) -> DataFrame:
     return number_rows(kept, ["sheet_name"], "row_num", "_ordinal", **bucket).withColumn(
         "new_row_num", F.col("_ordinal") + 1
     ).drop("_ordinal")
+
+
+def numbering(keyed: DataFrame, gone: DataFrame, **bucket) -> DataFrame:
+    """New row numbers of the rows that stay: sheet_name, old_row_num, row_num. Made from addresses only, so no cell is moved for it."""
+    left = remove_rows(keyed.select("sheet_name", "row_num"), gone)
+    return renumber(left, **bucket).select("sheet_name", F.col("row_num").alias("old_row_num"), F.col("new_row_num").alias("row_num"))
+
+
+def copy_rows(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The rows that stay, with old_row_num and their new row_num. One join on the address, which is unique, takes the other rows out and gives
+    the numbers, so the cells are shuffled once."""
+    cells = rows.withColumnRenamed("row_num", "old_row_num")
+    return cells.join(numbers, ["sheet_name", "old_row_num"]).select(*cells.columns, "row_num")

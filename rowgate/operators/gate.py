@@ -58,14 +58,18 @@ def load_gate(
     )
 
 
-def settled(gate: DataFrame, reconciled: DataFrame, write_error: str | None = None) -> DataFrame:
-    """The gate after the write: a table that should have been replaced, but holds another number of rows than were scanned or whose
-    write failed, has failed."""
+def settled(gate: DataFrame, reconciled: DataFrame, write_errors: DataFrame | None = None) -> DataFrame:
+    """The gate after the write: a table that should have been replaced, but whose write failed (table_name, error) or that holds another
+    number of rows than were scanned, has failed."""
     diff = reconciled.select("table_name", "diff")
     off = F.concat(F.lit("stored rows differ from scanned rows by "), F.col("diff").cast("string"))
-    found = F.when(F.lit(write_error is not None), F.lit(write_error)).when(F.col("diff") != 0, off)
-    error = F.when(F.col("status") == "success", found)
-    return gate.join(diff, "table_name", "left").select(
+    joined = gate.join(diff, "table_name", "left")
+    broken = F.lit(None).cast("string")
+    if write_errors is not None:
+        joined = joined.join(write_errors.select("table_name", F.col("error").alias("_write_error")), "table_name", "left")
+        broken = F.col("_write_error")
+    error = F.when(F.col("status") == "success", F.coalesce(broken, F.when(F.col("diff") != 0, off)))
+    return joined.select(
         *[c for c in gate.columns if c not in ("table_error", "status")],
         F.coalesce("table_error", error).alias("table_error"),
         F.when(error.isNotNull(), "failed").otherwise(F.col("status")).alias("status"),
@@ -136,25 +140,15 @@ def table_row_counts(target: DataFrame) -> DataFrame:
     return target.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_stored"))
 
 
-def reconcile(gate: DataFrame, target: DataFrame) -> DataFrame:
-    """Rows scanned against rows stored, per loaded table; `diff` is 0 when they agree."""
+def reconcile(gate: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows scanned against rows stored (table_name, n_stored), per loaded table; `diff` is 0 when they agree."""
     loaded = gate.where("status = 'success'").select("table_name", "n_rows")
-    zero = F.lit(0).cast("bigint")
-    stored = F.coalesce("n_stored", zero)
-    # Only the partitions of loaded tables are counted; their names are as many as the request has.
-    names = [r.table_name for r in loaded.select("table_name").distinct().collect()]
-    counts = table_row_counts(target.where(F.col("table_name").isin(names)))
+    stored = F.coalesce("n_stored", F.lit(0).cast("bigint"))
     return loaded.join(counts, "table_name", "left").select(
         "table_name", "n_rows", stored.alias("n_stored"), (stored - F.col("n_rows")).alias("diff")
     )
 
 
-def unknown(gate: DataFrame) -> DataFrame:
-    """The shape of reconcile after a write that failed: nothing is known about what is stored."""
-    nothing = F.lit(None).cast("bigint")
-    return gate.where("status = 'success'").select("table_name", "n_rows", nothing.alias("n_stored"), nothing.alias("diff"))
-
-
 def counts_agree(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two independent row counts per sheet (sheet_name, n), side by side. When they disagree, rows were
     lost or doubled, and the result must not be used."""

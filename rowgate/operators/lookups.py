@@ -37,14 +37,34 @@ def table_conflicts(selected: DataFrame, sheet_map: DataFrame) -> DataFrame:
     return wanted.join(shared, "table_name").select("table_name", "n_sheets", "sheet_name", "sheet_order")
 
 
-def ledger_state(ledger: DataFrame) -> DataFrame:
-    """Current state per table: status of the last attempt, time of the last success."""
-    return ledger.groupBy("table_name").agg(
-        F.max_by("status", F.struct("finished_at", "run_id")).alias("last_status"),
-        F.max(F.when(F.col("status") == "success", F.col("finished_at"))).alias("last_success_at"),
+#: The latest entry of each table and its last success. States of parts of a history, put together, give the state of the whole.
+STATE = "table_name string, last_finished_at string, last_run_id string, last_status string, last_success_at string"
+
+
+def entries_as_state(entries: DataFrame) -> DataFrame:
+    """Ledger entries in the shape of STATE."""
+    success = F.when(F.col("status") == "success", F.col("finished_at"))
+    return entries.select(
+        "table_name", F.col("finished_at").alias("last_finished_at"), F.col("run_id").alias("last_run_id"),
+        F.col("status").alias("last_status"), success.alias("last_success_at"),
     )
 
 
+def latest_state(states: DataFrame) -> DataFrame:
+    """One state per table from any number of them."""
+    last = F.struct("last_finished_at", "last_run_id", "last_status")
+    merged = states.groupBy("table_name").agg(F.max(last).alias("last"), F.max("last_success_at").alias("last_success_at"))
+    return merged.select("table_name", "last.*", "last_success_at")
+
+
+def ledger_state(ledger: DataFrame) -> DataFrame:
+    """Current state per table from all entries: status of the last attempt, time of the last success. A state that was folded before is taken
+    as it is."""
+    if "last_status" in ledger.columns:
+        return ledger
+    return latest_state(entries_as_state(ledger)).select("table_name", "last_status", "last_success_at")
+
+
 def sheet_states(inventory: DataFrame, sheet_map: DataFrame, ledger: DataFrame) -> DataFrame:
     """Input sheets with their last load time ('' if none) and failed flag."""
     state = sheet_tables(sheet_map).join(ledger_state(ledger), "table_name")

@@ -1,12 +1,13 @@
 """Jobs that put the operators together and write their results.
 
 A failed job can be run again with the same input and run id: the load replaces whole tables, its reports replace those of the
-same run, and the ledger is append-only. Intermediate tables are removed when a job ends.
+same run, and so does its history in the ledger. Intermediate tables are removed when a job ends.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -19,7 +20,11 @@ from rowgate.functions.schema import DEFAULT_CONSTRAINTS, DEFAULT_KEY_INDEX, DEF
 from rowgate.operators import checks, dedup, gate, lookups, reports
 from rowgate.operators.rows import nonblank_rows, select_sheets, sheet_inventory, to_records
 from rowgate.session import remove_folder, run_folder
-from rowgate.sources import sinks
+from rowgate.sources import ledger as ledgers
+from rowgate.sources import sinks, tables
+
+#: Write jobs of one load that run side by side.
+WRITERS = 4
 
 
 class RefusedRequest(ValueError):
@@ -87,7 +92,8 @@ def run_load(
     The input is read twice, and only the wanted sheets of it: once to check it (the narrow result is kept for the gate
     and the reports) and once to write the tables that pass. `inventory` names the sheets of the input, also those without a
     row; without it, sheets with rows count. `writer_errors` (address, message, team, company_name) are rows that a writer
-    refused; they fail their table. A table whose write fails, or that then holds another number of rows than were scanned, is recorded as failed."""
+    refused; they fail their table. A table whose write fails, or that then holds another number of rows than were scanned, is recorded as failed;
+    the others are loaded. Readers of the target see a table as it was or as it is then, never in between."""
     spark = rows.sparkSession
     if wanted.isEmpty():
         raise RefusedRequest("no sheet is selected")
@@ -105,28 +111,57 @@ def run_load(
         if writer_errors is not None:
             found = found.unionByName(checks.writer_errors(writer_errors.join(wanted.select("sheet_name"), "sheet_name", "left_semi")))
         errors = sinks.write_and_read(found, f"{scratch}/errors")
-        decided = gate.load_gate(wanted, checked.select("sheet_name", F.lit(None).cast("string").alias("kind")), present, table_errors, errors)
-        decided = sinks.write_and_read(decided, f"{scratch}/decided")
-
+        # From here on there is one row per table, as many as the request names.
+        decided = _local(gate.load_gate(wanted, checked.select("sheet_name", F.lit(None).cast("string").alias("kind")), present, table_errors, errors))
         broken = _write_tables(records, decided, target, mapping)
-        stored = gate.unknown(decided) if broken else gate.reconcile(decided, sinks.read_tables(spark, target, mapping))
-        reconciled = sinks.write_and_read(stored, f"{scratch}/reconciled")
-        final = sinks.write_and_read(gate.settled(decided, reconciled, broken), f"{scratch}/final")
-        sinks.append_ledger(gate.ledger_rows(final, run_id, finished_at, started_at, source), ledger)
+        loaded = decided.join(broken, "table_name", "left_anti")
+        names = [r.table_name for r in loaded.where("status = 'success'").collect()]
+        reconciled = _local(gate.reconcile(loaded, tables.count_from_footers(spark, target, names)))
+        final = _local(gate.settled(decided, reconciled, broken))
+        ledgers.append(gate.ledger_rows(final, run_id, finished_at, started_at, source), ledger)
         if report_folder is not None:
             _write_reports(final, errors, wanted, f"{report_folder}/run_id={run_id}")
-        # One row per table, so that the result does not need the scratch folder.
-        return LoadResult(*[spark.createDataFrame(df.collect(), df.schema) for df in (final, reconciled, gate.load_outcome(final))])
-
-
-def _write_tables(records: DataFrame, decided: DataFrame, target: str, mapping: list[FieldMapping]) -> str | None:
-    """Replaces the tables that pass. Returns the error text if the write fails; what then is stored is told by the recount."""
-    try:
-        sinks.overwrite_tables(gate.loadable_rows(records, decided), target, mapping)
-        sinks.empty_tables(decided.where("status = 'success' AND n_rows = 0").select("table_name"), target, mapping)
-    except (PySparkException, Py4JJavaError) as e:
-        return (str(e).strip() or type(e).__name__).split("\n")[0]
-    return None
+        return LoadResult(final, reconciled, _local(gate.load_outcome(final)))
+
+
+def _local(df: DataFrame) -> DataFrame:
+    """A result with a row per table of the request, worked out and held by the driver."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def _write_tables(records: DataFrame, decided: DataFrame, target: str, mapping: list[FieldMapping]) -> DataFrame:
+    """Replaces the tables that pass and returns (table_name, error) of those whose write failed.
+
+    All tables are written by one job, which reads the input once. If it fails, each half of the tables gets a job of its own, and so on
+    until the tables that cannot be written stand alone: at most two jobs more for each halving of each of them. Every job commits its tables.
+    What an earlier load replaced is removed first, so readers that began before this load keep their rows."""
+    spark, passed = records.sparkSession, decided.where("status = 'success'").select("sheet_name", "table_name", "n_rows").collect()
+    tables.remove_old(spark, target)
+    groups, failed = [[r.table_name for r in passed if r.n_rows]], []
+    sheets = {r.table_name: r.sheet_name for r in passed}
+
+    def put(group: list[str]) -> str | None:
+        try:
+            # The names reach the scan, so a job of its own reads only its sheets.
+            rows = gate.loadable_rows(select_sheets(records, [sheets[t] for t in group]), decided.where(F.col("table_name").isin(group)))
+            version = tables.write_version(rows, target, mapping)
+            tables.commit(spark, target, dict.fromkeys(group, version))
+        except (PySparkException, Py4JJavaError) as e:
+            return (str(e).strip() or type(e).__name__).split("\n")[0]
+        return None
+
+    emptied = [r.table_name for r in passed if not r.n_rows]
+    if emptied:
+        try:
+            tables.commit(spark, target, dict.fromkeys(emptied))
+        except (PySparkException, Py4JJavaError) as e:
+            failed += [(t, str(e).split("\n")[0]) for t in emptied]
+    with ThreadPoolExecutor(WRITERS) as pool:
+        while groups := [g for g in groups if g]:
+            outcomes = list(zip(groups, pool.map(put, groups), strict=True))
+            failed += [(g[0], error) for g, error in outcomes if error and len(g) == 1]
+            groups = [part for g, error in outcomes if error and len(g) > 1 for part in (g[: len(g) // 2], g[len(g) // 2 :])]
+    return spark.createDataFrame(failed, "table_name string, error string")
 
 
 def _write_reports(final: DataFrame, errors: DataFrame, wanted: DataFrame, folder: str) -> None:
@@ -164,21 +199,21 @@ def run_dedup(
     new, and returns the statistics. They are written last, and only if the copy and the list, read
     back, make up the input again: a folder without them must not be used.
 
-    The input is read twice: once narrow, for the list, and once for the copy, from which the listed rows are taken out."""
+    The input is read twice: once narrow, for the list and the new row numbers, and once for the copy, where one join takes the listed rows
+    out and gives the others their numbers."""
     spark = rows.sparkSession
     with _scratch(spark) as scratch:
         keyed = sinks.write_and_read(dedup.keyed_rows(rows, key_index, sheets), f"{scratch}/keyed")
         listing = sinks.write_and_read(dedup.listing_of(keyed, mode), f"{folder}/listing")
-        sinks.write_duplicate_list(listing, f"{folder}/duplicates")
+        sinks.write_duplicate_list(listing, f"{folder}/duplicates.csv")
         gone = listing.where("action = 'delete'")
-        kept = sinks.write_and_read(dedup.remove_rows(rows, gone), f"{scratch}/kept")
-        copy = dedup.renumber(kept).withColumnsRenamed({"row_num": "old_row_num", "new_row_num": "row_num"})
-        copy = sinks.write_and_read(copy, f"{folder}/rows")
+        numbers = sinks.write_and_read(dedup.numbering(keyed, gone), f"{scratch}/numbers")
+        copy = sinks.write_and_read(dedup.copy_rows(rows, numbers), f"{folder}/rows")
         unsure = gate.counts_agree(gate.rows_per_sheet(keyed), gate.kept_and_deleted(copy, gone)).where("NOT agrees").withColumn("n", F.lit(1))
         _refuse_if_any(unsure, "row counts disagree", "sheet_name", "n_first")
         stats = sinks.write_and_read(dedup.stats_of(copy, gone, sheets, inventory), f"{folder}/stats")
         if ledger is not None:
-            sinks.append_ledger(gate.dedup_history(stats, run_id, mode, finished_at, started_at, source), ledger)
+            ledgers.append(gate.dedup_history(stats, run_id, mode, finished_at, started_at, source), ledger)
         return stats
 
 

@@ -1,14 +1,15 @@
-"""Writers: the per-table load, the duplicate list, reports and the ledger."""
+"""Writers: the duplicate list and results that are never replaced. Tables are written by tables.py, the ledger by ledger.py."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowgate.functions.schema import DATE_FIELD, DEFAULT_MAPPING, FieldMapping
 from rowgate.operators.dedup import LIST_ORDER
-
-TABLE_COLUMN = "table_name"
+from rowgate.session import remove_folder
+from rowgate.sources.files import Folder
 
 # Column names and action names of the duplicate list. The byte order mark makes
 # spreadsheet programs read the file as UTF-8.
@@ -17,58 +18,35 @@ LIST_COLUMNS = ["处理", "Sheet名称", "Excel行号", "判重列原始值", "
 LIST_ACTIONS = {"keep": "保留", "delete": "删除"}
 
 
-def read_tables(spark: SparkSession, target: str, mapping: list[FieldMapping] = DEFAULT_MAPPING) -> DataFrame:
-    """All loaded tables; a filter on table_name prunes to its partition. The schema is stated, so that
-    table names that look like numbers stay text and a target without any rows can be read."""
-    fields = [f"`{m.field}` {'date' if m.field == DATE_FIELD else 'string'}" for m in sorted(mapping, key=lambda m: m.col_order)]
-    return spark.read.schema(f"row_num bigint, {', '.join(fields)}, {TABLE_COLUMN} string").parquet(target)
-
-
-def overwrite_tables(rows: DataFrame, target: str, mapping: list[FieldMapping] = DEFAULT_MAPPING) -> None:
-    """Replaces the partition of every table that occurs in `rows`; all other tables stay.
-
-    The rebalance hint spreads a large table over many tasks and packs small ones into few files."""
-    columns = [m.field for m in sorted(mapping, key=lambda m: m.col_order)]
-    (
-        rows.select(TABLE_COLUMN, "row_num", *columns)
-        .hint("rebalance", TABLE_COLUMN)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(TABLE_COLUMN)
-        .parquet(target)
-    )
-
-
-def empty_tables(tables: DataFrame, target: str, mapping: list[FieldMapping] = DEFAULT_MAPPING) -> None:
-    """Removes the rows of the named tables: a dynamic overwrite does not touch a table that has no rows. The folders are taken from
-    Spark's own listing of their partitions, so however a name is written there, it is found. One query for all tables."""
-    spark = tables.sparkSession
-    names = [r.table_name for r in tables.collect()]
-    if not names:
-        return
-    stored = read_tables(spark, target, mapping).where(F.col(TABLE_COLUMN).isin(names))
-    folder = F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1)
-    for row in stored.select(folder.alias("folder")).distinct().collect():
-        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(row.folder))
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def write_duplicate_list(listing: DataFrame, path: str) -> str:
+    """One CSV file in listing order, with one byte order mark and one header; refuses to replace an existing one. Returns what to read.
 
-
-def write_duplicate_list(listing: DataFrame, path: str) -> None:
-    """CSV with header, in listing order; refuses to replace an existing folder."""
+    The list is sorted by range into parts without a header, so no task holds it; the file system then joins them behind the header. Where it cannot,
+    the result is a folder whose files, read by name, are the same text."""
+    spark = listing.sparkSession
+    name, parts = path.rsplit("/", 1)[-1], Folder(spark, f"{path}-parts-{uuid.uuid4().hex}")
+    if parts.fs.exists(Folder(spark, path).path()):
+        raise FileExistsError(f"{path} exists already")
     action = F.when(F.col("action") == "keep", LIST_ACTIONS["keep"]).otherwise(LIST_ACTIONS["delete"])
     columns = [action, F.col("sheet_name"), F.col("row_num"), F.col("raw_key"), F.col("raw_time")]
-    names = [BYTE_ORDER_MARK + LIST_COLUMNS[0], *LIST_COLUMNS[1:]]
     (
         listing.orderBy(*LIST_ORDER)
-        .select(*[c.alias(n) for c, n in zip(columns, names)])
-        .write.mode("errorifexists")
-        .option("header", True)
-        .option("escape", '"')
+        .select(*[c.alias(n) for c, n in zip(columns, LIST_COLUMNS, strict=True)])
+        .write.option("escape", '"')
         .option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
+        .csv(parts.folder)
     )
+    head = f"part--{name}"  # before all others by name
+    parts.write(head, (BYTE_ORDER_MARK + ",".join(LIST_COLUMNS) + "\n").encode())
+    joined = parts.join(head, [n for n in parts.sizes() if n.startswith("part-") and n != head])
+    whole = parts.path(head) if joined else parts.path()
+    if not parts.fs.rename(whole, Folder(spark, path).path()):
+        raise OSError(f"{path} could not be written")
+    if joined:
+        remove_folder(spark, parts.folder)
+    return path
 
 
 def write_new(df: DataFrame, path: str, file_format: str = "parquet") -> None:
@@ -81,7 +59,3 @@ def write_and_read(df: DataFrame, path: str) -> DataFrame:
     """Writes a result that several later results are made from, and returns the written rows."""
     write_new(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def append_ledger(rows: DataFrame, path: str) -> None:
-    rows.coalesce(1).write.mode("append").parquet(path)

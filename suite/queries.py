@@ -7,6 +7,7 @@ bigint.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from rowgate.operators import checks, dedup, gate, lookups, reports, rows
 from rowgate.operators.positions import row_ranges
 from rowgate.plans import jobs
 from rowgate.session import run_folder, staged
-from rowgate.sources import readers, sinks
+from rowgate.sources import ledger, readers, sinks, tables
 from suite import fixture as fx
 from suite.fixture import FIELDS, RAW, RECORDS, VERDICT, raw_rows, sql_blank, sql_strip, table
 
@@ -361,7 +362,7 @@ def load_selected(spark, sf_dir):
     folder = run_folder(spark, "load")
     chosen = _sheet_map(spark, sf_dir).where("sheet_name IN ('3-MEDIUM', '5-LOW', '2-HIGH')").withColumn("table_name", F.concat(F.lit("t"), "sheet_order"))
     jobs.run_load(raw_rows(spark, sf_dir), chosen, f"{folder}/target", f"{folder}/ledger", "run-1", "now", report_folder=f"{folder}/reports")
-    stored = sinks.read_tables(spark, f"{folder}/target").join(chosen, "table_name")
+    stored = tables.read_tables(spark, f"{folder}/target").join(chosen, "table_name")
     return stored.select(*ADDRESS, "table_name", _day("collected_at").alias("collected_at"), *FIELDS)
 
 
@@ -379,7 +380,7 @@ def load_empties_tables(spark, sf_dir):
     raw = raw_rows(spark, sf_dir)
     for run, given in (("run-1", raw), ("run-2", raw.where("sheet_name <> '5-LOW'"))):
         jobs.run_load(given, chosen, f"{folder}/target", f"{folder}/ledger", run, run, inventory=_sheets(spark, sf_dir))
-    stored = gate.table_row_counts(sinks.read_tables(spark, f"{folder}/target"))
+    stored = gate.table_row_counts(tables.read_tables(spark, f"{folder}/target"))
     return chosen.join(stored, "table_name", "left").withColumn("n_stored", F.coalesce("n_stored", F.lit(0).cast("bigint")))
 
 
@@ -400,12 +401,74 @@ def load_twice(spark, sf_dir):
     second = raw.where("sheet_name <> '5-LOW'")
     for run, given in (("run-1", first), ("run-2", second)):
         jobs.run_load(given, sheets, f"{folder}/target", f"{folder}/ledger", run, run, inventory=_sheets(spark, sf_dir))
-    stored = gate.table_row_counts(sinks.read_tables(spark, f"{folder}/target"))
+    stored = gate.table_row_counts(tables.read_tables(spark, f"{folder}/target"))
     return sheets.select("table_name").join(stored, "table_name", "left").select(
         "table_name", F.coalesce("n_stored", F.lit(0).cast("bigint")).alias("n_stored")
     )
 
 
+_MOMENT_SQL = "SELECT '{}' AS moment, table_name, count(*) AS n, CAST(sum(row_num) AS BIGINT) AS row_sum FROM good WHERE {} GROUP BY ALL"
+
+
+@query(
+    f"""WITH {VERDICT}, good AS (SELECT *, 't_00' || sheet_order AS table_name FROM verdict WHERE kind IS NULL AND sheet_name IN ('3-MEDIUM', '5-LOW'))
+    """
+    + " UNION ALL ".join(
+        _MOMENT_SQL.format(moment, which)
+        for moment, which in (("loaded", "d < '1998-01-01'"), ("written", "d < '1998-01-01'"), ("kept by a reader", "d < '1998-01-01'"), ("committed", "true"), ("broken off", "true"))
+    )
+)
+def load_isolated(spark, sf_dir):
+    """What a reader sees of two tables: after a load, between the write and the commit of the next one (at both times, and of a table that was
+    opened before the commit, the old rows), after the commit, and after a run that was broken off before it."""
+    folder, seen = run_folder(spark, "load"), []
+    target, chosen = f"{folder}/target", _sheet_map(spark, sf_dir).where("sheet_name IN ('3-MEDIUM', '5-LOW')")
+    raw = raw_rows(spark, sf_dir, keep=("d",))
+
+    def look(moment: str, stored: DataFrame) -> None:
+        counts = stored.groupBy("table_name").agg(F.count(F.lit(1)).alias("n"), F.sum("row_num").alias("row_sum"))
+        seen.append(staged(counts.select(F.lit(moment).alias("moment"), "table_name", "n", "row_sum"), "seen"))
+
+    jobs.run_load(raw.where("d < '1998-01-01'"), chosen, target, f"{folder}/ledger", "run-1", "now")
+    look("loaded", tables.read_tables(spark, target))
+    opened = tables.read_tables(spark, target)
+    passed = gate.load_gate(chosen, _verdicts(spark, sf_dir))
+    version = tables.write_version(gate.loadable_rows(_records(spark, sf_dir), passed), target)
+    look("written", tables.read_tables(spark, target))
+    tables.commit(spark, target, {r.table_name: version for r in passed.collect()})
+    look("kept by a reader", opened)
+    look("committed", tables.read_tables(spark, target))
+    tables.write_version(gate.loadable_rows(_records(spark, sf_dir).where("row_num < 50"), passed), target)
+    look("broken off", tables.read_tables(spark, target))
+    return reduce(DataFrame.unionAll, seen)
+
+
+@query(
+    f"""WITH {GATE}, old AS (SELECT 't_00' || sheet_order AS table_name, count(*) AS n FROM verdict WHERE kind IS NULL AND d < '1998-01-01' GROUP BY ALL)
+    SELECT gate.table_name, CASE WHEN sheet_name = '3-MEDIUM' THEN 'failed' ELSE status END AS status, sheet_name = '3-MEDIUM' AS write_failed,
+      CASE WHEN sheet_name = '5-LOW' THEN n_rows ELSE old.n END AS n_stored,
+      CAST(1 AS BIGINT) AS n_loaded, (SELECT n_rows FROM gate WHERE sheet_name = '5-LOW') AS rows_loaded
+    FROM gate LEFT JOIN old USING (table_name) WHERE n_errors = 0 AND table_error IS NULL OR gate.table_name IN ('t_001', 't_002', 't_004')"""
+)
+def load_one_write_fails(spark, sf_dir):
+    """The second of two loads has a row that cannot be written, which only the write finds out: its table is recorded as failed and keeps its
+    rows, the other clean table is replaced."""
+    folder, sheets = run_folder(spark, "load"), _sheet_map(spark, sf_dir)
+    raw = raw_rows(spark, sf_dir, keep=("d",))
+    good = checks.clean_rows(rows.to_records(rows.nonblank_rows(raw))).select("sheet_name", "row_num")
+    first = raw.where("d < '1998-01-01'").join(good, ["sheet_name", "row_num"], "left_semi")
+    broken = (F.col("sheet_name") == "3-MEDIUM") & F.col("c3").startswith("C")
+    second = raw.withColumn("c10", F.when(broken, F.raise_error("this row cannot be written").cast("string")).otherwise(F.col("c10")))
+    jobs.run_load(first, sheets, f"{folder}/target", f"{folder}/ledger", "run-1", "a")
+    done = jobs.run_load(second, sheets, f"{folder}/target", f"{folder}/ledger", "run-2", "b")
+    stored = gate.table_row_counts(tables.read_tables(spark, f"{folder}/target"))
+    totals = done.totals.first()
+    told = F.coalesce(F.contains("table_error", F.lit("this row cannot be written")), F.lit(False))
+    return done.gate.join(stored, "table_name", "left").select(
+        "table_name", "status", told.alias("write_failed"), "n_stored", F.lit(totals.n_loaded).alias("n_loaded"), F.lit(totals.rows_loaded).alias("rows_loaded")
+    )
+
+
 # ---- error reports ----
 
 
@@ -681,6 +744,37 @@ def ledger_state(spark, sf_dir):
     return lookups.ledger_state(_ledger(spark, sf_dir))
 
 
+@query(
+    f"""WITH {LEDGER} SELECT w.moment, s.table_name, s.last_status, s.last_success_at FROM
+    (VALUES ('appended'), ('folded'), ('appended behind the snapshot'), ('a wrong run'), ('the run repeated'), ('folded again')) AS w(moment),
+    LATERAL (SELECT table_name, CASE WHEN w.moment = 'a wrong run' THEN 'failed' ELSE arg_max(status, finished_at) END AS last_status,
+        max(finished_at) FILTER (status = 'success' AND (w.moment <> 'a wrong run' OR run_id < '1999-01')) AS last_success_at
+      FROM ledger WHERE w.moment NOT IN ('appended', 'folded') OR run_id < '1999-01' GROUP BY table_name) AS s"""
+)
+def ledger_folded(spark, sf_dir):
+    """The state of each table from the ledger's files: before and after a fold, with runs behind the snapshot, after runs were repeated
+    wrongly, repeated rightly, and folded again."""
+    path, seen, entries = run_folder(spark, "ledger"), [], staged(_ledger(spark, sf_dir), "entries")
+    late = F.col("run_id") >= "1999-01"
+
+    def look(moment: str) -> None:
+        seen.append(staged(ledger.state(spark, path).select(F.lit(moment).alias("moment"), "*"), "seen"))
+
+    ledger.append(entries.where(~late), path, fold_after=1 << 30)
+    look("appended")
+    ledger.fold(spark, path)
+    look("folded")
+    ledger.append(entries.where(late), path, fold_after=1)  # folds, too
+    look("appended behind the snapshot")
+    ledger.append(entries.where(late).withColumn("status", F.lit("failed")), path, fold_after=1 << 30)
+    look("a wrong run")
+    ledger.append(entries.where(late), path, fold_after=1 << 30)
+    look("the run repeated")
+    ledger.fold(spark, path)
+    look("folded again")
+    return reduce(DataFrame.unionAll, seen)
+
+
 @query(f"WITH {LEDGER} SELECT sheet_name, sheet_order, coalesce(last_success_at, '') AS last_load_time, coalesce(last_status = 'failed', false) AS failed FROM sheets LEFT JOIN state USING (table_name)")
 def sheet_states(spark, sf_dir):
     return lookups.sheet_states(_sheets(spark, sf_dir), _sheet_map(spark, sf_dir), _ledger(spark, sf_dir))
@@ -881,7 +975,18 @@ def dedup_history(spark, sf_dir):
     """A whole de-duplication job: what its history then says."""
     folder = run_folder(spark, "dedup")
     jobs.run_dedup(raw_rows(spark, sf_dir), f"{folder}/out", ledger=f"{folder}/ledger", run_id="run-1", started_at="a", finished_at="b", source="c")
-    return spark.read.parquet(f"{folder}/ledger")
+    return ledger.history(spark, f"{folder}/ledger")
+
+
+@query(
+    f"""WITH {_ranked('k')}, kept AS (SELECT * FROM keyed WHERE NOT eligible UNION ALL SELECT * EXCLUDE (rn, pos_in_key, before) FROM elig WHERE rn = 1)
+    SELECT sheet_name, sheet_order, row_num AS old_row_num, 1 + row_number() OVER (PARTITION BY sheet_name ORDER BY row_num) AS row_num, {', '.join(CELLS)} FROM kept"""
+)
+def dedup_copy(spark, sf_dir):
+    """The copy that a whole job writes: all cells, the old row numbers and the new ones."""
+    folder = run_folder(spark, "dedup")
+    jobs.run_dedup(raw_rows(spark, sf_dir), f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out/rows").select("sheet_name", "sheet_order", "old_row_num", "row_num", *CELLS)
 
 
 @query(f"WITH {_ranked('k')} SELECT sheet_name, row_num FROM keyed WHERE NOT eligible UNION ALL SELECT sheet_name, row_num FROM elig WHERE rn = 1")
@@ -898,13 +1003,19 @@ def dedup_counts_agree(spark, sf_dir):
     return gate.counts_agree(gate.rows_per_sheet(raw), gate.kept_and_deleted(dedup.kept_rows(raw), dedup.losers(raw)))
 
 
-@query(_list_sql("k", "CASE WHEN rn = 1 THEN '保留' ELSE '删除' END AS action, sheet_name, row_num, raw_key, c0 AS raw_time"))
+_LISTED = "g.o, g.s, g.r, CASE WHEN rn = 1 THEN 0 ELSE 1 END, l.o, l.s, l.r"
+
+
+@query(_list_sql("k", f"1 + row_number() OVER (ORDER BY {_LISTED}) AS line, CASE WHEN rn = 1 THEN '保留' ELSE '删除' END AS action, sheet_name, row_num, raw_key, c0 AS raw_time"))
 def dedup_list_csv(spark, sf_dir):
-    """The duplicate list, written as CSV and read again."""
-    path = run_folder(spark, "duplicates")
+    """The duplicate list, written as one CSV file and read again, with the line at which each entry stands."""
+    path = f"{run_folder(spark, 'duplicates')}.csv"
     sinks.write_duplicate_list(dedup.duplicate_list(raw_rows(spark, sf_dir)), path)
-    written = spark.read.schema("action string, sheet_name string, row_num bigint, raw_key string, raw_time string")
-    return written.option("header", True).option("escape", '"').option("enforceSchema", True).csv(path)
+    listed = readers.csv_sheets(spark, path)
+    return listed.select(
+        F.col("row_num").alias("line"), F.col("c0").alias("action"), F.col("c1").alias("sheet_name"), F.col("c2").cast("bigint").alias("row_num"),
+        F.col("c3").alias("raw_key"), F.col("c4").alias("raw_time"),
+    )
 
 
 # ---- files ----

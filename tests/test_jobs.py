@@ -11,7 +11,7 @@ from rowgate.operators import gate
 from rowgate.operators.reports import REPORT_ORDER
 from rowgate.operators.rows import select_sheets
 from rowgate.plans import jobs
-from rowgate.sources import readers, sinks
+from rowgate.sources import ledger, readers, sinks, tables
 
 GOOD = {"c0": "2024-01-31", "c1": "t", "c3": "Acme", "c5": "x"}
 
@@ -28,12 +28,12 @@ def load(spark, rows, wanted, tmp, run, present, **more):
 
 
 def history(spark, tmp, run):
-    ledger = spark.read.parquet(f"{tmp}/ledger").where(f"run_id = '{run}'")
-    return {r.table_name: (r.status, r.rows, r.error) for r in ledger.collect()}
+    entries = ledger.history(spark, f"{tmp}/ledger").where(f"run_id = '{run}'")
+    return {r.table_name: (r.status, r.rows, r.error) for r in entries.collect()}
 
 
 def stored(spark, tmp):
-    rows = sinks.read_tables(spark, f"{tmp}/target").collect()
+    rows = tables.read_tables(spark, f"{tmp}/target").collect()
     out = {}
     for r in rows:
         out.setdefault(r.table_name, []).append(r.company_name)
@@ -75,6 +75,7 @@ def test_a_load_can_be_repeated_with_its_run_id(spark, sheet, wanted, tmp_path):
         load(spark, given, wanted.where("sheet_order <= 2"), tmp_path, "r", ["clean", "dirty"], report_folder=f"{tmp_path}/reports")
     assert stored(spark, tmp_path) == {"t/1": ["Acme"]}
     assert spark.read.parquet(f"{tmp_path}/reports/run_id=r/detail").count() == 1
+    assert ledger.history(spark, f"{tmp_path}/ledger").count() == 2  # the repeated run replaced its entries
 
 
 def test_refused_loads(spark, sheet, wanted, tmp_path):
@@ -109,6 +110,31 @@ def test_refused_writes_fail_their_table(spark, sheet, wanted, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/reports/run_id=r/detail").first().problem.startswith("网络连接中断")
 
 
+def test_tables_that_cannot_be_written_stand_alone(spark, sheet, tmp_path, monkeypatch):
+    """Seven tables, two of which fail when they are written: the other five are loaded, and each outcome is its own."""
+    names = [f"s{i}" for i in range(7)]
+    wanted = spark.createDataFrame([(n, i, f"t{i}") for i, n in enumerate(names)], "sheet_name string, sheet_order int, table_name string")
+    load(spark, sheet(*[(n, i, 2, {**GOOD, "c3": f"old {n}"}) for i, n in enumerate(names)]), wanted, tmp_path, "r1", names)
+    write, groups = tables.write_version, []
+
+    def failing(rows, *args):
+        there = {r.table_name for r in rows.select("table_name").distinct().collect()}
+        groups.append(len(there))
+        if there & {"t2", "t6"}:
+            spark.sql("SELECT raise_error('disk full')").collect()
+        return write(rows, *args)
+
+    monkeypatch.setattr(tables, "write_version", failing)
+    result = load(spark, sheet(*[(n, i, 2, {**GOOD, "c3": f"new {n}"}) for i, n in enumerate(names)]), wanted, tmp_path, "r2", names)
+    assert stored(spark, tmp_path) == {f"t{i}": [f"{'old' if i in (2, 6) else 'new'} s{i}"] for i in range(7)}
+    told = {r.table_name: (r.status, "disk full" in (r.table_error or "")) for r in result.gate.collect()}
+    assert told == {f"t{i}": ("failed", True) if i in (2, 6) else ("success", False) for i in range(7)}
+    assert {t: s for t, (s, _, _) in history(spark, tmp_path, "r2").items()} == {t: s for t, (s, _) in told.items()}
+    totals = result.totals.first()
+    assert (totals.n_loaded, totals.n_failed, totals.rows_loaded, totals.partial) == (5, 2, 5, True)
+    assert groups[0] == 7 and len(groups) <= 1 + 2 * 2 * 3
+
+
 def test_a_failed_write_is_recorded(spark, sheet, wanted, tmp_path):
     (tmp_path / "target").write_text("a file stands where the tables should go")
     result = load(spark, sheet(("clean", 1, 2, GOOD)), wanted.limit(1), tmp_path, "r", ["clean"])
@@ -167,6 +193,47 @@ def test_counts_that_disagree(spark):
     assert got == {"x": (3, 3, True), "y": (1, 0, False), "z": (0, 1, False)}
 
 
+def test_the_copy_shuffles_its_cells_once(spark, sheet):
+    from rowgate.operators import dedup
+
+    rows = sheet(*[("s", 1, i, {**GOOD, "c3": f"Acme {i % 5}", "c10": "wide"}) for i in range(2, 40)])
+    keyed = dedup.keyed_rows(rows)
+    gone = dedup.listing_of(keyed).where("action = 'delete'")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        copy = dedup.copy_rows(rows, dedup.numbering(keyed, gone))
+        plan = copy._jdf.queryExecution().executedPlan().toString()
+        wide = [i for i, line in enumerate(plan.splitlines()) if "Exchange" in line and "c10#" in "".join(plan.splitlines()[i : i + 2])]
+        assert len(wide) == 1, plan
+        got = sorted((r.old_row_num, r.row_num, r.c10) for r in copy.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == [(i, i, "wide") for i in range(2, 7)]
+
+
+def test_the_list_is_one_file_in_order(spark, sheet, tmp_path):
+    from rowgate.operators import dedup
+
+    rows = sheet(*[("s", 1, i, {**GOOD, "c3": f'A "{i % 700}", x'}) for i in range(2, 3000)])
+    listing = dedup.duplicate_list(rows)
+    path = sinks.write_duplicate_list(listing, f"{tmp_path}/list.csv")
+    assert os.listdir(tmp_path) == ["list.csv"]
+    with open(path, "rb") as f:
+        content = f.read()
+    mark = "\ufeff".encode()
+    assert content.startswith(mark) and content.count(mark) == 1 and content.count("处理".encode()) == 1
+    with open(path, encoding="utf-8-sig", newline="") as f:
+        lines = list(csv.reader(f))[1:]
+    want = [(sinks.LIST_ACTIONS[r.action], r.sheet_name, str(r.row_num), r.raw_key, r.raw_time) for r in listing.orderBy(*dedup.LIST_ORDER).collect()]
+    assert [tuple(x) for x in lines] == want and len(want) == 2998
+    with pytest.raises(FileExistsError):
+        sinks.write_duplicate_list(listing, path)
+    empty = sinks.write_duplicate_list(listing.limit(0), f"{tmp_path}/empty.csv")
+    with open(empty, encoding="utf-8-sig") as f:
+        assert f.read().strip() == ",".join(sinks.LIST_COLUMNS)
+
+
 def test_dedup_job(spark, sheet, tmp_path):
     rows = sheet(("s", 1, 2, {**GOOD, "c0": "2024-01-02"}), ("s", 1, 3, {}), ("s", 1, 4, GOOD | {"c0": "2024-01-01", "c3": 'Ａcme"　'}), ("s", 1, 5, GOOD | {"c0": "2024-01-03", "c3": 'Acme"'}),
                  ("other", 2, 2, {**GOOD, "c0": "2024-01-01"}))
@@ -174,8 +241,8 @@ def test_dedup_job(spark, sheet, tmp_path):
     assert sorted((r.sheet_name, r.total, r.kept, r.deleted, r.copied_only) for r in stats.collect()) == [("other", 1, 1, 0, True), ("s", 4, 3, 1, False)]
     kept = spark.read.parquet(f"{tmp_path}/out/rows").orderBy("sheet_order", "row_num").collect()
     assert [(r.sheet_name, r.old_row_num, r.row_num) for r in kept] == [("s", 2, 2), ("s", 3, 3), ("s", 4, 4), ("other", 2, 2)]
-    parts = sorted(glob.glob(f"{tmp_path}/out/duplicates/part-*.csv"))
-    with open(parts[0], encoding="utf-8-sig", newline="") as f:
+    assert sorted(os.listdir(f"{tmp_path}/out")) == ["duplicates.csv", "listing", "rows", "stats"]
+    with open(f"{tmp_path}/out/duplicates.csv", encoding="utf-8-sig", newline="") as f:
         lines = list(csv.reader(f))
     assert lines == [["处理", "Sheet名称", "Excel行号", "判重列原始值", "录入时间"], ["保留", "s", "4", 'Ａcme"　', "2024-01-01"], ["删除", "s", "5", 'Acme"', "2024-01-03"]]
     with pytest.raises(Exception, match="exist"):
