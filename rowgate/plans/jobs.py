@@ -94,15 +94,17 @@ def run_load(
     row; without it, sheets with rows count. `writer_errors` (address, message, team, company_name) are rows that a writer
     refused; they fail their table. A table whose write fails, or that then holds another number of rows than were scanned, is recorded as failed;
     the others are loaded. Readers of the target see a table as it was or as it is then, never in between."""
-    spark = rows.sparkSession
-    if wanted.isEmpty():
+    spark, wanted = rows.sparkSession, _local(wanted)  # as many rows as the request has
+    # One name per selected sheet; they are pushed to the scan.
+    request = wanted.collect()
+    names = [r.sheet_name for r in request]
+    if not names:
         raise RefusedRequest("no sheet is selected")
-    shared = wanted.groupBy("table_name").agg(F.count_distinct("sheet_name").alias("n"), F.min("sheet_order").alias("sheet_order")).where("n > 1")
-    _refuse_if_any(shared, "several sheets want one table", "table_name", "sheet_order")
+    if len({r.table_name for r in request}) < len({(r.table_name, r.sheet_name) for r in request}):
+        shared = wanted.groupBy("table_name").agg(F.count_distinct("sheet_name").alias("n"), F.min("sheet_order").alias("sheet_order")).where("n > 1")
+        _refuse_if_any(shared, "several sheets want one table", "table_name", "sheet_order")
     if existing is not None:
         _refuse_if_any(lookups.missing_tables(wanted, existing), "missing tables", "table_name", "sheet_order")
-    # One name per selected sheet: bounded by the request, and pushed to the scan.
-    names = [r.sheet_name for r in wanted.select("sheet_name").collect()]
     records = to_records(nonblank_rows(select_sheets(rows, names)), mapping)
     present = inventory if inventory is not None else sheet_inventory(select_sheets(rows, names))
     with _scratch(spark) as scratch:
@@ -115,8 +117,8 @@ def run_load(
         decided = _local(gate.load_gate(wanted, checked.select("sheet_name", F.lit(None).cast("string").alias("kind")), present, table_errors, errors))
         broken = _write_tables(records, decided, target, mapping)
         loaded = decided.join(broken, "table_name", "left_anti")
-        names = [r.table_name for r in loaded.where("status = 'success'").collect()]
-        reconciled = _local(gate.reconcile(loaded, tables.count_from_footers(spark, target, names)))
+        stored = tables.count_from_footers(spark, target, [r.table_name for r in decided.where("status = 'success'").collect()])
+        reconciled = _local(gate.reconcile(loaded, stored))
         final = _local(gate.settled(decided, reconciled, broken))
         ledgers.append(gate.ledger_rows(final, run_id, finished_at, started_at, source), ledger)
         if report_folder is not None:
