@@ -41,49 +41,83 @@ FROM m LEFT JOIN cuts ON m.stratum IS NOT DISTINCT FROM cuts.u
 
 LICENCES = r"""
 WITH RECURSIVE known(s, id) AS (VALUES
-  ('licensed under the apache license version 2 0', 'apache2'), ('licensed under the apache license version 2 0 the license', 'apache2'),
+  ('under apache license version 2 0', 'apache2'), ('under apache license version 2 0 the license', 'apache2'),
   ('you may not use this file except in compliance with the license', 'apache_use'),
-  ('you may obtain a copy of the license at http www apache org licenses license 2 0', 'apache_copy'),
-  ('released under the mit license', 'mit'), ('licensed under the mit license', 'mit'), ('this project is licensed under the mit license', 'mit'),
+  ('you may obtain a copy of the license at http www apache org licenses license 2 0', 'apache_copy'), ('under mit license', 'mit'),
+  ('permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions', 'mit_grant'),
   ('the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software', 'mit_notice'),
   ('the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement', 'mit_warranty'),
-  ('this work is licensed under the gnu general public license version 3', 'gpl3'), ('licensed under the gnu general public license version 3', 'gpl3'),
-  ('this work is licensed under the gnu general public license version 2', 'gpl2'), ('licensed under the gnu general public license version 2', 'gpl2'),
+  ('under gnu general public license version 3', 'gpl3'), ('under gnu general public license version 2', 'gpl2'),
   ('this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version', 'gpl3_later'),
   ('this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version', 'gpl2_later'),
+  ('you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation', 'gpl_terms'),
+  ('you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version', 'gpl2_later_own'),
+  ('you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version', 'gpl3_later_own'),
+  ('you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation', 'lgpl_terms'),
+  ('you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version', 'lgpl3_later_own'),
+  ('you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version', 'agpl3_later_own'),
+  ('either version 2 of the license or at your option any later version', 'later2'),
+  ('either version 2 1 of the license or at your option any later version', 'later21'),
+  ('either version 3 of the license or at your option any later version', 'later3'),
   ('this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose', 'gpl_warranty'),
-  ('see the gnu general public license for more details', 'gpl_details'),
-  ('licensed under the gnu lesser general public license version 3', 'lgpl3'), ('licensed under the gnu affero general public license version 3', 'agpl3'),
+  ('see the gnu general public license for more details', 'gpl_details'), ('under gnu lesser general public license version 3', 'lgpl3'),
+  ('under gnu affero general public license version 3', 'agpl3'),
+  ('this source code form is subject to the terms of the mozilla public license v', 'mpl2'),
   ('this source code form is subject to the terms of the mozilla public license v 2 0', 'mpl2'),
   ('redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met', 'bsd'),
   ('redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer', 'bsd_source'),
   ('redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution', 'bsd_binary'),
   ('neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission', 'bsd_names'),
-  ('licensed under cc by 4 0', 'ccby4'), ('licensed under cc by sa 4 0', 'ccbysa4'), ('licensed under cc by nc 4 0', 'ccbync4'),
-  ('licensed under cc by nc sa 4 0', 'ccbyncsa4'), ('licensed under cc by nd 4 0', 'ccbynd4'),
-  ('this work is licensed under a creative commons attribution 4 0 international license', 'ccby4'),
+  ('under cc by 4 0', 'ccby4'), ('under cc by sa 4 0', 'ccbysa4'), ('under cc by nc 4 0', 'ccbync4'), ('under cc by nc sa 4 0', 'ccbyncsa4'),
+  ('under cc by nd 4 0', 'ccbynd4'), ('under a creative commons attribution 4 0 international license', 'ccby4'),
   ('this is free and unencumbered software released into the public domain', 'unlicense'),
-  ('permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies', 'isc')),
+  ('permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies', 'isc'),
+  ('spdx license identifier apache 2 0', 'spdx_apache2'), ('spdx license identifier mit', 'spdx_mit'),
+  ('spdx license identifier gpl 2 0', 'spdx_gpl2'), ('spdx license identifier gpl 2 0 only', 'spdx_gpl2'),
+  ('spdx license identifier gpl 2 0 or later', 'spdx_gpl2_later'), ('spdx license identifier gpl 3 0', 'spdx_gpl3'),
+  ('spdx license identifier gpl 3 0 only', 'spdx_gpl3'), ('spdx license identifier gpl 3 0 or later', 'spdx_gpl3_later'),
+  ('spdx license identifier lgpl 2 1 only', 'spdx_lgpl21'), ('spdx license identifier lgpl 2 1 or later', 'spdx_lgpl21_later'),
+  ('spdx license identifier lgpl 3 0 only', 'spdx_lgpl3'), ('spdx license identifier lgpl 3 0 or later', 'spdx_lgpl3_later'),
+  ('spdx license identifier agpl 3 0 only', 'spdx_agpl3'), ('spdx license identifier agpl 3 0 or later', 'spdx_agpl3_later'),
+  ('spdx license identifier mpl 2 0', 'spdx_mpl2'), ('spdx license identifier bsd 2 clause', 'spdx_bsd2'),
+  ('spdx license identifier bsd 3 clause', 'spdx_bsd3'), ('spdx license identifier isc', 'spdx_isc'),
+  ('spdx license identifier unlicense', 'spdx_unlicense'), ('spdx license identifier cc by 4 0', 'spdx_ccby4'),
+  ('spdx license identifier cc by sa 4 0', 'spdx_ccbysa4')),
 rules(i, name, seq) AS (VALUES
-  (1, 'Apache-2.0', 'apache2 apache_use apache_copy'), (2, 'Apache-2.0', 'apache2 apache_use'), (3, 'GPL-3.0-or-later', 'gpl3_later gpl_warranty gpl_details'),
-  (4, 'GPL-2.0-or-later', 'gpl2_later gpl_warranty gpl_details'), (5, 'BSD-3-Clause', 'bsd bsd_source bsd_binary bsd_names'),
-  (6, 'BSD-2-Clause', 'bsd bsd_source bsd_binary'), (7, 'MIT', 'mit_notice mit_warranty'), (8, 'GPL-3.0-or-later', 'gpl3_later'),
-  (9, 'GPL-2.0-or-later', 'gpl2_later'), (10, 'Apache-2.0', 'apache2'), (11, 'MIT', 'mit'), (12, 'GPL-3.0-only', 'gpl3'), (13, 'GPL-2.0-only', 'gpl2'),
-  (14, 'LGPL-3.0-only', 'lgpl3'), (15, 'AGPL-3.0-only', 'agpl3'), (16, 'MPL-2.0', 'mpl2'), (17, 'CC-BY-4.0', 'ccby4'), (18, 'CC-BY-SA-4.0', 'ccbysa4'),
-  (19, 'CC-BY-NC-4.0', 'ccbync4'), (20, 'CC-BY-NC-SA-4.0', 'ccbyncsa4'), (21, 'CC-BY-ND-4.0', 'ccbynd4'), (22, 'Unlicense', 'unlicense'), (23, 'ISC', 'isc')),
+  (1, 'Apache-2.0', 'apache2 apache_use apache_copy'), (2, 'Apache-2.0', 'apache2 apache_use'),
+  (3, 'GPL-3.0-or-later', 'gpl3_later gpl_warranty gpl_details'), (4, 'GPL-2.0-or-later', 'gpl2_later gpl_warranty gpl_details'),
+  (5, 'BSD-3-Clause', 'bsd bsd_source bsd_binary bsd_names'), (6, 'BSD-2-Clause', 'bsd bsd_source bsd_binary'),
+  (7, 'MIT', 'mit_grant mit_notice mit_warranty'), (8, 'MIT', 'mit_notice mit_warranty'), (9, 'MIT', 'mit_grant mit_notice'),
+  (10, 'GPL-2.0-or-later', 'gpl_terms later2'), (11, 'GPL-3.0-or-later', 'gpl_terms later3'), (12, 'LGPL-2.1-or-later', 'lgpl_terms later21'),
+  (13, 'LGPL-3.0-or-later', 'lgpl_terms later3'), (14, 'GPL-3.0-or-later', 'gpl3_later'), (15, 'GPL-2.0-or-later', 'gpl2_later'),
+  (16, 'GPL-2.0-or-later', 'gpl2_later_own'), (17, 'GPL-3.0-or-later', 'gpl3_later_own'), (18, 'LGPL-3.0-or-later', 'lgpl3_later_own'),
+  (19, 'AGPL-3.0-or-later', 'agpl3_later_own'), (20, 'Apache-2.0', 'apache2'), (21, 'MIT', 'mit'), (22, 'GPL-3.0-only', 'gpl3'),
+  (23, 'GPL-2.0-only', 'gpl2'), (24, 'LGPL-3.0-only', 'lgpl3'), (25, 'AGPL-3.0-only', 'agpl3'), (26, 'MPL-2.0', 'mpl2'), (27, 'CC-BY-4.0', 'ccby4'),
+  (28, 'CC-BY-SA-4.0', 'ccbysa4'), (29, 'CC-BY-NC-4.0', 'ccbync4'), (30, 'CC-BY-NC-SA-4.0', 'ccbyncsa4'), (31, 'CC-BY-ND-4.0', 'ccbynd4'),
+  (32, 'Unlicense', 'unlicense'), (33, 'ISC', 'isc'), (34, 'Apache-2.0', 'spdx_apache2'), (35, 'MIT', 'spdx_mit'), (36, 'GPL-2.0-only', 'spdx_gpl2'),
+  (37, 'GPL-2.0-or-later', 'spdx_gpl2_later'), (38, 'GPL-3.0-only', 'spdx_gpl3'), (39, 'GPL-3.0-or-later', 'spdx_gpl3_later'),
+  (40, 'LGPL-2.1-only', 'spdx_lgpl21'), (41, 'LGPL-2.1-or-later', 'spdx_lgpl21_later'), (42, 'LGPL-3.0-only', 'spdx_lgpl3'),
+  (43, 'LGPL-3.0-or-later', 'spdx_lgpl3_later'), (44, 'AGPL-3.0-only', 'spdx_agpl3'), (45, 'AGPL-3.0-or-later', 'spdx_agpl3_later'),
+  (46, 'MPL-2.0', 'spdx_mpl2'), (47, 'BSD-2-Clause', 'spdx_bsd2'), (48, 'BSD-3-Clause', 'spdx_bsd3'), (49, 'ISC', 'spdx_isc'),
+  (50, 'Unlicense', 'spdx_unlicense'), (51, 'CC-BY-4.0', 'spdx_ccby4'), (52, 'CC-BY-SA-4.0', 'spdx_ccbysa4')),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-cut AS (SELECT r, 1 AS pass, t FROM d UNION ALL SELECT r, 2, regexp_replace(t, '[\r\n]+[ \t#*/]*', ' ', 'g') FROM d),
+cut AS (SELECT r, 1 AS pass, t FROM d UNION ALL
+  SELECT r, 2, regexp_replace(regexp_replace(t, '\r?\n[ \t#*/]*\r?\n[ \t#*/\r\n]*', '. ', 'g'), '[\r\n]+[ \t#*/]*', ' ', 'g') FROM d),
+tagged AS (SELECT r, pass, regexp_replace(t, '(?i)spdx-license-identifier:[ \t]*', 'spdx license identifier ', 'g') AS t FROM cut),
 lines AS (SELECT r, pass, unnest(l) AS s, unnest(range(len(l))) AS n FROM
-           (SELECT r, pass, string_split(regexp_replace(t, '([.;:!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)) AS l FROM cut)),
-ids AS (SELECT r, pass, list(id ORDER BY n) AS ids FROM lines
-        JOIN known ON trim(regexp_replace(lower(lines.s), '[^a-z0-9]+', ' ', 'g')) = known.s GROUP BY r, pass),
+           (SELECT r, pass, string_split(regexp_replace(t, '([.;:!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)) AS l FROM tagged)),
+plain AS (SELECT r, pass, n, regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')),
+  '^((this|the) (file|software|project|library|program|code|source code|work|package|repository) is )?(licensed|released|distributed|published|available|made available) under (the terms of )?(the )?',
+  'under ') AS s FROM lines),
+ids AS (SELECT r, pass, list(id ORDER BY n) AS ids FROM plain JOIN known USING (s) GROUP BY r, pass),
 walk AS (
   SELECT r, pass, 0 AS i, '  ' || array_to_string(ids, '  ') || '  ' AS rest, CAST([] AS VARCHAR[]) AS found FROM ids
   UNION ALL
   SELECT r, pass, rules.i, replace(rest, '  ' || replace(seq, ' ', '  ') || '  ', '  |  '),
     CASE WHEN contains(rest, '  ' || replace(seq, ' ', '  ') || '  ') THEN list_append(found, name) ELSE found END
   FROM walk JOIN rules ON rules.i = walk.i + 1),
-named AS (SELECT r, name, min(pass * 100 + n) AS place FROM (SELECT r, pass, unnest(found) AS name, unnest(range(len(found))) AS n FROM walk WHERE i = 23) GROUP BY r, name)
+named AS (SELECT r, name, min(pass * 100 + n) AS place FROM (SELECT r, pass, unnest(found) AS name, unnest(range(len(found))) AS n
+  FROM walk WHERE i = 52) GROUP BY r, name)
 SELECT doc_id, coalesce((SELECT string_agg(name, ',' ORDER BY place) FROM named WHERE named.r = d.r), '') AS licences,
   coalesce((SELECT array_to_string(ids, ',') FROM ids WHERE ids.r = d.r AND pass = 1), '') AS sentences
 FROM d
