@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import atexit
+import contextlib
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +50,31 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scratch tables of this application that are still there, with their sessions, in the order in which they were written.
+_written: dict[str, SparkSession] = {}
+
+
+@contextlib.contextmanager
+def work(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables that are written inside are removed at the end: everything that reads them must have been written by then."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in [p for p in _written if p not in before]:
+            remove(spark, path)
+
+
+@atexit.register
+def _remove_rest() -> None:
+    """What no piece of work has removed goes with the application, as far as its session still runs."""
+    for path, spark in list(_written.items()):
+        with contextlib.suppress(Exception):
+            remove(spark, path)
+
+
 class Scratch:
-    """Tables below the shared folder that end with the work they were written for."""
+    """Tables below the shared folder that end with the work they were written for, or with the application."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.name, self.paths = spark, name, []
@@ -58,6 +83,7 @@ class Scratch:
         """The rows, written and read again. Lineage ends here, so a lost executor repeats nothing before it.
         keep=False: drop() may remove the table while later ones stay."""
         path = run_folder(self.spark, self.name)
+        _written[path] = self.spark
         df.write.parquet(path)
         if not keep:
             self.paths.append(path)
@@ -73,6 +99,7 @@ class Scratch:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Removes a scratch table that this library wrote."""
+    _written.pop(path, None)
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)

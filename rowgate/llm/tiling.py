@@ -1,13 +1,14 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are lower-cased runs of letters and digits. A running Karp-Rabin hash over `seed` words finds the places that a document shares with a
+Texts are lower-cased runs of letters and digits; characters of scripts that put no blanks between words are words of their own. A running Karp-Rabin hash over `seed` words finds the places that a document shares with a
 test; seeds in a row on one diagonal are a maximal match. The longest match that overlaps no marked word is marked again and again,
-as long as `seed` words remain, so reordered passages count too. A test whose words are covered by `coverage` or more is leaked.
+as long as `seed` words remain, so reordered passages count too. A test whose words are covered by `coverage` or more is leaked. A test of fewer than
+`seed` words is its own seed and must be found whole.
 
 Tests are a stated query set. They are held in blocks of bounded size, each block is sent to the tasks and meets all rows in one
 pass without a shuffle. Hash matches are verified on the words.
 
-Defined results: null and empty documents and tests share nothing; tests of fewer than `seed` words have no seed and are not found;
+Defined results: null and empty documents and tests, and those without a letter or digit, share nothing;
 repeated documents and tests give a row each; null ids are kept; empty tables give no rows. Of equally long matches the
 first in the document, then in the test, is marked. Other columns of the input are not looked at."""
 
@@ -29,7 +30,9 @@ SEED_WORDS, COVERAGE = 5, 0.8
 #: Bytes of test text in one block.
 BLOCK_BYTES = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_WORD = re.compile(r"[^\W_]+")
+#: Thai, Lao, Burmese, Khmer, kana and Han characters, fixed ranges of code points.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W_{_UNSPACED}]+|(?=\w)[{_UNSPACED}]")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -70,17 +73,33 @@ def tiles(at_doc: np.ndarray, at_test: np.ndarray, seed: int) -> list[tuple[int,
 
 
 class Tests:
-    """Index of a block of tests: words, seeds and where they are."""
+    """A block of tests. Short ones are in indexes of their own, by their number of words."""
 
     __test__ = False
 
     def __init__(self, rows: list[tuple], seed: int) -> None:
-        self.seed, self.vocabulary, kept, ids = seed, {}, [], []
-        for item, text in rows:
-            words = words_of(text)
-            if len(words) >= seed:
-                kept.append(item)
-                ids.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
+        cut = [(item, words_of(text)) for item, text in rows]
+        self.parts = [Index([x for x in cut if len(x[1]) == n], n, True) for n in range(1, seed)] + [Index([x for x in cut if len(x[1]) >= seed], seed, False)]
+        self.parts = [p for p in self.parts if p.items]
+        self.items = [item for p in self.parts for item in p.items]
+
+    def leaked(self, text: str | None, coverage: float):
+        """(test number, share covered, tiles) for every test that the text gives away."""
+        words, before = words_of(text) if self.parts else [], 0
+        for part in self.parts:
+            for k, share, found in part.leaked(words, 1.0 if part.whole else coverage):
+                yield before + k, share, found
+            before += len(part.items)
+
+
+class Index:
+    """Words and seeds of some tests, and where they are. whole: each test is one seed."""
+
+    def __init__(self, tests: list[tuple], seed: int, whole: bool) -> None:
+        self.seed, self.whole, self.vocabulary, kept, ids = seed, whole, {}, [], []
+        for item, words in tests:
+            kept.append(item)
+            ids.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
         self.items, self.ids = kept, ids
         hashes = [karp_rabin(x, seed) for x in ids]
         owner = np.repeat(np.arange(len(ids)), [len(h) for h in hashes])
@@ -90,9 +109,8 @@ class Tests:
         self.owner, self.place = owner[order], place[order]
         self.keys, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
 
-    def leaked(self, text: str | None, coverage: float):
-        """(test number, share covered, tiles) for every test that the text gives away."""
-        words = words_of(text)
+    def leaked(self, words: list[str], coverage: float):
+        """(test number, share covered, tiles) for every test that the words give away."""
         if len(words) < self.seed or not len(self.keys):
             return
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))

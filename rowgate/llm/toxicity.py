@@ -177,8 +177,9 @@ def ratios(docs: DataFrame, table: DataFrame, order: int, shared: int) -> DataFr
     passes = -(-size // WEIGHTS_AT_ONCE) or 1
     if passes == 1:
         return _pass(docs, table, order, shared)
-    # Several passes, each with a share of the contexts and their n-grams: the sums of equal rows are equal, so they are added by row content.
-    marked = docs.withColumn("h_", F.xxhash64(*docs.columns))
+    # Several passes, each with a share of the contexts and their n-grams: the sums of equal rows are equal, so they are added by row content,
+    # which the other columns and 128 bits of hash tell.
+    marked = docs.withColumn("h_", F.struct(F.xxhash64(*docs.columns), F.xxhash64(F.lit(passes), *docs.columns)))
     parts = [_pass(marked, table.where(F.pmod(F.hash("context"), F.lit(passes)) == i), order, shared).withColumn("i_", F.lit(i)) for i in range(passes)]
     rest = [c for c in docs.columns if c != "t"]
     once = reduce(DataFrame.unionAll, parts).groupBy("h_", "i_").agg(*[F.first(c).alias(c) for c in rest], F.first("ratio").alias("ratio"), F.first("n").alias("n"), F.count("*").alias("copies"))

@@ -1,7 +1,10 @@
+import os
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from rowgate import session
 from rowgate.llm import tiling
 from rowgate.llm.queries import op5_quality
 from tests.llm.test_packing import check
@@ -42,6 +45,14 @@ def test_stages_against_brute_force(spark):
     check(packed.collect(), final, lambda x: t.encode(x, add_special_tokens=False).ids, 4096)
 
 
+def test_run_leaves_only_its_result(spark):
+    folder = session.shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    rows = corpus_pipeline.run(spark, SF)
+    assert [n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before] == ["packing"]
+    assert rows.count() > 0
+
+
 def test_run_gives_the_rows_of_the_last_stage(spark):
     assert sorted(corpus_pipeline.run(spark, SF).collect()) == sorted(staged(spark)[-1].collect())
 

@@ -36,7 +36,7 @@ def test_tiles_against_the_definition():
         doc += test[cut:] + ["z"] + test[:cut]
         index = tiling.Tests([(7, " ".join(test))], 3)
         got = [(round(share, 9), sorted(found)) for _, share, found in index.leaked(" ".join(doc), 1e-9)]
-        want = plain_tiles(doc, test, 3)
+        want = plain_tiles(doc, test, min(3, len(test)))
         share = round(sum(n for *_, n in want) / len(test), 9)
         assert [s for s, _ in got] == ([share] if want else [])
         if got:
@@ -104,3 +104,20 @@ def test_leaking_documents_are_dropped_with_their_copies(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
     assert tiling.drop_leaking(docs, tests.limit(0)).count() == docs.count()
+
+
+def test_short_tests_and_scripts_without_blanks():
+    tests = [("one", "Rome"), ("two", "too short"), ("four", "A b, c-d"), ("han", "水は百度で沸く"), ("long han", "東京は日本の首都であり人口が多い"), ("none", "?!"), ("thai", "กรุงเทพ")]
+    index = tiling.Tests(tests, 5)
+
+    def found(text):
+        return {index.items[k]: share for k, share, _ in index.leaked(text, 0.8)}
+
+    assert found("all roads lead to ROME now") == {"one": 1.0}
+    assert found("a text that is too short. b c d a b c d") == {"two": 1.0, "four": 1.0}
+    assert found("short too, Romes, a b c") == {} == found("") == found(None)
+    assert found("あの水は百度で沸くのです") == {"han": 1.0}
+    assert found("実は、東京は日本の首都であり人口が多いのである") == {"long han": 1.0}
+    assert found("東京は日本の首都であり") == {}  # 11 of 16
+    assert found("ไปกรุงเทพมา") == {"thai": 1.0}
+    assert not tiling.Tests([("none", "?!"), ("null", None)], 5).items
