@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowgate.functions.schema import ADDRESS, CELLS, MAX_KEY_INDEX
+from rowgate.session import staged
 
 _ALL_CELLS = [f"c{i}" for i in range(MAX_KEY_INDEX)]
 _CSV_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in _ALL_CELLS])
@@ -69,31 +70,95 @@ def parquet_sheets(spark: SparkSession, path: str, order: list[str] | None = Non
     return with_sheet_order(rows, file_sheets(spark, path, order)).select(*ADDRESS, *_ALL_CELLS)
 
 
-def csv_sheets(spark: SparkSession, path: str, order: list[str] | None = None, multi_line: bool = False) -> DataFrame:
+#: Lines that a quoted cell may have; a quote that is still open behind them is taken for a stray one.
+MAX_CELL_LINES = 1000
+# A field, a line that leaves a quoted field open, and a line that ends one which was open when it began. Nothing is looked at twice.
+_QUOTED = r'[^"]*+(?:""[^"]*+)*+'
+_FIELD = rf'(?:"{_QUOTED}"|[^",]*+)'
+_OPENS = rf'^(?:{_FIELD},)*+"{_QUOTED}$'
+_CLOSES = rf'^{_QUOTED}"(?:,{_FIELD})*+$'
+
+
+def csv_sheets(spark: SparkSession, path: str, order: list[str] | None = None, multi_line: bool = False, max_cell_lines: int = MAX_CELL_LINES) -> DataFrame:
     """One CSV file per sheet, header in row 1. The row number is the position in the file; empty lines count as rows.
 
     A file is read in splits; a row's number is its number inside its split plus the rows of the earlier splits, so a
-    large file is not numbered by one task. With `multi_line` cells may contain line ends inside quotes: lines are numbered as
-    above, and a line belongs to the row that was open when it began, which the number of quotes before it tells."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), "value")
-    lines = lines.withColumn("_seq", F.monotonically_increasing_id()).withColumn("_quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
-    lines = _running(lines, "_quotes") if multi_line else lines
-    if multi_line:
-        begins = F.col("_quotes_before") % 2 == 0
-        lines = lines.withColumn("_begins", begins.cast("bigint"))
-        lines = _running(lines, "_begins").withColumn("_row", F.col("_begins_before") + F.col("_begins"))
-        # Lines of one cell only; a row is as large as its cells are.
-        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_seq", "value"))), lambda x: x["value"]), "\n")
-        numbered = lines.groupBy("_file", F.col("_row").alias("row_num")).agg(joined.alias("value"))
-    else:
-        numbered = _running(lines.withColumn("_one", F.lit(1).cast("bigint")), "_one").withColumn("row_num", F.col("_one_before") + 1)
+    large file is not numbered by one task. With `multi_line` cells may contain line ends inside quotes. A quote that cannot be one of a
+    quoted cell, or that is never closed, makes its line a row of its own (see csv_problems); all other rows keep their cells, and their numbers
+    count that line as one row."""
     schema = _CSV_SCHEMA.simpleString()[7:-1].replace(":", " ")
-    rows = numbered.where("row_num > 1").select(
+    rows = _csv_rows(spark, path, multi_line, max_cell_lines).where("row_num > 1").select(
         _sheet_of("_file").alias("sheet_name"), "row_num", F.from_csv("value", schema, {"escape": '"', "multiLine": "true"}).alias("_cells")
     )
     return with_sheet_order(rows.select("sheet_name", "row_num", "_cells.*"), file_sheets(spark, path, order)).select(*ADDRESS, *_ALL_CELLS)
 
 
+def csv_problems(spark: SparkSession, path: str, order: list[str] | None = None, max_cell_lines: int = MAX_CELL_LINES) -> DataFrame:
+    """Rows of csv_sheets(multi_line=True) with a stray quote: their address and the line as it is written."""
+    rows = _csv_rows(spark, path, True, max_cell_lines).where("broken AND row_num > 1").select(_sheet_of("_file").alias("sheet_name"), "row_num", "value")
+    return with_sheet_order(rows, file_sheets(spark, path, order)).select(*ADDRESS, F.col("value").alias("line"))
+
+
+def _csv_rows(spark: SparkSession, path: str, multi_line: bool, max_cell_lines: int) -> DataFrame:
+    """(_file, row_num, value, broken): the text of each row. The header is row 1."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), "value")
+    lines = lines.withColumn("_seq", F.monotonically_increasing_id()).withColumn("_one", F.lit(1).cast("bigint"))
+    numbered = _running(lines, "_one").withColumn("row_num", F.col("_one_before") + 1)
+    if not multi_line:
+        return numbered.select("_file", "row_num", "value", F.lit(False).alias("broken"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    numbered = numbered.withColumnRenamed("row_num", "_line")
+    # Only lines with an odd number of quotes open or close a cell.
+    odd = numbered.where(quotes % 2 == 1).select(
+        "_file", "_split", "_seq", "_line", F.col("value").rlike(_OPENS).alias("opens"), F.col("value").rlike(_CLOSES).alias("closes")
+    )
+    marks = _paired(staged(odd, "quotes"), max_cell_lines)
+    # A line that goes on a cell belongs to the row of the line that opened it.
+    inside = marks.where("_last > _line").select("_file", F.col("_line").alias("_start"), F.explode(F.sequence(F.col("_line") + 1, "_last")).alias("_line"))
+    broken = marks.where("broken").select("_file", "_line", "broken")
+    there = numbered.join(inside, ["_file", "_line"], "left").join(broken, ["_file", "_line"], "left")
+    there = there.withColumn("_begins", F.col("_start").isNull().cast("bigint"))
+    there = _running(there, "_begins").withColumn("row_num", F.col("_begins_before") + F.col("_begins"))
+    # Lines of one cell only; a row has at most max_cell_lines of them for each cell.
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_line", "value"))), lambda x: x["value"]), "\n")
+    return there.groupBy("_file", "row_num").agg(joined.alias("value"), F.coalesce(F.max("broken"), F.lit(False)).alias("broken"))
+
+
+def _paired(odd: DataFrame, max_cell_lines: int) -> DataFrame:
+    """(_file, _line, _last, broken) of lines that open a cell, up to the line that closes it, and of lines with a stray quote.
+
+    A line that can only open or only close tells the state behind it. One that can do both, such as a lone quote, changes the state, so the state
+    behind it follows from the last line that tells it and the number of such lines since. An opening line goes with the next line that opens or
+    closes: if that one closes, and not too far away. Else its quote is stray, as is one that can do neither, or that closes what is not open; what
+    comes after is read as if it were not there."""
+    tells = F.when(F.col("opens") & ~F.col("closes"), 1).when(~F.col("opens") & F.col("closes"), 0)
+    lines = odd.withColumn("_tells", tells).withColumn("_turns", (F.col("opens") & F.col("closes")).cast("bigint"))
+    lines = _running(lines, "_turns")
+    told = F.when(F.col("_tells").isNotNull(), F.struct(F.col("_tells").alias("state"), F.col("_turns_before").alias("turns")))
+    lines = _carried(lines.withColumn("_told", told), "_told", "_before")
+    state = F.pmod(F.coalesce(F.col("_before.state"), F.lit(0)) + F.col("_turns_before") - F.coalesce(F.col("_before.turns"), F.lit(0)), F.lit(2))
+    opening = F.when(F.col("_turns") == 1, state == 0).otherwise(F.col("_tells") == 1)
+    lines = lines.withColumn("_mark", F.when(opening.isNotNull(), F.struct("_line", opening.alias("opening"))))
+    lines = _carried(_carried(lines, "_mark", "_next", back=True), "_mark", "_earlier")
+    near = ~F.col("_next.opening") & (F.col("_next._line") - F.col("_line") <= max_cell_lines)
+    pair = F.coalesce(F.col("_mark.opening") & near, F.lit(False))
+    # A closing line has its opening one right before it among the marks.
+    closed = F.coalesce(~F.col("_mark.opening") & F.col("_earlier.opening") & (F.col("_line") - F.col("_earlier._line") <= max_cell_lines), F.lit(False))
+    return lines.select("_file", "_line", F.when(pair, F.col("_next._line")).otherwise(F.col("_line")).alias("_last"), (~pair & ~closed).alias("broken"))
+
+
+def _carried(lines: DataFrame, column: str, out: str, back: bool = False) -> DataFrame:
+    """Adds the nearest earlier value of the column in the file that is not null, or with `back` the nearest later one. Windows work inside a
+    split; one row per split carries over."""
+    place, split = (F.col("_seq").desc(), F.col("_split").desc()) if back else (F.col("_seq"), F.col("_split"))
+    end = F.min_by if back else F.max_by
+    before = W.unboundedPreceding, -1
+    by_split = lines.groupBy("_file", "_split").agg(end(column, F.when(F.col(column).isNotNull(), F.col("_seq"))).alias("_edge"))
+    edges = by_split.select("_file", "_split", F.last("_edge", True).over(W.partitionBy("_file").orderBy(split).rowsBetween(*before)).alias("_edge"))
+    inside = F.last(column, True).over(W.partitionBy("_file", "_split").orderBy(place).rowsBetween(*before))
+    return lines.join(edges, ["_file", "_split"]).withColumn(out, F.coalesce(inside, F.col("_edge"))).drop("_edge")
+
+
 def _running(lines: DataFrame, column: str) -> DataFrame:
     """Adds <column>_before: the sum over all earlier lines of the file. Windows work inside a split; one row per split carries over."""
     by_split = W.partitionBy("_file").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)

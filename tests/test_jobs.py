@@ -304,6 +304,32 @@ def test_csv_cells_with_line_ends(spark, tmp_path):
         assert [(r.row_num, r.c1, r.c2) for r in got] == want
 
 
+STRAY = [
+    ('5" pipe,x', "a quote inside a field"), ('"never closed,x', "a cell that is never closed"), ('a,"b" c",d', "quotes at wrong places"),
+    ('x,"', "an opened cell, nothing else"), ('y",z', "a closing quote without a cell"),
+]
+
+
+@pytest.mark.parametrize("size", ["128m", "64", "300"])
+@pytest.mark.parametrize("stray", [s for s, _ in STRAY])
+def test_a_stray_quote_breaks_its_own_line_only(spark, tmp_path, stray, size):
+    """Cells of several lines before and behind a broken line; every other row is as it would be without it, one row later."""
+    cells = [('2024-01-01,"a\nb",src', ("a\nb", "src")), ("2024-01-02,c,src", ("c", "src")), ('2024-01-03,"say ""x""\n\n, y",src', ('say "x"\n\n, y', "src")),
+             ('2024-01-04,"\nlater",u', ("\nlater", "u")), ('2024-01-05,"ends\n",v', ("ends\n", "v")), ("", (None, None)), ('2024-01-06,"one line",w', ("one line", "w"))]
+    many = cells * 6
+    write_csv(f"{tmp_path}/s.csv", [f"{t}\n" for t, _ in many[:20]] + [stray + "\n"] + [f"{t}\n" for t, _ in many[20:]])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = {r.row_num: (r.c1, r.c2) for r in readers.csv_sheets(spark, str(tmp_path), multi_line=True, max_cell_lines=5).collect()}
+        told = [tuple(r) for r in readers.csv_problems(spark, str(tmp_path), max_cell_lines=5).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = {i + 2 + (i >= 20): v for i, (_, v) in enumerate(many)}
+    assert {n: v for n, v in got.items() if n != 22} == want and 22 in got
+    assert told == [("s", 1, 22, stray)]
+
+
 def test_inventory_of_files(spark, tmp_path):
     for name in ("b", "a", "only header", "表 1"):
         write_csv(f"{tmp_path}/{name}.csv", ["2024-01-01,x\n"] if name != "only header" else [])
