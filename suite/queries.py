@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowgate.functions import messages, text
@@ -469,6 +470,81 @@ def load_one_write_fails(spark, sf_dir):
     )
 
 
+_REFUSED = "SELECT '{}' AS request, '{}' AS reason, {} AS name, CAST(0 AS BIGINT) AS tables_after"
+
+
+@query(
+    " UNION ALL ".join(
+        _REFUSED.format(*x)
+        for x in (
+            ("nothing selected", "no sheet is selected", "NULL"),
+            ("a table is missing", "missing tables: t_003", "'t_003'"),
+            ("one table for all", "several sheets want one table: same", "'same'"),
+        )
+    )
+    + " FROM (SELECT count(*) FROM orders)"
+)
+def load_refusals(spark, sf_dir):
+    """Requests that must not start: what is said, what speaks against them, and the number of tables that the target then has."""
+    target, sheets, out = f"{run_folder(spark, 'load')}/target", _sheet_map(spark, sf_dir), []
+    requests = {
+        "nothing selected": (sheets.where("sheet_order > 9"), None),
+        "a table is missing": (sheets, sheets.where("sheet_order <> 3").select("table_name")),
+        "one table for all": (sheets.withColumn("table_name", F.lit("same")), None),
+    }
+    for name, (wanted, existing) in requests.items():
+        try:
+            jobs.run_load(raw_rows(spark, sf_dir), wanted, target, f"{target}-ledger", "run-1", "now", existing=existing)
+        except jobs.RefusedRequest as e:
+            against = e.rows.select("table_name") if e.rows is not None else spark.createDataFrame([(None,)], "table_name string")
+            after = F.lit(len(tables.manifest(spark, target))).cast("bigint")
+            out.append(against.select(F.lit(name).alias("request"), F.lit(str(e)).alias("reason"), F.col("table_name").alias("name"), after.alias("tables_after")))
+    return reduce(DataFrame.unionAll, out)
+
+
+@query(f"WITH {SHEETS_SQL} SELECT sheet_name, sheet_order, true AS second_refused FROM sheets")
+def outputs_kept(spark, sf_dir):
+    """A result that is written twice to one place: the second time is refused, and the first result stays."""
+    path, first, refused = run_folder(spark, "kept"), _sheets(spark, sf_dir), False
+    sinks.write_new(first, path)
+    try:
+        sinks.write_new(first.where("sheet_order > 3"), path)
+    except AnalysisException as e:
+        refused = "PATH_ALREADY_EXISTS" in str(e)
+    return spark.read.parquet(path).withColumn("second_refused", F.lit(refused))
+
+
+# ---- written order ----
+
+
+def _written_order(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a result with the place at which they stand in its files, from 1: rows of the files before, and the row's place in its own."""
+    stored = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    files = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    offsets = stored.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).select("_file", F.coalesce(F.sum("_n").over(files), F.lit(0)).alias("_before"))
+    return stored.join(offsets, "_file").withColumn("place", F.col("_before") + F.col("_at") + 1).drop("_file", "_at", "_before")
+
+
+def _load_reports(spark: SparkSession, sf_dir: str) -> str:
+    folder = run_folder(spark, "load")
+    jobs.run_load(raw_rows(spark, sf_dir), _sheet_map(spark, sf_dir), f"{folder}/target", f"{folder}/ledger", "run-1", "now", report_folder=f"{folder}/reports")
+    return f"{folder}/reports/run_id=run-1"
+
+
+@query(f"WITH {SHEETS_SQL} SELECT row_number() OVER (ORDER BY sheet_order, sheet_name) AS place, sheet_name, sheet_order FROM sheets")
+def sheets_in_order(spark, sf_dir):
+    """The inventory as it is written, in the order of the sheets."""
+    path = run_folder(spark, "inventory")
+    sinks.write_new(rows.sheet_inventory(raw_rows(spark, sf_dir)).orderBy("sheet_order", "sheet_name"), path)
+    return _written_order(spark, path)
+
+
+@query(f"WITH {ERRORS} SELECT row_number() OVER (ORDER BY sheet_order, row_num) AS place, sheet_name, row_num, kind, message FROM err")
+def errors_in_order(spark, sf_dir):
+    """The error list that a load writes, in the order of sheets and rows."""
+    return _written_order(spark, f"{_load_reports(spark, sf_dir)}/errors").select("place", "sheet_name", "row_num", "kind", "message")
+
+
 # ---- error reports ----
 
 
@@ -1023,11 +1099,17 @@ def dedup_list_csv(spark, sf_dir):
 
 def _sheet_files(spark: SparkSession, sf_dir: str, file_format: str) -> str:
     """The fixture as a folder of files, one per sheet and named after it, with its rows in order and a header."""
-    parts, files = run_folder(spark, "parts"), run_folder(spark, "sheets")
+    parts = run_folder(spark, "parts")
     named = raw_rows(spark, sf_dir).withColumn("name", F.concat(F.lit("表 "), "sheet_name"))
     writer = named.repartition("name").sortWithinPartitions("name", "row_num").select("name", *CELLS).write.partitionBy("name")
     writer = writer.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.format(file_format).save(parts)
+    return _one_file_each(spark, parts, file_format)
+
+
+def _one_file_each(spark: SparkSession, parts: str, file_format: str) -> str:
+    """A folder with the one file of each partition folder below `parts`, named after it."""
+    files = run_folder(spark, "sheets")
     target, fs = _hadoop(spark, files)
     fs.mkdirs(target)
     written = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(parts)
@@ -1052,6 +1134,34 @@ def parquet_sheets_read(spark, sf_dir):
     return readers.parquet_sheets(spark, _sheet_files(spark, sf_dir, "parquet")).select(*ADDRESS, "c1", "c3", "c4", "c8")
 
 
+#: A line that opens a cell and does not close it, behind this row of this sheet.
+_BROKEN_LINE, _BROKEN_AT = 'five pipes,"never closed', ("2-HIGH", 40)
+
+
+@query(
+    f"""WITH {RAW} SELECT '表 ' || sheet_name AS sheet_name, CASE WHEN sheet_name = '{_BROKEN_AT[0]}' AND row_num > {_BROKEN_AT[1]} THEN row_num + 1 ELSE row_num END AS row_num,
+      CASE WHEN ok % 5 = 0 THEN c1 || chr(10) || '"' || ok || '", next' ELSE c1 END AS c1, c3, CAST(NULL AS VARCHAR) AS problem FROM raw
+    UNION ALL SELECT '表 {_BROKEN_AT[0]}', {_BROKEN_AT[1] + 1}, NULL, NULL, '{_BROKEN_LINE}'"""
+)
+def csv_broken_line(spark, sf_dir):
+    """The fixture as CSV files with cells of several lines and one broken line in the midst of a sheet: all other rows with their cells and
+    numbers, and the broken line as a row of its own."""
+    parts = run_folder(spark, "parts")
+    lined = raw_rows(spark, sf_dir, keep=("ok",)).withColumn("c1", F.when(F.col("ok") % 5 == 0, F.concat("c1", F.lit('\n"'), "ok", F.lit('", next'))).otherwise(F.col("c1")))
+    text = F.to_csv(F.struct(*CELLS), {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    name = F.concat(F.lit("表 "), "sheet_name")
+    lines = lined.select(name.alias("name"), F.col("row_num").cast("double").alias("at"), text.alias("line"))
+    broken = spark.createDataFrame([(f"表 {_BROKEN_AT[0]}", _BROKEN_AT[1] + 0.5, _BROKEN_LINE)], lines.schema)
+    heads = lines.select("name", F.lit(1.0).alias("at"), F.lit(",".join(CELLS)).alias("line")).distinct()
+    whole = lines.unionAll(broken).unionAll(heads).repartition("name").sortWithinPartitions("name", "at")
+    whole.select("name", "line").write.partitionBy("name").text(parts)
+    path = _one_file_each(spark, parts, "csv")
+    read = readers.csv_sheets(spark, path, multi_line=True).select("sheet_name", "row_num", "c1", "c3")
+    problems = readers.csv_problems(spark, path).select("sheet_name", "row_num", F.col("line").alias("problem"))
+    joined = read.join(problems, ["sheet_name", "row_num"], "left")
+    return joined.select("sheet_name", "row_num", *[F.when(F.col("problem").isNull(), F.col(c)).alias(c) for c in ("c1", "c3")], "problem")
+
+
 @query(_FILE_SQL)
 def csv_sheets_read(spark, sf_dir):
     return readers.csv_sheets(spark, _sheet_files(spark, sf_dir, "csv")).select(*ADDRESS, "c1", "c3", "c4", "c8")
