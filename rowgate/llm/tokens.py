@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 
 #: The cache starts anew beyond so many words or ids.
 CACHE_WORDS, CACHE_IDS = 200_000, 2_000_000
+#: Parts of words up to this length are kept, too: marks, and the short words that stand beside them.
+SHORT = 4
 
 
 def _byte_signs() -> dict[int, int]:
@@ -52,15 +54,21 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
+        self.short: dict[str, list[int]] = {}
         self.index: dict[str, int] = {}
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
     def _plain_ids(self, word: str) -> list[int]:
-        merge, out = self.model.tokenize, []
+        out, short = [], self.short
         for part in self.parts(word.lower()):
-            sign = part if part.isascii() else part.encode().decode("latin-1").translate(self.signs)
-            out += [t.id for t in merge(sign)]
+            ids = short.get(part)
+            if ids is None:
+                sign = part if part.isascii() else part.encode().decode("latin-1").translate(self.signs)
+                ids = [t.id for t in self.model.tokenize(sign)]
+                if len(part) <= SHORT:
+                    short[part] = ids
+            out += ids
         return out
 
     def _learn(self, words: list[str]) -> None:
