@@ -4,8 +4,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from rowgate import session
-from rowgate.llm import tiling
+from rowgate.llm import common, tiling
 from rowgate.llm.queries import op5_quality
 from tests.llm.test_packing import check
 from tests.llm.test_pii import plain_spans
@@ -45,12 +44,13 @@ def test_stages_against_brute_force(spark):
     check(packed.collect(), final, lambda x: t.encode(x, add_special_tokens=False).ids, 4096)
 
 
-def test_run_leaves_only_its_result(spark):
-    folder = session.shared_folder(spark).removeprefix("file://")
-    before = set(os.listdir(folder))
-    rows = corpus_pipeline.run(spark, SF)
-    assert [n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before] == ["packing"]
-    assert rows.count() > 0
+def test_run_leaves_no_scratch_table(spark, monkeypatch):
+    made, folder = [], common.run_folder
+    monkeypatch.setattr(common, "run_folder", lambda *args: made.append(folder(*args)) or made[-1])
+    before = set(common._written)
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert len(made) > 10 and set(common._written) == before
+    assert not any(os.path.exists(p.removeprefix("file://")) for p in made)
 
 
 def test_run_gives_the_rows_of_the_last_stage(spark):
