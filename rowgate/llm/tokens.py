@@ -28,6 +28,101 @@ def _byte_signs() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(hidden)}
 
 
+#: Bytes of a word of letters that is merged with others of its length; longer ones go to the library by themselves.
+MERGED_BYTES = 48
+#: No merge.
+_NONE = np.int32(2**31 - 1)
+
+
+class Merger:
+    """Ids of words, many at a time: in each round every word merges its pair of the lowest rank, the leftmost of them, as the library does."""
+
+    def __init__(self, model: dict, signs: dict[int, int]) -> None:
+        vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        end, sign = model["end_of_word_suffix"], [chr(signs.get(b, b)) for b in range(256)]
+        self.inner, self.last = (np.array([vocab.get(c + e, -1) for c in sign], np.int64) for e in ("", end))
+        self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        pairs = np.array([(vocab[a], vocab[b]) for a, b in merges], np.int64).reshape(-1, 2)
+        #: Merges by rank, hashed with open places: a pair is searched from its place on until a free one.
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, _NONE, np.int32)
+        keys, left, step = self._key(pairs[:, 0], pairs[:, 1]), np.arange(len(pairs)), 0
+        while left.size:
+            at = self._place(keys[left], step)
+            there, first = np.unique(at, return_index=True)
+            first = first[self.keys[there] < 0]
+            self.keys[at[first]], self.ranks[at[first]] = keys[left[first]], left[first]
+            left, step = np.delete(left, first), step + 1
+
+    @staticmethod
+    def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a << 32) | b
+
+    def _place(self, keys: np.ndarray, step: int) -> np.ndarray:
+        hashed = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+        return (hashed.astype(np.int64) + step) & ((1 << self.bits) - 1)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair; _NONE if there is none, as for the -1 behind a word."""
+        keys = self._key(a, b)
+        out, left, step = np.full(keys.shape, _NONE, np.int32), np.flatnonzero((a >= 0) & (b >= 0)), 0
+        while left.size:
+            at = self._place(keys[left], step)
+            found = self.keys[at]
+            same = found == keys[left]
+            out[left[same]] = self.ranks[at[same]]
+            left, step = left[~same & (found >= 0)], step + 1
+        return out
+
+    def _merged(self, ids: np.ndarray) -> np.ndarray:
+        """Rows of ids, filled up with -1, with all merges done."""
+        done, rows, (n, width) = ids.copy(), np.arange(len(ids)), ids.shape
+        ranks = np.full((n, width), _NONE, np.int32)
+        if width > 1:
+            ranks[:, :-1] = self._rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, -1)
+        columns = np.arange(width)
+        while rows.size:
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(at)), at]
+            live = best < _NONE
+            if not live.all():
+                done[rows[~live]] = ids[~live]
+                rows, ids, ranks, at, best = rows[live], ids[live], ranks[live], at[live], best[live]
+                if not rows.size:
+                    break
+            every = np.arange(len(rows))
+            ids[every, at] = self.made[best]
+            take = np.minimum(columns + (columns > at[:, None]), width - 1)
+            ids, ranks = np.take_along_axis(ids, take, 1), np.take_along_axis(ranks, take, 1)
+            ids[:, -1], ranks[:, -1] = -1, _NONE
+            ranks[every, at] = self._rank(ids[every, at], ids[every, np.minimum(at + 1, width - 1)])
+            some = np.flatnonzero(at)
+            ranks[some, at[some] - 1] = self._rank(ids[some, at[some] - 1], ids[some, at[some]])
+        return done
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places and numbers of the ids of each word in the third array. Words have at least one byte."""
+        words = pa.concat_arrays([words.cast(pa.string())])  # without an offset
+        ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1).astype(np.int64)
+        content, lengths = np.frombuffer(words.buffers()[2], np.uint8), np.diff(ends)
+        order, flat, total = np.argsort(lengths, kind="stable"), [], 0
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for some in np.array_split(order, max(1, len(order) // 4096)):
+            columns = np.arange(lengths[some].max())
+            within = columns < lengths[some][:, None]
+            content_of = content[np.where(within, ends[some][:, None] + columns, 0)]
+            ids = np.where(within, self.inner[content_of], -1)
+            every, end = np.arange(len(some)), lengths[some] - 1
+            ids[every, end] = self.last[content_of[every, end]]
+            ids = self._merged(ids)
+            used = ids >= 0
+            sizes[some] = used.sum(axis=1)
+            starts[some] = total + np.cumsum(sizes[some]) - sizes[some]
+            flat.append(ids[used].astype(np.uint32))
+            total += len(flat[-1])
+        return starts, sizes, np.concatenate(flat)
+
+
 class WordEncoder:
     """Ids of a BPE with word ends that drops white space; without such a file, use the tokenizers library itself."""
 
@@ -51,6 +146,13 @@ class WordEncoder:
         # Of ASCII and the letters of Latin-1 it is known how the tokenizer cuts them; everything else goes through all of it.
         self.plain = re.compile(r"[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]*").fullmatch
         self.parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r a-z0-9\xdf-\xf6\xf8-\xff]+").findall
+        self.merger = Merger(content["model"], self.signs)
+        usual = "a-z\xdf-\xf6\xf8-\xff"
+        self.letters = f"^[{usual}\xc0-\xd6\xd8-\xde]+$"
+        self.before_mark = f"([{usual}])([.,])"
+        # All letters have ids, and no merge can be made from two pairs, so that ranks tell all.
+        sure = content["model"].get("unk_token") is None and not content["model"].get("dropout") and not content["model"].get("ignore_merges")
+        self.sure = sure and min(self.merger.inner.min(), self.merger.last.min()) >= 0 and len(np.unique(self.merger.made)) == len(self.merger.made)
         self._clear()
 
     def _clear(self) -> None:
@@ -71,16 +173,26 @@ class WordEncoder:
             out += ids
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        """Takes words into the cache."""
+    def _learn(self, words: pa.Array) -> None:
+        """Takes words into the cache: those of letters together, the others one by one."""
+        if not len(words):
+            return
+        alone = pc.and_(pc.match_substring_regex(words, self.letters), pc.less_equal(pc.binary_length(words), MERGED_BYTES))
+        alone = alone.to_numpy(zero_copy_only=False) if self.sure else np.zeros(len(words), bool)
+        if alone.any():
+            together = words.filter(pa.array(alone))
+            self._keep(together.to_pylist(), *self.merger(pc.utf8_lower(together)))
+        rest = words.filter(pa.array(~alone)).to_pylist()
         plain, ids_of = self.plain, self._plain_ids
-        odd = [w for w in words if not plain(w)]
+        odd = [w for w in rest if not plain(w)]
         known = dict(zip(odd, (e.ids for e in self.whole.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
-        ids = [known[w] if w in known else ids_of(w) for w in words]
+        ids = [known[w] if w in known else ids_of(w) for w in rest]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+        self._keep(rest, np.cumsum(sizes) - sizes, sizes, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())))
+
+    def _keep(self, words: list[str], starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.starts = np.concatenate((self.starts, len(self.flat) + starts))
         self.sizes = np.concatenate((self.sizes, sizes))
         self.flat = np.concatenate((self.flat, flat))
 
@@ -100,12 +212,15 @@ class WordEncoder:
         return [np.concatenate([next(between) if i % 2 == 0 else self.special[x] for i, x in enumerate(p)]) for p in parts]
 
     def _encode_plain(self, column: pa.Array) -> list[np.ndarray]:
-        words = pc.split_pattern(pc.ascii_lower(column), " ")
+        # A line end is white space like a blank, and what begins with a dot or comma behind a letter is a part of its own: fewer words to know.
+        column = pc.replace_substring(pc.ascii_lower(column), "\n", " ")
+        words = pc.split_pattern(pc.replace_substring_regex(column, self.before_mark, r"\1 \2"), " ")
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         collecting = gc.isenabled()
         gc.disable()  # many small lists and no cycles
-        self._learn([w for w in distinct if w not in self.index])
+        index = self.index
+        self._learn(coded.dictionary.filter(pa.array([w not in index for w in distinct], pa.bool_())))
         if collecting:
             gc.enable()
         at = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]

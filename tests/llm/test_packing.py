@@ -54,6 +54,20 @@ def test_ids_of_any_text(text):
         assert ours.encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_letters_are_merged_together(encoder, library):
+    """Words of one to 48 bytes, with repeated letters and of Latin-1, with marks and line ends beside them, have the library's ids; no call per word."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abelnrsta\xe9\xe8\xdf" if i % 3 else "aab"), 1 + i % 30)) for i in range(3000)] + ["x" * 48, "é" * 24, "é" * 25]
+    own = tokens.WordEncoder(tokens.model_text(PATH))
+    singly = []
+    own._plain_ids = lambda word: singly.append(word) or encoder._plain_ids(word)
+    text = "".join(w + (" ", ". ", ",\n", "\n")[i % 4] for i, w in enumerate(words[:-1]))
+    assert own.encode([text, None, words[0]])[0].tolist() == library(text)
+    assert set(singly) <= {"", ".", ","}
+    assert encoder.encode([words[-1], "ÉÖ É.", "a.,b .c,,d"])[0].tolist() == library(words[-1])
+    assert encoder.encode(["a.,b .c,,d it's. 's, é.,É., ."])[0].tolist() == library("a.,b .c,,d it's. 's, é.,É., .")
+
+
 def check(rows, texts, library, most):
     """Pieces cover each document once, sequences are gapless and full or a power of two."""
     docs, seqs = defaultdict(list), defaultdict(list)
