@@ -7,7 +7,8 @@ along their cycle. The result is the sequence's slot. Ranges of slots are shards
     ids in use (4 bytes, little-endian) | ids (2 bytes each, little-endian) | newline
 
 so slot s is record s mod shard_records of shard s div shard_records, and a reader can start anywhere. Ids are made twice, once to
-count sequences and once to write them; a task that finds another number than was counted fails.
+count sequences and once to write them; a task that finds another number than was counted fails. Nearly all of the time goes into cutting
+texts by the tokenizer's pattern and merging; where a pattern without a look ahead cuts a text the same way, it is taken.
 
 Defined results: a null or empty text is the end id alone; texts are taken whole; repeated rows are repeated; ids of documents and other
 columns are not looked at; an empty table gives no shard."""
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,14 +96,43 @@ def _pieces(text: str):
     yield text[at:]
 
 
-def _sequences(texts, encode, end_id: int, length: int):
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
+#: A usual pattern, and one that cuts in the same places where no two characters of white space meet, in little more than half the time.
+PATTERN, PLAIN_PATTERN = rf"{_WORDS}|\s+(?!\S)|\s+", rf"{_WORDS}|\s+"
+#: Two characters of white space, as these patterns know it.
+_RUN = "[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}"
+
+
+class Encoder:
+    """Ids of texts; coders are made when they are first needed."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        self.ranks, self.pattern, self.coders = ranks, pattern, {}
+
+    def _coder(self, pattern: str):
+        if pattern not in self.coders:
+            import tiktoken
+
+            self.coders[pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+        return self.coders[pattern]
+
+    def __call__(self, texts: pa.Array):
+        """For each text the ids of its pieces; null is empty."""
+        texts = texts.fill_null("")
+        plain = pc.invert(pc.match_substring_regex(texts, _RUN)).to_pylist() if self.pattern == PATTERN else [False] * len(texts)
+        for text, is_plain in zip(texts.to_pylist(), plain, strict=True):
+            encode = self._coder(PLAIN_PATTERN if is_plain else self.pattern)
+            yield map(encode, _pieces(text))
+
+
+def _sequences(texts, encode: Encoder, end_id: int, length: int):
     """Full sequences of a stream of texts, then the rest."""
     kept = np.zeros(0, "<u2")
     for batch in texts:
         ids = array("H")
-        for text in batch:
-            for piece in _pieces(text or ""):
-                ids.extend(encode(piece))
+        for pieces in encode(batch):
+            for piece in pieces:
+                ids.extend(piece)
             ids.append(end_id)
         every = np.concatenate((kept, np.frombuffer(ids, np.uint16).astype("<u2", copy=False)))
         full = len(every) - len(every) % length
@@ -128,21 +159,15 @@ def materialise(
     """Writes the shards below path (shard=0, shard=1, ...), which must not exist."""
     if end_id > 0xFFFF or max((r for _, r in ranks), default=0) > 0xFFFF:
         raise ValueError("ids must fit 16 bits")
-    spark, texts = docs.sparkSession, docs.select(quoted(text_col).alias("t"))
+    spark, texts = docs.sparkSession, docs.select(quoted(text_col).cast("string").alias("t"))
     sent = spark.sparkContext.broadcast(dict(ranks))  # read once by each Python worker, not by each task
 
-    def encoder():
-        import tiktoken
-
-        coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=sent.value, special_tokens={})
-        return coder.encode_ordinary
-
     def cut(batches):
-        return _sequences((b.column(0).to_pylist() for b in batches), encoder(), end_id, length)
+        return _sequences((b.column(0) for b in batches), Encoder(sent.value, pattern), end_id, length)
 
     def counted(batches):
-        encode = encoder()
-        ids = sum(1 + sum(len(encode(p)) for p in _pieces(t or "")) for b in batches for t in b.column(0).to_pylist())
+        encode = Encoder(sent.value, pattern)
+        ids = sum(1 + sum(map(len, pieces)) for b in batches for pieces in encode(b.column(0)))
         n = -(-ids // length)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], ["part", "n"])

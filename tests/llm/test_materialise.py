@@ -1,10 +1,13 @@
 import glob
+import sys
 import tempfile
+import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -32,6 +35,26 @@ def test_cut_texts_have_the_same_ids(text):
         assert [i for p in pieces for i in CODER.encode_ordinary(p)] == CODER.encode_ordinary(text)
 
 
+def test_plain_texts_need_no_look_ahead(monkeypatch):
+    made, real = [], tiktoken.Encoding
+    monkeypatch.setattr(tiktoken, "Encoding", lambda *a, **b: made.append(b["pat_str"]) or real(*a, **b))
+    texts = ["", "one", " it's 3 o'clock!?\n'tis\u3000日本 ", "\n", "x" * 150_000 + " y z ", *(f"{c}a{c}b1{c}.{c}" for c in "\t\r\u0085\u00a0\u2028")]
+    encode = materialise.Encoder(dict(RANKS), public_tokenizers.PATTERN)
+    got = [[i for p in pieces for i in p] for pieces in encode(pa.array([*texts, None]))]
+    assert got == [CODER.encode_ordinary(t) for t in texts] + [[]]
+    assert made and not any("(?!" in p for p in made)
+
+
+def test_white_space_of_any_kind_is_cut_as_the_pattern_says():
+    signs = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() or unicodedata.category(c) in ("Zs", "Zl", "Zp", "Cc", "Cf")]
+    texts = [t for c in signs for t in (c, c * 2, f"a{c}{c}b", f"a{c} b", f"a {c}b", f"a{c}\n{c}", f"{c}.{c}'s{c}{c}")]
+    encode = materialise.Encoder(dict(RANKS), public_tokenizers.PATTERN)
+    assert [[i for p in pieces for i in p] for pieces in encode(pa.array(texts))] == [CODER.encode_ordinary(t) for t in texts]
+    other = r"\S+|\s"
+    plain = tiktoken.Encoding("other", pat_str=other, mergeable_ranks=dict(RANKS), special_tokens={})
+    assert [[i for p in pieces for i in p] for pieces in materialise.Encoder(dict(RANKS), other)(pa.array(["a b  c"]))] == [plain.encode_ordinary("a b  c")]
+
+
 def stream(texts, length):
     """The ids of one task, cut by hand."""
     ids = [i for t in texts for i in [*CODER.encode_ordinary(t or ""), END]]
