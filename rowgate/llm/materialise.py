@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import base64
 import os
-from array import array
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +101,8 @@ _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
 PATTERN, PLAIN_PATTERN = rf"{_WORDS}|\s+(?!\S)|\s+", rf"{_WORDS}|\s+"
 #: Two characters of white space, as these patterns know it.
 _RUN = "[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}"
+#: A special token that no text is read for: without any, the library's call that gives arrays tries one at every character.
+_UNREAD = "<|unread|>"
 
 
 class Encoder:
@@ -113,11 +115,13 @@ class Encoder:
         if pattern not in self.coders:
             import tiktoken
 
-            self.coders[pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+            unread = {_UNREAD: 1 + max(self.ranks.values())}
+            coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens=unread)
+            self.coders[pattern] = partial(coder.encode_to_numpy, disallowed_special=())
         return self.coders[pattern]
 
     def __call__(self, texts: pa.Array):
-        """For each text the ids of its pieces; null is empty."""
+        """For each text the ids of its pieces, as arrays; null is empty."""
         texts = texts.fill_null("")
         plain = pc.invert(pc.match_substring_regex(texts, _RUN)).to_pylist() if self.pattern == PATTERN else [False] * len(texts)
         for text, is_plain in zip(texts.to_pylist(), plain, strict=True):
@@ -127,14 +131,13 @@ class Encoder:
 
 def _sequences(texts, encode: Encoder, end_id: int, length: int):
     """Full sequences of a stream of texts, then the rest."""
-    kept = np.zeros(0, "<u2")
+    kept, end = np.zeros(0, "<u2"), np.array([end_id], "<u2")
     for batch in texts:
-        ids = array("H")
+        parts = [kept]
         for pieces in encode(batch):
-            for piece in pieces:
-                ids.extend(piece)
-            ids.append(end_id)
-        every = np.concatenate((kept, np.frombuffer(ids, np.uint16).astype("<u2", copy=False)))
+            parts += (p.astype("<u2") for p in pieces)
+            parts.append(end)
+        every = np.concatenate(parts)
         full = len(every) - len(every) % length
         yield every[:full].reshape(-1, length), length
         kept = every[full:]

@@ -45,6 +45,13 @@ def test_plain_texts_need_no_look_ahead(monkeypatch):
     assert made and not any("(?!" in p for p in made)
 
 
+def test_ids_come_as_arrays_and_no_special_token_is_read():
+    texts = [materialise._UNREAD, f"é{materialise._UNREAD} {materialise._UNREAD * 2}日 <|unread", "<|endoftext|> a  b", f"  {materialise._UNREAD}\n\n"]
+    got = [list(pieces) for pieces in materialise.Encoder(dict(RANKS), public_tokenizers.PATTERN)(pa.array(texts))]
+    assert all(isinstance(p, np.ndarray) for pieces in got for p in pieces)
+    assert [np.concatenate(pieces).tolist() for pieces in got] == [CODER.encode_ordinary(t) for t in texts]
+
+
 def test_white_space_of_any_kind_is_cut_as_the_pattern_says():
     signs = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() or unicodedata.category(c) in ("Zs", "Zl", "Zp", "Cc", "Cf")]
     texts = [t for c in signs for t in (c, c * 2, f"a{c}{c}b", f"a{c} b", f"a {c}b", f"a{c}\n{c}", f"{c}.{c}'s{c}{c}")]
